@@ -14,6 +14,7 @@ for each row; a null doc_id stays null; an empty table gives no pieces; other co
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,31 +28,76 @@ CAPACITY = 2048
 END_ID = 1
 #: Tokens that one round of packing holds in memory (4 bytes each).
 ROUND_TOKENS = 4_000_000
-#: Bytes of words and their ids that a worker remembers.
-MEMO_BYTES = 48_000_000
+#: Words, and parts of words, that a worker remembers, and the longest of them.
+MEMO_WORDS = 250_000
+MEMO_LONGEST = 64
+#: The pattern of the one family of vocabularies that words are remembered for, and the last letter of Latin Extended-B.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LAST_LATIN = "\u024f"
 
 
 class Tokens:
-    """Ids of whole texts. The vocabulary never joins characters across ASCII white space, so each word is encoded once and remembered."""
+    """Ids of whole texts, as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.known: dict[bytes, bytes] = {}
-        self.held = 0
-
-    def of(self, batch: list[bytes | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if self.held > MEMO_BYTES:
-            self.known, self.held = {}, 0
-        known, words = self.known, [t.split() if t else [] for t in batch]
-        if new := list(set().union(*words).difference(known)):
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for w, e in zip(new, found, strict=True):
-                known[w] = ids = np.array(e.ids, "<u4").tobytes()
-                self.held += len(w) + len(ids) + 150
-        return [b"".join(map(known.__getitem__, x)) for x in words]
+        self.words = Words(self.tokenizer) if Words.fits(tokenizer_json) else None
+
+    def of(self, text: bytes | None) -> bytes:
+        if not text:
+            return b""
+        if self.words is None:
+            return self.encode(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+    def encode(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+
+class Words(dict):
+    """Ids of words, worked out once per worker while there is room, for a vocabulary that drops white space and ignores case.
+
+    Such a vocabulary never joins characters across white space. A word in Latin letters is lower-cased and cut by the
+    tokenizer's own pattern, and its parts go to the tokenizer's merges; any other word is encoded whole.
+    """
+
+    def __init__(self, tokenizer):
+        import regex
+
+        super().__init__()
+        self.tokenizer, self.parts, self.merge = tokenizer, {}, tokenizer.model.tokenize
+        self.cut = regex.compile(SPLIT_PATTERN).findall
+        self.specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = (b for b in range(256) if b not in shown)
+        self.symbols = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+
+    @staticmethod
+    def fits(tokenizer_json: str) -> bool:
+        t = json.loads(tokenizer_json)
+        steps = [x["type"] for x in (t["normalizer"] or {}).get("normalizers", [])]
+        before = (t["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        return steps == ["NFC", "Replace", "Lowercase"] and before[0].get("pattern") == {"Regex": SPLIT_PATTERN} and before[0].get("invert") and before[0].get("behavior") == "Removed" and before[-1]["type"] == "ByteLevel" and not before[-1]["add_prefix_space"] and t["model"]["type"] == "BPE"
+
+    def __missing__(self, word: bytes) -> bytes:
+        w = word.decode("utf-8", "replace")
+        if max(w) <= LAST_LATIN and not any(s in w for s in self.specials):
+            get = self.parts.get
+            ids = b"".join([get(p) or self._part(p) for p in self.cut(w.lower())])
+        else:
+            ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) < MEMO_WORDS and len(word) <= MEMO_LONGEST:
+            self[word] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        text = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.symbols)
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.merge(text)])
+        if len(self.parts) < MEMO_WORDS and len(part) <= MEMO_LONGEST:
+            self.parts[part] = ids
+        return ids
 
 
 class OpenWindows:
@@ -116,8 +162,8 @@ def pack(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_id:
         tokens, sequence = Tokens(tokenizer_json), TaskContext.get().partitionId() << 40
         pieces, held = [], 0
         for batch in batches:
-            for doc, ids in zip(batch["doc_id"].to_pylist(), tokens.of(batch["text"].to_pylist()), strict=True):
-                ids += end
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                ids = tokens.of(text) + end
                 n = len(ids) // 4
                 pieces += [(doc, i, ids[4 * i : 4 * (i + capacity)], n) for i in range(0, n, capacity)]
                 held += n

@@ -81,3 +81,26 @@ def test_sequences_are_padded(spark):
 
 def test_empty_table(spark):
     assert packing.pack(documents(spark, []), tokenizer_json()).count() == 0
+
+
+def test_words_encode_as_the_whole_text_does():
+    import random
+
+    from tokenizers import Tokenizer
+
+    t, mine, rng = Tokenizer.from_str(tokenizer_json()), packing.Tokens(tokenizer_json()), random.Random(3)
+    assert mine.words is not None
+    alphabet = list("abzABZ09''.,-_!<|>éÉñßİıǅſ ́̈ΣσςÅK一ب\U0001f600 ­") + [" ", "\t", "\x1c", "\x85", " ", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    for _ in range(3000):
+        x = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30)))
+        assert np.frombuffer(mine.of(x.encode()), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+
+
+def test_other_vocabularies_encode_whole_texts():
+    from millrace.llm.queries import tokenizer_path
+
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        t = packing.Tokens(f.read())
+    assert t.words is None
+    x = "Two  spaces, and\nlines."
+    assert np.frombuffer(t.of(x.encode()), "<u4").tolist() == t.tokenizer.encode(x).ids
