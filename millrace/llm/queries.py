@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language, packing, quality, sharding
+from millrace.llm import decontamination, language, packing, quality, scoring, sharding
 from millrace.llm.common import table
 
 
@@ -33,6 +33,12 @@ def held_out(modulus: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == 2, F.lit(False))
 
 
+def op3_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = scoring.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    out = scoring.score(table(spark, sf_dir, "documents"), pieces, ~held_out(7))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     filters = language.learn(docs, ~held_out(4))
@@ -58,6 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_scoring": op3_scoring,
     "op6_language": op6_language,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
