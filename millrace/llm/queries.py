@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language, packing, quality, scoring, sharding
+from millrace.llm import decontamination, language, packing, quality, scoring, secrets, sharding
 from millrace.llm.common import table
 
 
@@ -39,6 +39,14 @@ def op3_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+    own = F.sha2(secrets.named(F.col("base")).cast("binary"), 256)
+    every = secrets.named(F.array_sort(F.concat("base", "more")))
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), own.alias("base_sha256"), every.alias("spans"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     filters = language.learn(docs, ~held_out(4))
@@ -65,6 +73,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_scoring": op3_scoring,
+    "op5_secrets": op5_secrets,
     "op6_language": op6_language,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
