@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language, packing, quality, scoring, secrets, sharding
+from millrace.llm import decontamination, language, neardup, packing, quality, scoring, secrets, sharding
 from millrace.llm.common import table
 
 
@@ -28,6 +28,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.groups(neardup.numbered(table(spark, sf_dir, "documents").select("doc_id", "text")), words=4)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def held_out(modulus: int):
     """Documents that a model doesn't learn from: crc32 of the id as text, remainder 2."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == 2, F.lit(False))
@@ -72,6 +77,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_neardup": op2_neardup,
     "op3_scoring": op3_scoring,
     "op5_secrets": op5_secrets,
     "op6_language": op6_language,
