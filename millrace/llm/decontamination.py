@@ -155,13 +155,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_documents
     def one(batch: pa.RecordBatch) -> dict | None:
         keep_rows, new = [], []
         for text in batch["text"].to_pylist():
-            body = text.encode() if text is not None else None
-            words = words_of(body)
-            hit = np.zeros(len(words), bool)
-            for w in windows:
-                hit |= w.value.hits(words)[0]
-            keep_rows.append(not hit.any() or not (drop_documents or hit.all()))
-            new.append(_without(text, hit) if hit.any() else text)
+            stays = True
+            while stays:  # words that a cut brings together may make another window
+                words = words_of(text.encode() if text is not None else None)
+                hit = np.zeros(len(words), bool)
+                for w in windows:
+                    hit |= w.value.hits(words)[0]
+                if not hit.any():
+                    break
+                stays, text = not (drop_documents or hit.all()), _without(text, hit)
+            keep_rows.append(stays)
+            new.append(text)
         out = {name: batch[name] for name in batch.schema.names} | {"text": pa.array(new, pa.string())}
         if "n_chars" in out:
             out["n_chars"] = pa.array([n if a == b else len(a) for a, b, n in zip(new, batch["text"].to_pylist(), batch["n_chars"].to_pylist(), strict=True)], batch["n_chars"].type)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language, neardup, packing, quality, scoring, secrets, sharding
+from millrace.llm import decontamination, language, neardup, packing, quality, scoring, secrets, sharding, substrings
 from millrace.llm.common import table
 
 
@@ -70,6 +70,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per span of a document that an earlier one has too."""
+    return substrings.spans(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shards(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
+    "op9_substrings": op9_substrings,
     "op10_sharding": op10_sharding,
 }
 
