@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language, neardup, packing, quality, scoring, secrets, sharding, substrings
+from millrace.llm import decontamination, language, licenses, neardup, packing, quality, scoring, secrets, sharding, substrings
 from millrace.llm.common import table
 
 
@@ -44,6 +44,11 @@ def op3_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document and license notice found in it."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_neardup": op2_neardup,
     "op3_scoring": op3_scoring,
+    "op4_licenses": op4_licenses,
     "op5_secrets": op5_secrets,
     "op6_language": op6_language,
     "op7_decontamination": op7_decontamination,
