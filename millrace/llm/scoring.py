@@ -19,9 +19,9 @@ scores remain; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,12 @@ from millrace.llm.common import arrow_schema, bounded_batches, keep, record_batc
 COMMON = 100_000
 #: Distinct words that a counting task holds before it passes their counts on.
 HELD_WORDS = 400_000
+#: Scores of other words that a task keeps.
+HELD_SCORES = 300_000
 #: Passes of expectation maximisation.
 PASSES = 2
+#: Words that a fitting task works on at once.
+FIT_WORDS = 20_000
 #: Added to each piece's expected count.
 SMOOTHING = 0.1
 MARK = "▁"
@@ -47,17 +51,26 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_LOWER).split() if text else []
 
 
-@dataclass
-class Lattice:
-    """Natural log probabilities of pieces, of the 256 byte pieces and of a text's end."""
+_P = np.uint64(0x9E3779B97F4A7C15)
+#: Cells of (word, start, length) that are worked on at once.
+CELLS = 1_000_000
 
-    pieces: dict[str, float]
-    byte: list[float]
-    end: float
-    longest: int = field(init=False)
 
-    def __post_init__(self):
-        self.longest = max(map(len, self.pieces), default=1)
+class Lattice:
+    """Natural log probabilities of pieces, of the 256 byte pieces and of a text's end; words are worked on many at a time."""
+
+    def __init__(self, names: list[str], pieces: np.ndarray, byte: np.ndarray, end: float):
+        self.names, self.pieces, self.byte, self.end = names, pieces, byte, end
+        self.longest = max(map(len, names), default=1)
+        bits = max(4, (8 * len(names)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.at, self.probes = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64), 1
+        for k, name in enumerate(names):
+            h = self._hash(_codes([name]))[-1]
+            place, n = int(self._place(h)[0]), 1
+            while self.keys[place]:
+                place, n = (place + 1) & self.mask, n + 1
+            self.keys[place], self.at[place], self.probes = h[0], k, max(self.probes, n)
 
     @classmethod
     def of_vocabulary(cls, pieces: list[tuple[str, float]]) -> Lattice:
@@ -65,46 +78,114 @@ class Lattice:
         ranks = min((s for _, s in pieces), default=0) < -100
         weight = {p: 1 / (100 - s) if ranks else math.exp(s) for p, s in pieces}
         total = sum(weight.values()) + 256e-6
-        byte = [(weight.pop(f"<0x{b:02X}>", 0) + 1e-6) / total for b in range(256)]
-        return cls({p: math.log(w / total) for p, w in weight.items()}, [math.log(x) for x in byte], math.log(0.01))
-
-    def edges(self, word: str) -> list[list[tuple[int, float, str | bytes]]]:
-        """For each end position, (start, log probability, piece) of the pieces that end there. Characters that no piece begins with are spelled in bytes."""
-        s, get, longest = MARK + word, self.pieces.get, self.longest
-        out = [[] for _ in range(len(s) + 1)]
-        for i in range(len(s)):
-            for j in range(i + 1, min(len(s), i + longest) + 1):
-                if (p := get(s[i:j])) is not None:
-                    out[j].append((i, p, s[i:j]))
-            if get(s[i]) is None:
-                b = s[i].encode("utf-8", "surrogatepass")
-                out[i + 1].append((i, sum(self.byte[x] for x in b), b))
+        byte = np.array([weight.pop(f"<0x{b:02X}>", 0) + 1e-6 for b in range(256)]) / total
+        return cls(list(weight), np.log(np.array(list(weight.values())) / total), np.log(byte), math.log(0.01))
+
+    @staticmethod
+    def _hash(codes: np.ndarray) -> np.ndarray:
+        """Row j: of the first j characters of each word; wraps at 64 bits."""
+        out = np.zeros((codes.shape[1] + 1, codes.shape[0]), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(codes.shape[1]):
+                out[j + 1] = out[j] * _P + codes[:, j] + np.uint64(1)
         return out
 
-    def log_probability(self, word: str) -> float:
-        """Of the word, over all its segmentations."""
-        return self._forward(self.edges(word))[-1]
+    def _place(self, h: np.ndarray) -> np.ndarray:
+        h = np.asarray(h ^ (h >> np.uint64(29)))
+        return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> self.shift).astype(np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Number of the piece with each hash, or -1."""
+        place = self._place(h)
+        key = self.keys[place]
+        out = np.where(key == h, self.at[place], -1)
+        todo = np.flatnonzero((key != h) & (key != 0))
+        for _ in range(self.probes - 1):
+            if not len(todo):
+                break
+            place[todo] = (place[todo] + 1) & self.mask
+            key = self.keys[place[todo]]
+            good = key == h[todo]
+            out[todo[good]] = self.at[place[todo[good]]]
+            todo = todo[~good & (key != 0)]
+        return out
+
+    def _edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For words of one length n: piece numbers and log probabilities, by end - 1, length - 1 and word; -1 and -inf where no piece is. A character without a piece of its own is -2 and spelled in bytes."""
+        codes = _codes(words)
+        n, longest = codes.shape[1], min(self.longest, codes.shape[1])
+        prefix = self._hash(codes)
+        number = np.full((n, longest, len(words)), -1, np.int64)
+        with np.errstate(over="ignore"):
+            power = np.uint64(1)
+            for k in range(1, longest + 1):
+                power = power * _P
+                number[k - 1 :, k - 1] = self._find((prefix[k:] - prefix[:-k] * power).ravel()).reshape(n - k + 1, -1)
+        value = np.where(number >= 0, self.pieces[np.maximum(number, 0)] if len(self.pieces) else 0.0, -np.inf)
+        spelled = np.argwhere(number[:, 0] < 0)
+        for j, w in spelled.tolist():
+            value[j, 0, w] = self.byte[_spelling(words[w][j])].sum()
+            number[j, 0, w] = -2
+        return number, value
 
     @staticmethod
-    def _forward(edges: list[list[tuple]]) -> list[float]:
-        f = [0.0]
-        for into in edges[1:]:
-            terms = [f[i] + p for i, p, _ in into]
-            top = max(terms)
-            f.append(top if len(terms) == 1 else top + math.log(sum(math.exp(t - top) for t in terms)))
+    def _forward(value: np.ndarray) -> np.ndarray:
+        n, longest, m = value.shape
+        f = np.full((n + 1, m), -np.inf)
+        f[0] = 0
+        for j in range(1, n + 1):
+            k = min(longest, j)
+            f[j] = np.logaddexp.reduce(f[j - k : j][::-1] + value[j - 1, :k])
         return f
 
-    def expect(self, word: str, n: float, counts: dict) -> None:
-        """Adds to counts how often each piece is expected in n of this word."""
-        edges = self.edges(word)
-        f = self._forward(edges)
-        back = [-math.inf] * len(f)
-        back[-1] = 0.0
-        for j in range(len(f) - 1, 0, -1):
-            for i, p, piece in edges[j]:
-                q = p + back[j]
-                back[i] = q if back[i] == -math.inf else max(back[i], q) + math.log1p(math.exp(-abs(back[i] - q)))
-                counts[piece] = counts.get(piece, 0.0) + n * math.exp(f[i] + q - f[-1])
+    def _groups(self, words: list[str]):
+        """Numbers of words of one length, few enough to work on at once."""
+        lengths = np.array(list(map(len, words)))
+        order = np.argsort(lengths, kind="stable")
+        edges = np.flatnonzero(np.diff(lengths[order], prepend=-1)).tolist()
+        for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+            n = int(lengths[order[a]])
+            step = max(1, CELLS // ((n + 1) * min(self.longest, n + 1)))
+            for i in range(a, b, step):
+                yield order[i : min(i + step, b)]
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Of each word, over all its segmentations."""
+        out = np.zeros(len(words))
+        for group in self._groups(words) if words else ():
+            out[group] = self._forward(self._edges([MARK + words[k] for k in group.tolist()])[1])[-1]
+        return out
+
+    def expected(self, words: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each piece and each byte is expected in these words, each taken so many times."""
+        pieces, byte = np.zeros(len(self.names)), np.zeros(256)
+        for group in self._groups(words) if words else ():
+            own = [MARK + words[k] for k in group.tolist()]
+            number, value = self._edges(own)
+            n, longest, _ = value.shape
+            f = self._forward(value)
+            back = np.full_like(f, -np.inf)
+            back[n] = 0
+            for i in range(n - 1, -1, -1):
+                k = np.arange(min(longest, n - i))
+                back[i] = np.logaddexp.reduce(value[i + k, k] + back[i + k + 1])
+            for k in range(longest):
+                share = np.exp(f[: n - k] + value[k:, k] + back[k + 1 :] - f[n]) * times[group]
+                at = number[k:, k]
+                found = at >= 0
+                pieces += np.bincount(at[found], share[found], len(pieces))
+                if k == 0:
+                    for j, w in np.argwhere(at == -2).tolist():
+                        byte[_spelling(own[w][j])] += share[j, w]
+        return pieces, byte
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64)
+
+
+def _spelling(character: str) -> list[int]:
+    return list(character.encode("utf-8", "surrogatepass"))
 
 
 def vocabulary(model_path: str) -> list[tuple[str, float]]:
@@ -143,6 +224,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _text(word: bytes) -> str:
+    return word.decode("utf-8", "surrogateescape")
+
+
 def fit(lattice: Lattice, counts: DataFrame, n_texts: int, n_words: int, passes: int = PASSES) -> Lattice:
     """The lattice with probabilities fitted to the word counts: one job over the distinct words for each pass."""
     spark = counts.sparkSession
@@ -150,26 +235,57 @@ def fit(lattice: Lattice, counts: DataFrame, n_texts: int, n_words: int, passes:
         held = spark.sparkContext.broadcast(lattice)
 
         def run(batches, held=held):
-            found: dict = {}
-            for batch in batches:
-                for w, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True):
-                    held.value.expect(w.decode("utf-8", "surrogateescape"), n, found)
-            by_piece: dict[bytes, float] = {}
-            for k, v in found.items():
-                for name in [b"p" + k.encode("utf-8", "surrogateescape")] if isinstance(k, str) else [b"b" + bytes([b]) for b in k]:
-                    by_piece[name] = by_piece.get(name, 0.0) + v
-            yield pa.RecordBatch.from_arrays([pa.array(list(by_piece), pa.binary()), pa.array(list(by_piece.values()), pa.float64())], ["piece", "n"])
-
-        # One row per piece of the vocabulary at most.
-        rows = counts.where("word is not null").mapInArrow(run, "piece binary, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-        expected = dict(zip(map(bytes, rows["piece"]), rows["n"], strict=True))
-        piece = {p: expected.get(b"p" + p.encode("utf-8", "surrogateescape"), 0.0) + SMOOTHING for p in lattice.pieces}
-        byte = [expected.get(b"b" + bytes([b]), 0.0) + SMOOTHING for b in range(256)]
-        total = sum(piece.values()) + sum(byte) + n_texts + SMOOTHING
-        lattice = Lattice({p: math.log(c / total) for p, c in piece.items()}, [math.log(c / total) for c in byte], math.log((n_texts + SMOOTHING) / total))
+            pieces, byte = np.zeros(len(held.value.names)), np.zeros(256)
+            words, times = [], []
+            for batch in itertools.chain(batches, [None]):
+                if batch is not None:
+                    words += batch["word"].to_pylist()
+                    times.append(batch["n"].to_numpy().astype(float))
+                # Many words at a time: the work on one length costs little more for thousands than for one.
+                if words and (batch is None or len(words) >= FIT_WORDS):
+                    p, b = held.value.expected(list(map(_text, words)), np.concatenate(times))
+                    pieces, byte, words, times = pieces + p, byte + b, [], []
+            every = np.concatenate((pieces, byte))
+            at = np.flatnonzero(every)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(every[at])], ["piece", "n"])
+
+        # One row per piece of the vocabulary and byte at most.
+        rows = counts.where("word is not null").mapInArrow(run, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+        expected = np.full(len(lattice.names) + 256, SMOOTHING)
+        expected[rows["piece"].to_numpy(np.int64)] += rows["n"].to_numpy(float)
+        total = expected.sum() + n_texts + SMOOTHING
+        log = np.log(expected / total)
+        lattice = Lattice(lattice.names, log[:-256], log[-256:], math.log((n_texts + SMOOTHING) / total))
     return lattice
 
 
+class Numbers(dict):
+    """Each new word gets the next number."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Memo:
+    """Number, count and log probability of the common words, and log probabilities of as many more as there is room for."""
+
+    def __init__(self, lattice: Lattice, common: dict[bytes, int]):
+        self.lattice, self.common = lattice, common
+        self.known = dict(zip(common, lattice.log_probabilities(list(map(_text, common))).tolist(), strict=True))
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        out = list(map(self.known.get, words))
+        if missing := [k for k, v in enumerate(out) if v is None]:
+            new = [words[k] for k in missing]
+            found = self.lattice.log_probabilities(list(map(_text, new))).tolist()
+            for k, v in zip(missing, found, strict=True):
+                out[k] = v
+            if len(self.known) < len(self.common) + HELD_SCORES:
+                self.known.update(zip(new, found, strict=True))
+        return np.array(out, float)
+
+
 def score(docs: DataFrame, pieces: list[tuple[str, float]], train: Column, common: int = COMMON, passes: int = PASSES) -> DataFrame:
     """One row per document: doc_id, train (whether it was learned from), n_tokens, n_known, train_tokens, base_score, score (both log10)."""
     spark = docs.sparkSession
@@ -181,46 +297,46 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]], train: Column, commo
     lattice = fit(Lattice.of_vocabulary(pieces), counts, n_texts, n_all - n_texts, passes)
     top = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(common).toPandas()  # at most `common` rows
     lowest = int(top["n"].min()) if len(top) else 0
-    memo = {bytes(w): (int(n), lattice.log_probability(bytes(w).decode("utf-8", "surrogateescape"))) for w, n in zip(top["word"], top["n"], strict=True)}
-    held = spark.sparkContext.broadcast((lattice, memo))
+    held = spark.sparkContext.broadcast((lattice, dict(zip(map(bytes, top["word"]), top["n"].tolist(), strict=True))))
     unit = math.log10(n_all + distinct + 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    kinds = arrow_schema(spark, f"row bigint, doc_id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double, word bigint, times bigint")
+    schema = f"row bigint, doc_id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double, word bigint, times bigint"
+    kinds = arrow_schema(spark, schema)
 
     def run(batches):
         """A row per document with what the common words give, and one per other distinct word of it."""
         import xxhash
 
-        lattice, memo = held.value
-        rare: dict[bytes, tuple[int, float]] = {}
-        hash64 = xxhash.xxh3_64_intdigest
+        memo = Memo(*held.value)
+        hash64, common = xxhash.xxh3_64_intdigest, memo.common
         for batch in batches:
-            columns: dict[str, list] = {f.name: [] for f in kinds}
-            rows, ids, trains = batch["row"].to_pylist(), batch["doc_id"].to_pylist(), batch["train"].to_pylist()
-            for row, doc, train, text in zip(rows, ids, trains, batch["text"].to_pylist(), strict=True):
-                words = words_of(text)
-                tally, known = Counter(words), 0
-                base, log_p = math.log10(n_texts + 1) - unit, lattice.end
-                for w, n in tally.items():
-                    if (found := memo.get(w)) is not None:
-                        base += n * (math.log10(found[0] + 1) - unit)
-                        known += n
-                    else:
-                        if (found := rare.get(w)) is None:
-                            if len(rare) > 200_000:
-                                rare.clear()
-                            h = hash64(w)
-                            rare[w] = found = (h - (1 << 64) if h >> 63 else h, lattice.log_probability(w.decode("utf-8", "surrogateescape")))
-                        for c, v in (("row", row), ("doc_id", None), ("train", None), ("n_tokens", None), ("n_known", None), ("base_score", None), ("score", None), ("word", found[0]), ("times", n)):
-                            columns[c].append(v)
-                    log_p += n * found[1]
-                for c, v in (("row", row), ("doc_id", doc), ("train", train), ("n_tokens", len(words) + 1), ("n_known", known + (n_texts > 0)), ("base_score", base), ("score", log_p / math.log(10)), ("word", None), ("times", None)):
-                    columns[c].append(v)
-            yield record_batch(columns, kinds)
-
+            number = Numbers()
+            parts = [words_of(t) for t in batch["text"].to_pylist()]
+            size = np.array(list(map(len, parts)), np.int64)
+            ids = np.array([k for p in parts for k in map(number.__getitem__, p)], np.int64)
+            names = list(number)
+            log_p = memo.log_probabilities(names) / math.log(10)
+            c = np.array([common.get(w, 0) for w in names], np.int64)
+            doc = np.repeat(np.arange(len(parts)), size)
+            base = np.where(c > 0, np.log10(c + 1.0) - unit, 0.0)
+            by_doc = lambda x: np.bincount(doc, x, len(parts)) if len(doc) else np.zeros(len(parts))  # noqa: E731, B023
+            own = {"row": batch["row"], "doc_id": batch["doc_id"], "train": batch["train"], "n_tokens": size + 1}
+            own |= {"n_known": by_doc((c > 0)[ids].astype(float)).astype(np.int64) + (n_texts > 0), "base_score": by_doc(base[ids]) + math.log10(n_texts + 1) - unit, "score": by_doc(log_p[ids]) + lattice_end}
+            yield record_batch(own | {x: pa.nulls(len(parts), pa.int64()) for x in ("word", "times")}, kinds)
+            rare = c[ids] == 0
+            if rare.any():
+                pair, times = np.unique(doc[rare] * len(names) + ids[rare], return_counts=True)
+                used = np.unique(pair % len(names))
+                hashes = np.zeros(len(names), np.uint64)
+                hashes[used] = np.array([hash64(names[k]) for k in used.tolist()], np.uint64)
+                rows = batch["row"].take(pa.array(pair // len(names)))
+                empty = {f.name: pa.nulls(len(pair), f.type) for f in kinds}
+                yield record_batch(empty | {"row": rows, "word": hashes[pair % len(names)].view(np.int64), "times": times.astype(np.int64)}, kinds)
+
+    lattice_end = lattice.end / math.log(10)
     own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("text"), train.alias("train"))
     # Kept, because two branches read it and must agree on the row numbers.
-    parts = keep(own.mapInArrow(run, ", ".join(f"{f.name} {t}" for f, t in zip(kinds, ("bigint", kind, "boolean", "bigint", "bigint", "double", "double", "bigint", "bigint"), strict=True))), "scores")
+    parts = keep(own.mapInArrow(run, schema), "scores")
     # The hash is made in Python for both sides.
     rare_counts = counts.where(F.col("word").isNotNull() & (F.col("n") <= lowest)).mapInArrow(_hashed, "word bigint, n bigint")
     rest = parts.where("word is not null").select("row", "word", "times").join(rare_counts, "word", "left")
