@@ -100,3 +100,37 @@ def coverage(requested: DataFrame, answered: DataFrame, produces: DataFrame) ->
     hits = requested.join(answered, "output_id", "left").join(produces.withColumn("right", F.lit(True)), ["kind", "operation"], "left")
     out = hits.groupBy("output_id").agg(F.bool_or(F.coalesce("right", F.lit(False))).alias("yes"), F.bool_or(F.col("ref").isNotNull()).alias("some"))
     return out.select("output_id", F.when(F.col("yes"), "covered").when(F.col("some"), "wrong_operation").otherwise("missing").alias("status"))
+
+
+#: Words by which an answer claims to know a plant's present state, which a drawing never holds.
+LIVE_STATE = r"(?i)\b(currently|right now|at the moment|is (open|closed|running|stopped) now)\b"
+
+
+def live_state(c: Column) -> Column:
+    return c.rlike(LIVE_STATE)
+
+
+def leaks(answers: DataFrame, prompt: str, width: int = 80) -> DataFrame:
+    """answers: id, text. Ids whose text repeats `width` characters of the prompt: windows of both are joined, not compared one with all."""
+    plain = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
+    windows = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - width + 1), lambda i: F.xxhash64(F.substring(c, i, F.lit(width))))
+    own = answers.select("id", plain(F.col("text")).alias("t")).where(F.length("t") >= width).select("id", F.explode(windows(F.col("t"))).alias("h"))
+    secret = answers.sparkSession.createDataFrame([(" ".join(prompt.lower().split()),)], "t string").where(F.length("t") >= width).select(F.explode(windows(F.col("t"))).alias("h"))
+    return own.join(F.broadcast(secret.distinct()), "h", "left_semi").select("id").distinct()
+
+
+def render(rows: DataFrame) -> DataFrame:
+    """Facts as sentences: predicate, subject, object, value -> statement."""
+    p, s, o, v = (F.col(c) for c in ("predicate", "subject", "object", "value"))
+    sentence = (
+        F.when(p == "has_type", F.format_string("%s is a %s", s, v))
+        .when(p == "has_tag", F.format_string("%s is tagged %s", s, v))
+        .when(p == "connected_to", F.format_string("drawn flow runs from %s to %s", s, o))
+        .when(p == "instrument_link", F.format_string("%s and %s are linked by instrumentation", s, o))
+        .when(p == "open_end", F.format_string("a pipe at %s has an open end (%s)", s, v))
+        .when(p == "flow_path", F.format_string("%s lies downstream of %s, %s pipes on", o, s, v))
+        .when(p == "topological_path", F.format_string("%s and %s are joined by %s pipes, whatever the flow", s, o, v))
+        .when(p == "reaches_nothing", F.format_string("nothing is drawn beyond %s", s))
+        .otherwise(F.concat_ws(" ", p, s, o, v))
+    )
+    return rows.withColumn("statement", sentence)

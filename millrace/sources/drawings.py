@@ -41,10 +41,10 @@ ANCESTORS = {
 def read_drawings(spark: SparkSession, *paths: str) -> DataFrame:
     """One row per object of each drawing; a drawing without any, or that isn't XML, has one row with error."""
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    return files.mapInPandas(_parsed, OBJECTS)
+    return files.mapInPandas(parsed, OBJECTS)
 
 
-def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["drawing_id", "ord", "tag", "id", "owner_id", "type", "properties", "associations", "links", "error"]
     for frame in frames:
         for path, content in zip(frame["path"], frame["content"], strict=True):
