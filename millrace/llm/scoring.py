@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import arrow_schema, bounded_batches, keep, record_batch, texts
 
-#: Words whose counts and scores every task gets; at about 200 bytes each, 20 MB in a Python worker.
+#: Most words whose counts and scores every task gets; at about 200 bytes each, 20 MB in a Python worker.
 COMMON = 100_000
 #: Distinct words that a counting task holds before it passes their counts on.
 HELD_WORDS = 400_000
@@ -295,8 +295,17 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]], train: Column, commo
     totals = counts.agg(F.sum("n").alias("all"), F.count("word").alias("distinct"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("texts")).first()
     n_texts, n_all, distinct = totals.texts or 0, totals.all or 0, totals.distinct + (1 if totals.texts else 0)
     lattice = fit(Lattice.of_vocabulary(pieces), counts, n_texts, n_all - n_texts, passes)
-    top = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(common).toPandas()  # at most `common` rows
-    lowest = int(top["n"].min()) if len(top) else 0
+    # The most frequent words by steps of the count's logarithm: as many whole steps as hold no more than `common` words. The histogram has
+    # at most 1,024 rows; the words of the lower steps never reach the driver.
+    step = F.floor(F.log2("n") * 16).cast("int")
+    words = counts.where("word is not null")
+    cut, many = -1, 0
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r.step):
+        many += r.k
+        if many > common:
+            cut = r.step
+            break
+    top = words.where(step > cut).toPandas()
     held = spark.sparkContext.broadcast((lattice, dict(zip(map(bytes, top["word"]), top["n"].tolist(), strict=True))))
     unit = math.log10(n_all + distinct + 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -338,7 +347,7 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]], train: Column, commo
     # Kept, because two branches read it and must agree on the row numbers.
     parts = keep(own.mapInArrow(run, schema), "scores")
     # The hash is made in Python for both sides.
-    rare_counts = counts.where(F.col("word").isNotNull() & (F.col("n") <= lowest)).mapInArrow(_hashed, "word bigint, n bigint")
+    rare_counts = words.where(step <= cut).mapInArrow(_hashed, "word bigint, n bigint")
     rest = parts.where("word is not null").select("row", "word", "times").join(rare_counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
     rest = rest.groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * (F.log10(c + 1) - F.lit(unit))).alias("more_base"))
