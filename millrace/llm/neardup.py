@@ -7,12 +7,14 @@ bucket are candidates; with 4 rows and 32 bands two nodes of similarity 0.8 shar
 A bucket is never expanded into all its pairs. It is settled in rounds: a few of its nodes become hubs and are compared with the
 bucket's nodes of other components, and are then done with. Nodes found linked fall into one component, so in a group of near
 copies most nodes are never compared with each other. A bucket is settled when its nodes that are not done lie in one
-component: then each pair in it was compared or is connected. Each round takes four times as many hubs, least connected nodes first, and
+component: then each pair in it was compared, is connected, or can't be linked. Each round takes 16 times as many hubs, least connected nodes first, and
 pairs that failed are not tried again. So no link between different texts is lost, and no cap is needed.
 
-Candidates are screened by set sizes (exact) and by the share of equal minima (5 standard deviations below the threshold), and
-confirmed on full sets, which are made again from the texts of the few nodes that need them. Links go into components by
-alternating large-star and small-star steps. Nothing but counts reaches the driver.
+Candidates are screened inside the join that finds them: by set sizes (exact), by the minima that agree (5 standard deviations below
+the threshold), and, after the first round, by what both share with a hub that both were compared with, and the most they can
+share beside (exact). So a group of many near copies, some too far apart, makes few pairs. Pairs are confirmed on
+full sets, made again from the texts of the few nodes that need them. Links go into components by alternating large-star and
+small-star steps. Nothing but counts reaches the driver.
 
 Defined cases: null texts and texts without words have empty sets, are linked with nothing and stay; a text of fewer words
 than a shingle is one shingle; rows with equal sets are one group, be their doc_ids equal or null; a component's id is
@@ -76,7 +78,7 @@ def minima(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """row, doc_id, n, key (of the set; null if empty), bands (bucket numbers), sketch (a byte of each minimum)."""
+    """row, doc_id, n, key (of the set; null if empty), bands (bucket numbers), sketch (four bits of each minimum)."""
 
     def one(batch: pa.RecordBatch) -> dict:
         import xxhash
@@ -95,12 +97,13 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 b = _mix((b + column) * _C[0])
             out["key"].append(xxhash.xxh3_128_digest(s.tobytes()))
             out["bands"].append(b.view(np.int64))
-            out["sketch"].append(m.astype(np.uint8).tobytes())
+            half = (m & np.uint64(15)).reshape(-1, 16)
+            out["sketch"].append((half << np.arange(0, 64, 4, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64))
         return out
 
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return scan(docs.select("row", "doc_id", F.col("text").cast("binary").alias("text")), one, f"row bigint, doc_id {kind}, n bigint, key binary, bands array<bigint>, sketch binary")
+    return scan(docs.select("row", "doc_id", F.col("text").cast("binary").alias("text")), one, f"row bigint, doc_id {kind}, n bigint, key binary, bands array<bigint>, sketch array<bigint>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -119,18 +122,32 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return scan(own, one, "node bigint, s array<bigint>").groupBy("node").agg(F.first("s").alias("s"))
 
 
-def _agree(pairs: DataFrame, percent: int) -> DataFrame:
-    """Screens (u, v, u_n, v_n, u_sketch, v_sketch) by sizes and by the minima that agree; keeps (u, v)."""
+def _may_link(percent: int):
+    """Condition on two members (n, s0 ... of a; hub_n, hub_s0 ... of the hub) that no linked pair fails: sizes (exact), and minima that agree.
+
+    An equal minimum agrees in its four bits; 5 standard deviations are left below the threshold.
+    """
     t = percent / 100
-    least = (t - 5 * np.sqrt(t * (1 - t) / HASHES)) * HASHES
-    sized = pairs.where(100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n"))
+    least = int(np.floor((t - 5 * np.sqrt(t * (1 - t) / HASHES)) * HASHES))
+    ones = F.lit(0x1111111111111111)
+    apart = F.lit(0)
+    for k in range(HASHES // 16):
+        d = F.col(f"s{k}").bitwiseXOR(F.col(f"hub_s{k}"))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        apart = apart + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(ones))
+    return (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (HASHES - apart >= least)
 
-    def one(batch: pa.RecordBatch) -> dict:
-        a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("u_sketch", "v_sketch"))
-        ok = pa.array((a == b).sum(1) >= least, pa.bool_())
-        return {c: batch[c].filter(ok) for c in ("u", "v")}
 
-    return scan(sized, one, "u bigint, v bigint")
+def _not_apart(percent: int):
+    """Condition on two members that were both compared with one hub: no linked pair fails it.
+
+    What two nodes share lies in the hub's set, where bits tell exactly, or outside, where only shingles count that some other node
+    compared with that hub has too (loose: how many).
+    """
+    inside = F.aggregate(F.zip_with("bits", "hub_bits", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda n, x: n + x)
+    most = inside + F.least("loose", "hub_loose")
+    known = (F.col("ref") == F.col("hub_ref")) & F.col("loose").isNotNull() & F.col("hub_loose").isNotNull()
+    return F.when(known, (100 + percent) * most >= percent * (F.col("n") + F.col("hub_n"))).otherwise(True)
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -145,58 +162,85 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
     bucket = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-    members = keep(bucket.join(shared, "bucket"), "members")
+    members = bucket.join(shared, "bucket")
+    # Nodes of many buckets first: they lie in the middle of their group and link most of it at once.
+    busy = members.groupBy("node").agg((-F.count(F.lit(1))).alias("weight"))
+    own = busy.join(info, "node").select("node", "weight", "n", *(F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(HASHES // 16)))
+    null = F.lit(None).cast("bigint")
+    members = keep(members.join(own, "node").withColumns({"component": F.col("node"), "ref": null, "bits": F.lit(None).cast("array<bigint>"), "loose": null}), "members")
     links = failed = labels = None
     hubs = HUBS
     while not members.isEmpty():
-        pairs = _candidates(members, hubs)
+        members = keep(_ranked(members, hubs), "ranked")
+        pairs = _candidates(members, percent)
         if failed is not None:
             pairs = pairs.join(failed, ["u", "v"], "left_anti")
-        for end in ("u", "v"):
-            pairs = pairs.join(info.select(F.col("node").alias(end), F.col("n").alias(f"{end}_n"), F.col("sketch").alias(f"{end}_sketch")), end)
-        close = keep(_agree(pairs, percent), "close")
+        close = keep(pairs, "close")
         wanted = close.select(F.col("u").alias("node")).unionByName(close.select(F.col("v").alias("node"))).distinct()
         sets = keep(_sets(docs, keep(wanted.join(info.select("node", "row", "key"), "node"), "wanted"), words), "sets")
         both = close.join(sets.withColumnsRenamed({"node": "u", "s": "us"}), "u").join(sets.withColumnsRenamed({"node": "v", "s": "vs"}), "v")
         same = F.size(F.array_intersect("us", "vs"))
         tried = keep(both.select("u", "v", same.alias("i"), (F.size("us") + F.size("vs") - same).alias("all")).select("u", "v", (100 * F.col("i") >= percent * F.col("all")).alias("linked")), "tried")
-        for x in (close, sets):
-            forget(x)
         new, wrong = tried.where("linked").select("u", "v"), tried.where("not linked").select("u", "v")
         links, failed = (new, wrong) if links is None else (links.unionByName(new), failed.unionByName(wrong))
-        labels = keep(components(links), "labels")
-        before, members = members, keep(_unsettled(members, labels, hubs), "members")
-        forget(before)
-        hubs *= 4
+        if labels is None or not new.isEmpty():
+            labels = keep(components(links), "labels")
+        left = _unsettled(members, labels)
+        before, members = members, keep(_seen_from_hubs(left, tried, sets) if hubs == HUBS else left, "members")
+        for x in (before, close, sets):
+            forget(x)
+        hubs *= 16
     return _result(rows, nodes, labels)
 
 
 def _ranked(members: DataFrame, hubs: int) -> DataFrame:
-    """The bucket's hubs: nodes of the smallest components first. The rank filter works before the shuffle too, so no bucket is gathered."""
+    """members with hub (true for the bucket's first few by weight). The rank filter works before the shuffle too, so no bucket is gathered."""
     order = Window.partitionBy("bucket").orderBy("weight", F.xxhash64("node"), "node")
-    return members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hubs)
+    first = members.select("bucket", "node", "weight").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hubs).select("bucket", "node", "rank")
+    return members.join(first, ["bucket", "node"], "left")
 
 
-def _candidates(members: DataFrame, hubs: int) -> DataFrame:
-    """Distinct pairs (u < v) of a hub and a node of its bucket that isn't in its component."""
-    if "component" not in members.columns:
-        members = members.withColumns({"component": F.col("node"), "weight": F.lit(1).cast("long")})
-    hub = _ranked(members, hubs).select("bucket", F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-    pairs = members.join(hub, "bucket").where("node <> hub and component <> hub_component")
-    return pairs.select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
+def _candidates(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (u < v) of a hub and a node of its bucket that isn't in its component and may be linked with it."""
+    hub = members.where("rank is not null").drop("rank", "weight")
+    hub = hub.select("bucket", *(F.col(c).alias(f"hub_{c}") for c in hub.columns if c != "bucket"))
+    apart = (F.col("node") != F.col("hub_node")) & (F.col("component") != F.col("hub_component"))
+    pairs = members.join(hub, "bucket").where(apart & _may_link(percent) & _not_apart(percent))
+    return pairs.select(F.least("hub_node", "node").alias("u"), F.greatest("hub_node", "node").alias("v")).distinct()
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, hubs: int) -> DataFrame:
-    """Nodes that were no hubs, in buckets where such nodes lie in two components or more, with their component and its number of nodes."""
-    if "component" not in members.columns:
-        members = members.withColumns({"component": F.col("node"), "weight": F.lit(1).cast("long")})
-    done = _ranked(members, hubs).select("bucket", "node")
-    left = members.join(done, ["bucket", "node"], "left_anti").select("bucket", "node")
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Nodes that were no hubs, in buckets where such nodes lie in two components or more, with their component and its number of nodes; ref is the bucket's first hub."""
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
-    named = labels.join(sizes, "component")
-    left = left.join(named, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    named = labels.join(sizes, "component").select("node", F.col("component").alias("new"), F.col("weight").alias("many"))
+    first = members.where("rank = 1").select("bucket", F.col("node").alias("first"))
+    left = members.where("rank is null").drop("rank").join(named, "node", "left")
+    left = left.withColumns({"component": F.coalesce("new", "node"), "weight": F.coalesce("many", F.lit(1).cast("long"))}).drop("new", "many")
     several = left.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
-    return left.join(several, "bucket")
+    return left.join(several.join(first, "bucket"), "bucket").withColumn("ref", F.coalesce("ref", "first")).drop("first")
+
+
+def _seen_from_hubs(members: DataFrame, tried: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds, for nodes that were compared with ref: bits (which of ref's shingles the node has) and loose (how many of its others some other node compared with ref has)."""
+    refs = members.select("ref").distinct()
+    ends = lambda a, b: tried.select(F.col(a).alias("ref"), F.col(b).alias("node"))
+    compared = ends("u", "v").unionByName(ends("v", "u")).join(refs, "ref", "left_semi")
+    both = compared.join(sets.withColumnsRenamed({"node": "ref", "s": "rs"}), "ref").join(sets, "node").select("ref", "node", "rs", "s")
+
+    def one(batch: pa.RecordBatch) -> dict:
+        bits, others = [], []
+        for rs, s in zip(batch["rs"], batch["s"], strict=True):
+            r, x = (np.asarray(v.values) for v in (rs, s))
+            packed = np.packbits(np.isin(r, x))
+            bits.append(np.pad(packed, (0, -len(packed) % 8)).view(np.int64))
+            others.append(x[~np.isin(x, r)])
+        return {"ref": batch["ref"], "node": batch["node"], "bits": bits, "others": others}
+
+    compared = keep(scan(both, one, "ref bigint, node bigint, bits array<bigint>, others array<bigint>"), "compared")
+    single = compared.select("ref", "node", F.explode("others").alias("shingle")).groupBy("ref", "shingle").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
+    own = single.groupBy("ref", "node").agg(F.count(F.lit(1)).alias("own"))
+    known = compared.join(own, ["ref", "node"], "left").select("ref", "node", F.col("bits").alias("new_bits"), (F.size("others") - F.coalesce("own", F.lit(0))).cast("long").alias("new_loose"))
+    return members.join(known, ["ref", "node"], "left").withColumns({"bits": F.col("new_bits"), "loose": F.col("new_loose")}).select(*members.columns)
 
 
 def _result(rows: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
