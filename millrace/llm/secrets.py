@@ -84,7 +84,7 @@ def samples(docs: DataFrame, n_documents: int = SAMPLE_DOCUMENTS, n_random: int
     raw = F.regexp_replace(F.base64(F.unhex(digest)), "[=]+$", "")
     forms = F.array(raw, F.translate(raw, "+/", "-_"), digest, F.upper(digest), F.substring(F.regexp_replace(raw, "[+/]", ""), 1, 24), F.upper(F.regexp_replace(raw, "[+/]", "")))
     random = spark.range(n_random).select(F.explode(forms).alias("string"), F.lit(True).alias("random"))
-    some = smallest_hashed(docs.where("text is not null").select("doc_id", "text"), "doc_id", n_documents)
+    some = smallest_hashed(docs.select("doc_id", "text"), "doc_id", n_documents).where("text is not null")
     words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " "), lambda w: F.length(w) >= 2)
     words = some.select(words.alias("w")).where("size(w) > 1")
     after = F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1)))
