@@ -1,10 +1,12 @@
 """Secret scans in DataFrame operations alone: fixed patterns, and two character Markov models.
 
-The patterns give the base spans. Beside them, every long run of key characters is scored by the log-likelihood ratio of two
-first-order character chains, one for random strings and one for ordinary identifiers; a run whose mean ratio passes the
-threshold becomes a further span, unless it touches a base span. The chains and the threshold are trained from labelled
-samples of strings: by default random strings made from digests, against words (alone and joined as identifiers are) of at
-most SAMPLE_DOCUMENTS documents, those whose hashed ids are smallest. All texts are scanned whole, in one pass without
+The patterns give the base spans. Beside them, every run of SHORTEST or more key characters is scored, pair by pair, by the
+log-likelihood ratio of two first-order character chains, one for random strings and one for ordinary identifiers. The base
+spans are cut out of a run, and each piece that is left is judged alone: a piece of WHOLE or more characters whose mean ratio
+passes the threshold is a further span as a whole; of any other, each segment whose ratios sum to the least evidence is one,
+brought to the ends of its words. The chains, the threshold and the least evidence are trained from labelled samples of
+strings: by default random strings made from digests, against words (alone and joined as identifiers are) of at most
+SAMPLE_DOCUMENTS documents, those whose hashed ids are smallest. All texts are scanned whole, in one pass without
 a shuffle; the model is a table of fixed size inside the expression.
 
 Positions come from lazily captured prefixes: each match is extracted with the text before it, and the lengths are summed.
@@ -29,7 +31,8 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "markov")
 
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+SHORTEST, WHOLE = 12, 20
+RUN = rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
 #: Key characters lie between these two code points.
 FIRST, WIDTH = 43, 80
 SAMPLE_DOCUMENTS = 200
@@ -96,14 +99,14 @@ def samples(docs: DataFrame, n_documents: int = SAMPLE_DOCUMENTS, n_random: int
 
 
 class Chains:
-    """The two chains as one table of log-likelihood ratios by pair of key characters, and the mean ratio to pass."""
+    """The two chains as one table of log-likelihood ratios by pair of key characters, the mean ratio for a whole piece to pass, and the sum for a segment."""
 
-    def __init__(self, table: list[float], threshold: float):
-        self.table, self.threshold = table, threshold
+    def __init__(self, table: list[float], threshold: float, least: float = math.inf):
+        self.table, self.threshold, self.least = table, threshold, least
 
     @classmethod
     def train(cls, labelled: DataFrame, smoothing: float = 0.5) -> Chains | None:
-        """Pair counts by label (at most 2 * WIDTH^2 rows reach the driver); the threshold lies midway between what ordinary and random strings of 20 or more characters score."""
+        """Pair counts by label (at most 2 * WIDTH^2 rows reach the driver); the threshold and the least evidence lie midway between what ordinary and random strings of WHOLE or more characters score."""
         chars = F.split("string", "")
         pairs = F.transform(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: F.struct(F.ascii(F.element_at(chars, i)).alias("a"), F.ascii(F.element_at(chars, i + 1)).alias("b")))
         usable = labelled.where(f"string rlike '^[A-Za-z0-9+/_=-]{{2,}}$' and random is not null")
@@ -121,27 +124,99 @@ class Chains:
                 p = {k: (c.get((a, b), 0) + smoothing) / (sums[k] + smoothing * len(symbols)) for k, c in counts.items()}
                 ratio[(a - FIRST) * WIDTH + b - FIRST] = round(math.log(p[True] / p[False]), 3)
         own = cls(ratio, 0.0)
-        long = usable.where("length(string) >= 20").select("random", own.mean(F.col("string")).alias("m")).groupBy("random")
-        edges = {r["random"]: r for r in long.agg(F.percentile_approx("m", 0.01, 10_000).alias("low"), F.percentile_approx("m", 0.999, 10_000).alias("high")).collect()}
-        ordinary = edges[False].high if False in edges else 0.0
-        own.threshold = max(0.0, (edges[True].low + ordinary) / 2) if True in edges else max(0.0, ordinary)
+        long = usable.where(f"length(string) >= {WHOLE}").select("random", own.mean(F.col("string")).alias("m"), own.most(F.col("string")).alias("e")).groupBy("random")
+        low, high = (lambda c: F.percentile_approx(c, 0.01, 10_000).alias(f"low_{c}")), (lambda c: F.percentile_approx(c, 0.999, 10_000).alias(f"high_{c}"))
+        edges = {r["random"]: r for r in long.agg(low("m"), high("m"), low("e"), high("e")).collect()}
+        midway = lambda c: max(0.0, (edges[True][f"low_{c}"] + (edges[False][f"high_{c}"] if False in edges else 0.0)) / 2)
+        if True in edges:
+            own.threshold, own.least = midway("m"), midway("e") or math.inf
+        else:
+            own.threshold = max(0.0, edges[False].high_m if False in edges else 0.0)
         return own
 
-    def mean(self, run: Column) -> Column:
-        """Mean log-likelihood ratio over the run's pairs of characters."""
+    def ratios(self, run: Column) -> Column:
+        """Log-likelihood ratios of the run's pairs of characters."""
         table = F.split(F.lit(",".join(f"{x:g}" for x in self.table)), ",").cast("array<double>")
         codes = F.transform(F.split(run, ""), lambda c: F.ascii(c) - FIRST)
-        first = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("last"))
-        at = lambda acc, c: F.when(acc["last"] < 0, 0.0).otherwise(F.get(table, acc["last"] * WIDTH + c))
-        return F.aggregate(codes, first, lambda acc, c: F.struct((acc["sum"] + at(acc, c)).alias("sum"), c.alias("last")), lambda acc: acc["sum"]) / F.greatest(F.length(run) - 1, F.lit(1))
+        return _let(codes, lambda c: F.transform(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda x, i: F.get(table, F.get(c, i) * WIDTH + x)))
 
-
-def _method(text: Column, chains: Chains) -> Column:
-    """Spans of runs that the chains call random."""
+    def mean(self, run: Column) -> Column:
+        """Mean log-likelihood ratio over the run's pairs of characters."""
+        return F.aggregate(self.ratios(run), F.lit(0.0), lambda n, r: n + r) / F.greatest(F.length(run) - 1, F.lit(1))
+
+    def most(self, run: Column) -> Column:
+        """The greatest sum of ratios of any segment of the run."""
+        first = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("top"))
+        add = lambda acc, s: F.struct(s.alias("sum"), F.greatest(acc["top"], s).alias("top"))
+        return F.aggregate(self.ratios(run), first, lambda acc, r: add(acc, F.greatest(acc["sum"] + r, F.lit(0.0))), lambda acc: acc["top"])
+
+    def segments(self, run: Column) -> Column:
+        """(start, end) of the run's segments with the least evidence: each begins where the sum last was 0 and ends at its peak; it closes when the sum is back at 0, or as far below the peak as the least evidence."""
+        state = lambda at, sum_, begin, top, peak, out: F.struct(at.alias("at"), sum_.alias("sum"), begin.alias("begin"), top.alias("top"), peak.alias("peak"), out.alias("out"))
+        zero, nil = F.lit(0).cast("int"), F.lit(0.0)
+        first = state(zero, nil, zero, nil, zero, F.expr("cast(array() as array<struct<start:int,end:int>>)"))
+        closed = lambda acc: F.when(acc["top"] >= self.least, F.concat(acc["out"], F.array(F.struct(acc["begin"].alias("start"), (acc["peak"] + 1).alias("end"))))).otherwise(acc["out"])
+
+        def step(acc: Column, r: Column) -> Column:
+            # at: the pair's second character.
+            s, at = acc["sum"] + r, acc["at"] + 1
+            over = (s <= 0) | (acc["top"] - s > self.least)
+            higher = s > acc["top"]
+            return F.when(over, state(at, nil, at, nil, at, closed(acc))).otherwise(state(at, s, acc["begin"], F.when(higher, s).otherwise(acc["top"]), F.when(higher, at).otherwise(acc["peak"]), acc["out"]))
+
+        return F.aggregate(self.ratios(run), first, step, closed)
+
+
+def _merged(spans: Column) -> Column:
+    """Spans in order of start, those that overlap made one."""
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    join = lambda acc, s: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))
+    return F.aggregate(spans, none, lambda acc, s: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]), join(acc, s)).otherwise(F.concat(acc, F.array(s))))
+
+
+def _to_words(piece: Column, s: Column) -> Column:
+    """The segment with the rest of the words it ends in; a word of which less than half is inside is left out, unless it is all there is."""
+    own = piece.substr(s["start"] + 1, s["end"] - s["start"])
+    size = lambda text, pattern: F.length(F.regexp_extract(text, pattern, 0))
+    parts = F.struct(
+        size(F.reverse(piece.substr(F.lit(1), s["start"])), "^[A-Za-z0-9]*").alias("before"), size(own, "^[A-Za-z0-9]*").alias("head"), size(F.reverse(own), "^[A-Za-z0-9]*").alias("tail"),
+        size(piece.substr(s["end"] + 1, F.length(piece)), "^[A-Za-z0-9]*").alias("after"), size(piece.substr(s["end"] + 1, F.length(piece)), "^[A-Za-z0-9]*=*").alias("padded"), F.length(own).alias("all"),
+    )
+    return _let(parts, lambda p: F.struct(
+        F.when((p["head"] >= p["before"]) | (p["head"] == p["all"]), s["start"] - p["before"]).otherwise(s["start"] + p["head"]).alias("start"),
+        F.when((p["tail"] >= p["after"]) | (p["tail"] == p["all"]), s["end"] + p["padded"]).otherwise(s["end"] - p["tail"]).alias("end"),
+    ))
+
+
+def _judged(piece: Column, chains: Chains) -> Column:
+    """(start, end) of what the chains call random in a piece of a run."""
+    whole = F.array(F.struct(F.lit(0).cast("int").alias("start"), F.length(piece).alias("end")))
+    inside = _merged(F.array_sort(F.transform(chains.segments(piece), lambda s: _to_words(piece, s))))
+    return F.when((F.length(piece) >= WHOLE) & (chains.mean(piece) > chains.threshold), whole).otherwise(inside)
+
+
+def _method(text: Column, chains: Chains, base: Column) -> Column:
+    """Spans outside the base spans that the chains call random."""
     whole = rf"\G((?s:.*?))({RUN})"
     before, match = (F.regexp_extract_all(text, F.lit(whole), F.lit(k)) for k in (1, 2))
-    sizes = F.zip_with(before, match, lambda a, b: F.struct(F.length(a).cast("long").alias("gap"), F.length(b).cast("long").alias("own"), (chains.mean(b) > chains.threshold).cast("int").alias("value")))
-    return F.filter(_spans(sizes, "markov"), lambda s: s["value"] == 1)
+    # No piece of a run with less evidence than this can pass, alone or as a whole.
+    floor = min(chains.least, (WHOLE - 1) * chains.threshold)
+    sizes = F.zip_with(before, match, lambda a, b: F.struct(F.length(a).cast("long").alias("gap"), F.length(b).cast("long").alias("own"), (chains.most(b) >= floor).cast("int").alias("value")))
+    runs = F.filter(_spans(sizes, "markov"), lambda s: s["value"] == 1)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("out"))
+
+    def left(run: Column) -> Column:
+        """The run's pieces outside the base spans."""
+        upto = lambda acc, end: F.when(end > acc["at"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"))))).otherwise(acc["out"])
+        own = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+        first = start.withField("at", run["start"])
+        return F.aggregate(own, first, lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), upto(acc, b["start"]).alias("out")), lambda acc: upto(acc, run["end"]))
+
+    def found(piece: Column) -> Column:
+        own = text.substr((piece["start"] + 1).cast("int"), (piece["end"] - piece["start"]).cast("int"))
+        return _let(own, lambda p: F.transform(_judged(p, chains), lambda s: F.struct((piece["start"] + s["start"]).alias("start"), F.lit(KINDS.index("markov")).alias("rank"), (piece["start"] + s["end"]).alias("end"))))
+
+    return F.flatten(F.transform(F.flatten(F.transform(runs, left)), found))
 
 
 def with_spans(docs: DataFrame, chains: Chains | None, base: str, method: str) -> DataFrame:
@@ -154,8 +229,7 @@ def with_spans(docs: DataFrame, chains: Chains | None, base: str, method: str) -
     out = docs.withColumn(base, F.array_sort(_bare(F.concat(*found))))
     if chains is None:
         return out.withColumn(method, F.expr(NONE))
-    touches = lambda s: F.exists(F.col(f"`{base}`"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return out.withColumn(method, F.when(text.rlike(RUN), _bare(F.filter(_method(text, chains), lambda s: ~touches(s)))).otherwise(F.expr(NONE)))
+    return out.withColumn(method, F.when(text.rlike(RUN), _method(text, chains, F.col(f"`{base}`"))).otherwise(F.expr(NONE)))
 
 
 def scan(docs: DataFrame, chains: Chains | None = None) -> DataFrame:

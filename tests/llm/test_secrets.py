@@ -62,6 +62,29 @@ def test_chains_tell_held_out_strings_apart(spark):
     assert not any(out[1000 + k].more for k in range(50))
 
 
+def test_secrets_among_ordinary_words(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    chains = secrets.Chains.train(secrets.samples(documents(spark, [(i, text(60)) for i in range(60)])))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    path = lambda n, mark="/": mark.join(rng.choice(WORDS) for _ in range(n))
+    rows, keys = [], {}
+    for k in range(60):
+        a, b, mark = key(32), key(32), rng.choice("/_-")
+        rows.append((k, [f"{path(12)}/{a}", f"{a}{mark}{path(12, mark)}", f"{path(8, mark)}{mark}{a}{mark}{path(12, mark)}{mark}{b}", f"é {'0123456789abcdef' * 2}/{a} x", f"{path(20)}.{key(16)} {a}"][k % 5]))
+        keys[k] = [a, b] if k % 5 == 2 else [a]
+    rows += [(1000 + k, f"{path(24, mark)} {mark.join([path(6, '_'), path(6, '-')])}") for k, mark in enumerate("/_-+=" * 8)]
+    found = {r.doc_id: r.more for r in secrets.scan(documents(spark, rows), chains).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(documents(spark, rows), chains).collect()}
+    for k, own in keys.items():
+        assert all(x not in clean[k] and any(s.start <= rows[k][1].index(x) and rows[k][1].index(x) + 32 <= s.end for s in found[k]) for x in own), (rows[k], found[k])
+        assert all(x.end <= y.start for x, y in zip(found[k], found[k][1:]))
+        # Of the path at most the words beside a key go.
+        assert len(clean[k]) + 34 * len(own) + 2 * 14 * len(own) + 40 >= len(rows[k][1])
+    assert not any(found[1000 + k] for k in range(40))
+
+
 def test_redaction(spark):
     rows = [(1, "a token = deadbeefdeadbeefdeadbeef! é b password:hunter22"), (2, "clean"), (3, None), (4, "")]
     docs = documents(spark, rows, clash=True)
