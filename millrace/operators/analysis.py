@@ -82,10 +82,10 @@ def isolation_boundary(edges: DataFrame, roles: DataFrame, starts: DataFrame) ->
     return Isolation(region.select("query_id", "node", "side"), rows, summary)
 
 
-def trace_instrumentation(edges: DataFrame, categories: DataFrame, starts: DataFrame, max_length: int = graph.DEEPEST) -> tuple[DataFrame, DataFrame]:
+def trace_instrumentation(edges: DataFrame, categories: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members of each start's loop (query_id, node) and its signal chains (query_id, elements, links).
 
-    Links run through instruments only; a measured item or a valve ends the loop. Chains are all simple paths, in signal order, from members that no link of the loop enters.
+    Links run through instruments only; a measured item or a valve ends the loop. Chains are all simple paths, of any length, in signal order, from members that no link of the loop enters.
     """
     links = edges.where("relationship = 'instrumentation' and source is not null and target is not null")
     both = links.select(F.col("source").alias("a"), F.col("target").alias("b"), "id").unionByName(links.select(F.col("target").alias("a"), F.col("source").alias("b"), "id"))
@@ -107,11 +107,13 @@ def trace_instrumentation(edges: DataFrame, categories: DataFrame, starts: DataF
     origins = members.join(own.select("query_id", F.col("second").alias("node")).distinct(), ["query_id", "node"], "left_anti")
     path = origins.select("query_id", "node", F.array("node").alias("elements"), F.expr("cast(array() as array<string>)").alias("links"))
     ended = None
-    for _ in range(max_length):
+    while True:
         onward = path.join(own.withColumnRenamed("query_id", "q"), (F.col("query_id") == F.col("q")) & (F.col("node") == F.col("first"))).where(~F.array_contains("elements", F.col("second")))
         onward = keep(onward.select("query_id", F.col("second").alias("node"), "elements", F.concat("elements", F.array("second")).alias("longer"), F.concat("links", F.array("id")).alias("links")), "chains")
-        last = path.join(onward.select("query_id", "elements").distinct(), ["query_id", "elements"], "left_anti").select("query_id", "elements", "links")
-        ended = last if ended is None else ended.unionByName(last)
+        last = keep(path.join(onward.select("query_id", "elements").distinct(), ["query_id", "elements"], "left_anti").select("query_id", "elements", "links"), "ended")
+        # Rounds in which no chain ends stay out of the plan.
+        if ended is None or not last.isEmpty():
+            ended = last if ended is None else ended.unionByName(last)
         if onward.isEmpty():
             break
         path = onward.select("query_id", "node", F.col("longer").alias("elements"), "links")

@@ -223,20 +223,32 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = new
 
 
-def descendants(children: DataFrame, roots: DataFrame, max_depth: int = 8) -> DataFrame:
-    """children: parent, child. root, node, depth of everything below each root (node); trees only, so no visited set is needed."""
-    level = roots.select(F.col("node").alias("root"), F.col("node").alias("node"), F.lit(0).alias("depth"))
+def descendants(children: DataFrame, roots: DataFrame) -> DataFrame:
+    """children: parent, child. root, node, depth of everything below each root (node), however deep; a node that is its own ancestor is not followed again."""
+    level = roots.select(F.col("node").alias("root"), F.col("node").alias("node"), F.lit(0).alias("depth"), F.array("node").alias("above"))
     out = None
-    for d in range(1, max_depth + 1):
-        level = keep(level.join(children, level["node"] == children["parent"]).select("root", F.col("child").alias("node"), F.lit(d).alias("depth")), "below")
+    while True:
+        below = level.join(children, level["node"] == children["parent"]).where(~F.array_contains("above", F.col("child")))
+        level = keep(below.select("root", F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("above", F.array("child")).alias("above")), "below")
+        if out is None or not level.isEmpty():
+            out = level if out is None else out.unionByName(level)
         if level.isEmpty():
-            break
-        out = level if out is None else out.unionByName(level)
-    return out if out is not None else level
+            return out.drop("above")
 
 
-def transitive_pairs(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """All ordered pairs (a, b) with b downstream of a, under the chamber rule."""
-    sources = flow_edges(edges).select(F.col("source").alias("node")).distinct()
-    found = traverse(edges, sources.select(F.col("node").alias("query_id"), "node"), "downstream", max_depth).reached
-    return found.select(F.col("query_id").alias("a"), F.col("node").alias("b"))
+def transitive_pairs(edges: DataFrame) -> DataFrame:
+    """All ordered pairs (a, b) with b downstream of a, under the chamber rule, however far apart."""
+    step = moves(edges, "downstream").select("from", "to", "exit", "entry").distinct()
+    states = frontier = step.select(F.col("from").alias("a"), F.col("from").alias("node"), F.lit(None).cast("string").alias("chamber")).distinct()
+    level = 0
+    while True:
+        free = F.col("chamber").isNull() | F.col("exit").isNull() | (F.col("chamber") == F.col("exit"))
+        near = frontier.join(step, frontier["node"] == step["from"]).where(free).select("a", F.col("to").alias("node"), F.col("entry").alias("chamber")).distinct()
+        seen = states.select(F.col("a").alias("q"), F.col("node").alias("n"), F.col("chamber").alias("c"))
+        frontier = keep(near.join(seen, (F.col("a") == F.col("q")) & (F.col("node") == F.col("n")) & F.col("chamber").eqNullSafe(F.col("c")), "left_anti"), "pairs")
+        if frontier.isEmpty():
+            return states.where("a <> node").select("a", F.col("node").alias("b")).distinct()
+        states, level = states.unionByName(frontier), level + 1
+        if level % 16 == 0:
+            # One table again, so that the plan stays short.
+            states = keep(states, "states")

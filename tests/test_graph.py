@@ -129,6 +129,28 @@ def test_components_and_descendants(spark):
     assert {(r.node, r.depth) for r in graph.descendants(tree, nodes(spark, "r")).collect()} == {("x", 1), ("y", 2), ("z", 1)}
 
 
+def test_descendants_at_any_depth(spark):
+    tree = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(11)] + [("n11", "n3")], "parent string, child string")
+    assert {(r.node, r.depth) for r in graph.descendants(tree, nodes(spark, "n0")).collect()} == {(f"n{k}", k) for k in range(1, 12)}
+    assert graph.descendants(tree, nodes(spark, "none")).collect() == []
+
+
+def test_transitive_pairs_at_any_distance(spark):
+    got = [(r.a, r.b) for r in graph.transitive_pairs(edges(spark, *(f"{k}>{k + 1}" for k in range(28)))).collect()]
+    assert sorted(got) == sorted((str(a), str(b)) for b in range(29) for a in range(b))
+    got = graph.transitive_pairs(edges(spark, "a>b/C1", "b/C2>c", "b/C1>d", "d>a", "x>b/C2")).collect()
+    assert sorted(map(tuple, got)) == sorted([("a", "b"), ("a", "d"), ("b", "c"), ("b", "d"), ("b", "a"), ("d", "a"), ("d", "b"), ("x", "b"), ("x", "c")])
+
+
+def test_long_signal_chain(spark):
+    names = [f"I{k}" for k in range(29)]
+    rows = [*zip(names, names[1:]), ("I3", "side")]
+    e = spark.createDataFrame([(f"s{k}", a, b, None, None, "instrumentation", k, "signal_line") for k, (a, b) in enumerate(rows)], EDGE + ", connection_type string")
+    kinds = spark.createDataFrame([(n, "instrumentation") for n in [*names, "side"]], "node string, category string")
+    _, chains = analysis.trace_instrumentation(e, kinds, starts(spark, "I0"))
+    assert sorted(r.elements for r in chains.collect()) == sorted([names, [*names[:4], "side"]])
+
+
 def test_isolation(spark):
     e = edges(spark, "v1>t", "t>x", "x>v2", "x>s", "x>k", "k>far", "t>")
     roles = spark.createDataFrame([("v1", "isolation_valve"), ("v2", "isolation_valve"), ("s", "relief_device"), ("k", "check_valve"), ("x", "fitting"), ("t", "equipment"), ("far", "equipment")], "node string, role string")
