@@ -76,8 +76,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per span of a document that an earlier one has too."""
-    return substrings.spans(table(spark, sf_dir, "documents")).drop("key")
+    """A row per span that stands before, in a document of a smaller id or further up in its own."""
+    return substrings.spans(table(spark, sf_dir, "documents")).drop("copy")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
