@@ -1,24 +1,28 @@
 """Language identification by bit-sliced Bloom filters over character n-grams.
 
 Training counts the n-grams of every labelled document, language by language; each task counts what it scans before
-anything is shuffled, and only sums per (language, n-gram) are. A language's filter takes its n-grams of at least
-MIN_SHARE of that language's total; there are at most 1 / MIN_SHARE of those, which bounds the model whatever the corpus'
-size. N-grams that are RIVAL times as frequent in another language are left out, so that foreign passages inside a document do not
-enter its language's filter.
+anything is shuffled, and only sums per (language, n-gram) are. A language contains an n-gram that makes up MIN_SHARE or more of
+that language's n-grams, which holds at every size of the corpus and keeps passages in other languages out; there are at most
+1 / MIN_SHARE of those to a language. Beyond GRAMS * MIN_SHARE languages the share rises in proportion, so the model is bounded.
 
 The filters of all languages lie over each other: a cell of the table is a bitmask with one bit per language, so the AND of
-an n-gram's few cells is the set of languages that contain it. A document's hits are counted for each language,
+an n-gram's few cells is the set of all languages that contain it. A document's hits are counted for each language,
 corrected for the filter's rate of false positives, and the language with most wins. The score is the winner's share of the
-n-grams that only some of the languages contain.
+n-grams that at least one language contains; the cover is its share of all n-grams, as a part of the share that it has in the
+language's own training texts.
+
+Letters are characters of the Unicode categories L, with the marks (M) behind them.
 
 Defined cases: `und` with score 0 if a text is null or has no letter, or if nothing was learned; a letter-bearing text
 without any known n-gram gets the most frequent language with score 0; rows with null lang or text are not learned from;
-repeated rows count once each; an empty table gives no rows; other columns are ignored.
+repeated rows count once each; an empty table gives no rows; other columns are ignored, and kept by reject_unknown().
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,24 +30,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_batches, scan, texts
+from millrace.llm.common import bounded_batches, forget, keep, scan, texts
 
 SIZES = (2, 3, 4)
 MIN_SHARE = 2e-5
-RIVAL = 20.0
+#: Most n-grams of all languages together.
+GRAMS = 4_000_000
 HASHES = 3
+#: Least cover of a document that reject_unknown() keeps.
+MIN_COVER = 0.4
 #: Bits of the table's index; 2^20 cells of a 64-bit mask are 8 MB for up to 64 languages.
 MIN_BITS = 16
 LOAD = 8
 
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+@functools.cache
+def _not_letters() -> re.Pattern:
+    """Runs of characters that are neither letters nor marks, by their Unicode categories."""
+    kinds = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+    edges = np.flatnonzero(np.diff(kinds.astype(np.int8), prepend=0, append=0)).tolist()
+    return re.compile(f"[^{''.join(f'\\U{a:08x}-\\U{b - 1:08x}' for a, b in zip(edges[::2], edges[1::2], strict=True))}]+")
 
 
 def codes(text: bytes) -> np.ndarray:
-    """Code points of the lower-cased letters, words apart by one space."""
-    s = _NOT_LETTERS.sub(" ", text.decode("utf-8", "replace").lower())
-    return np.frombuffer(f" {s} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) if s.strip() else np.zeros(0, np.uint64)
+    """Code points of the lower-cased letters and marks, words apart by one space."""
+    s = _not_letters().sub(" ", text.decode("utf-8", "replace").lower())
+    return np.frombuffer(f" {s} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) if any(map(str.isalpha, s)) else np.zeros(0, np.uint64)
 
 
 def grams(c: np.ndarray) -> np.ndarray:
@@ -65,9 +79,10 @@ class Filters:
     bits: int
     cells: np.ndarray  # (languages + 63) // 64 words for each cell
     false_rate: np.ndarray
+    mass: np.ndarray  # the part of each language's n-grams, as often as they occur, that its filter holds
 
     @classmethod
-    def of(cls, sets: dict[str, np.ndarray]) -> Filters:
+    def of(cls, sets: dict[str, np.ndarray], mass: dict[str, float] | None = None) -> Filters:
         """sets: the n-gram hashes of each language, the most frequent language first."""
         most = max((len(s) for s in sets.values()), default=0)
         bits = max(MIN_BITS, int(most * HASHES * LOAD).bit_length())
@@ -77,7 +92,7 @@ class Filters:
             for place in _places(s, bits):
                 np.bitwise_or.at(cells[:, k // 64], place, np.uint64(1) << np.uint64(k % 64))
             fill.append(((cells[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean())
-        return cls(list(sets), bits, cells, np.array(fill) ** HASHES)
+        return cls(list(sets), bits, cells, np.array(fill) ** HASHES, np.array([(mass or {}).get(x, 1.0) for x in sets]))
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, float]:
         """N-grams of each language, without the false positives to be expected, and how many n-grams told languages apart."""
@@ -87,17 +102,19 @@ class Filters:
         found = np.array([int(((mask[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).sum()) for k in range(len(self.languages))], float)
         return np.maximum(0, (found - self.false_rate * len(hashes)) / (1 - self.false_rate)), float(mask.any(1).sum())
 
-    def predict(self, text: bytes | None) -> tuple[str, float]:
+    def measure(self, text: bytes | None) -> tuple[str, float, float]:
+        """Language, score and cover."""
         c = codes(text) if text else ()
         if not len(c) or not self.languages:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         # Long texts in parts, so memory is bounded; a part overlaps the next by the longest n-gram.
-        hits, told = np.zeros(len(self.languages)), 0.0
+        hits, told, n = np.zeros(len(self.languages)), 0.0, 0
         for i in range(0, len(c), 1 << 18):
-            h, t = self.hits(grams(c[i : i + (1 << 18) + SIZES[-1] - 1]))
-            hits, told = hits + h, told + t
+            g = grams(c[i : i + (1 << 18) + SIZES[-1] - 1])
+            h, t = self.hits(g)
+            hits, told, n = hits + h, told + t, n + len(g)
         k = int(np.argmax(hits))
-        return self.languages[k], float(min(1.0, hits[k] / told)) if told else 0.0
+        return self.languages[k], float(min(1.0, hits[k] / told)) if told else 0.0, float(hits[k] / (n * self.mass[k]))
 
 
 def _places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -106,7 +123,7 @@ def _places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(((a + np.uint64(k) * b) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64) for k in range(HASHES)]
 
 
-def learn(docs: DataFrame, train: Column | None = None, min_share: float = MIN_SHARE, rival: float = RIVAL) -> Filters:
+def learn(docs: DataFrame, train: Column | None = None, min_share: float = MIN_SHARE) -> Filters:
     """Filters from all rows with text and lang for which train holds."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -144,44 +161,45 @@ def learn(docs: DataFrame, train: Column | None = None, min_share: float = MIN_S
                 yield from out()
         yield from out()
 
-    counts = texts(rows, "lang").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # All n-grams of a language are needed for its total; 1 / min_share of them at most pass, the share being of that total.
+    # Kept, because two jobs read it.
+    counts = keep(texts(rows, "lang").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = {r.lang: r.total for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
     if not totals:
         return Filters.of({})
-    share = F.col("n") / F.element_at(F.create_map(*(F.lit(x) for kv in totals.items() for x in kv)), F.col("lang"))
-    often = counts.withColumn("share", share).where(F.col("share") >= min_share)
-    best = often.groupBy("gram").agg(F.max("share").alias("best"))
-    # At most languages / min_share rows reach the driver.
-    kept = often.join(best, "gram").where(F.col("share") * rival >= F.col("best")).select("lang", "gram").toPandas()
     order = sorted(totals, key=lambda x: (-totals[x], x))
-    return Filters.of({x: np.sort(kept.loc[kept["lang"] == x, "gram"].to_numpy(np.int64)).view(np.uint64) for x in order})
+    number = spark.createDataFrame([(x, k, max(min_share, len(order) / GRAMS) * totals[x]) for k, x in enumerate(order)], "lang string, k int, least double")
+    # At most GRAMS rows of 20 bytes reach the driver.
+    often = counts.join(F.broadcast(number), "lang").where("n >= least").select("k", "gram", "n").toPandas()
+    forget(counts)
+    own = [often[often["k"] == k] for k in range(len(order))]
+    return Filters.of({x: np.sort(o["gram"].to_numpy(np.int64)).view(np.uint64) for x, o in zip(order, own, strict=True)}, {x: max(1e-9, float(o["n"].sum()) / totals[x]) for x, o in zip(order, own, strict=True)})
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
-    """docs' own columns behind doc_id: lang_pred and score."""
+    """doc_id, lang_pred, score, cover."""
     spark = docs.sparkSession
     bounded_batches(spark)
     held = spark.sparkContext.broadcast(filters)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def one(batch: pa.RecordBatch) -> dict:
-        found = [held.value.predict(x) for x in batch["text"].to_pylist()]
-        return {"doc_id": batch["doc_id"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
+        found = [held.value.measure(x) for x in batch["text"].to_pylist()]
+        return {"doc_id": batch["doc_id"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "cover": [f[2] for f in found]}
 
-    return scan(texts(docs), one, f"doc_id {kind}, lang_pred string, score double")
+    return scan(texts(docs), one, f"doc_id {kind}, lang_pred string, score double, cover double")
 
 
-def reject_unknown(docs: DataFrame, filters: Filters, min_score: float = 0.2) -> DataFrame:
-    """docs, all columns, without the documents whose language is unknown or far from any that was learned."""
+def reject_unknown(docs: DataFrame, filters: Filters, min_cover: float = MIN_COVER) -> DataFrame:
+    """docs, all columns, without the documents whose language is unknown or whose n-grams are mostly those of no learned language."""
     spark = docs.sparkSession
     bounded_batches(spark)
     held = spark.sparkContext.broadcast(filters)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    body = docs.columns.index("text")
+    schema = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema))
 
     def one(batch: pa.RecordBatch) -> dict:
-        found = [held.value.predict(x.encode() if x is not None else None) for x in batch["text"].to_pylist()]
-        mask = pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_())
+        found = [held.value.measure(x.encode() if x is not None else None) for x in batch[f"c{body}"].to_pylist()]
+        mask = pa.array([lang != UNKNOWN and cover >= min_cover for lang, _, cover in found], pa.bool_())
         return {name: batch[name].filter(mask) for name in batch.schema.names}
 
-    return scan(docs, one, kinds)
+    return scan(docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))), one, schema).toDF(*docs.columns)
