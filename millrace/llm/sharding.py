@@ -1,12 +1,12 @@
 """Contiguous, balanced shards from global byte-size prefix sums, in DataFrame operations alone.
 
-Rows are put in order of doc_id over range partitions. Each partition sums its sizes; the running sum of those totals (one
+Rows are put in order of the text's checksum and size, then doc_id, over range partitions, so that equal texts follow each other:
+they lie in one shard, but for a group that a cut at an equal target goes through. Each partition sums its sizes; the running sum of those totals (one
 row per partition) is added to the running sum inside the partition, which gives every row the number of bytes before it.
 The byte range is cut at equal targets: a row goes to the shard in which its first byte lies, so a shard differs from its
 target by less than one row. Only doc_id, size and checksum are shuffled, never a text.
 
-Defined cases: a null text has no bytes and counts one; a null doc_id sorts first; rows with the same doc_id are ordered by
-size, then checksum, and each has its own slot; an empty table gives no rows; other columns are ignored.
+Defined cases: a null text has no bytes and counts one; of equal texts a null doc_id sorts first; repeated rows each have their own slot; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import keep
 
 SHARDS = 8
-ORDER = ("doc_id", "size", "text_crc32", "row")
+ORDER = ("text_crc32", "size", "doc_id", "row")
 
 
 def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
@@ -39,9 +39,16 @@ def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS) -> None:
-    """Writes each row's columns under path/shard=N, in parts of ascending slot. Rows are matched on doc_id and checksum."""
-    place = shards(docs, n_shards).select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"])
-    own = docs.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
-    same = own["doc_id"].eqNullSafe(place["doc_id"]) & (own["text_crc32"] == place["text_crc32"])
-    out = own.join(place, same).select(*(own[c] for c in docs.columns), place["shard"], place["slot"])
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes each row's columns under path/shard=N, in parts of ascending slot. Rows are matched on doc_id, checksum and size, and among equal ones by turn."""
+    same = ["doc_id", "text_crc32", "size"]
+    turn = lambda order: F.row_number().over(Window.partitionBy(*same).orderBy(order))
+    place = shards(docs, n_shards).select(*same, "shard", "slot").withColumn("turn", turn("slot"))
+    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), "doc_id", F.crc32(body).alias("text_crc32"), (F.octet_length(body).cast("long") + 1).alias("size"))
+    own = own.withColumn("turn", turn(F.lit(0)))
+    equal = own["doc_id"].eqNullSafe(place["doc_id"]) & (own["text_crc32"] == place["text_crc32"]) & (own["size"] == place["size"]) & (own["turn"] == place["turn"])
+    out = own.join(place, equal).select("whole", place["shard"].alias("to_shard"), place["slot"].alias("to_slot"))
+    # The user's columns may be named shard or slot; those of the folders come last and are named apart then.
+    free = lambda name: name if name not in docs.columns else f"{name}_"
+    out = out.select("whole.*", F.col("to_shard").alias(free("shard")), F.col("to_slot").alias(free("slot")))
+    out.repartitionByRange(free("shard"), free("slot")).sortWithinPartitions(free("shard"), free("slot")).write.partitionBy(free("shard")).parquet(path)

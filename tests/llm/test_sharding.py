@@ -10,10 +10,10 @@ def plain(rows, n):
     items = []
     for doc, text in rows:
         body = (text or "").encode()
-        items.append(((doc is not None, doc or 0), len(body) + 1, zlib.crc32(body), doc))
+        items.append((zlib.crc32(body), len(body) + 1, (doc is not None, doc or 0), doc))
     items.sort(key=lambda x: x[:3])
     total, at, slots, out = sum(x[1] for x in items), 0, {}, []
-    for _, size, crc, doc in items:
+    for crc, size, _, doc in items:
         shard = at * n // total
         out.append((doc, size, crc, shard, slots.get(shard, 0)))
         slots[shard] = slots.get(shard, 0) + 1
@@ -44,6 +44,24 @@ def test_files(spark, tmp_path):
     assert sorted((r.doc_id, r.text) for r in back) == rows and {r.shard for r in back} == set(range(8))
 
 
+def test_files_of_repeated_rows_and_clashing_columns(spark, tmp_path):
+    rows = [(1, "a"), (1, "a"), (1, "a"), (None, None), (None, ""), (2, "b")]
+    write_shards(documents(spark, rows, clash=True), f"{tmp_path}/out", 2)
+    back = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(rows, key=str) and all(r.shard == 7 for r in back)
+    for k in (0, 1):
+        slots = sorted(r.slot for r in back if r.shard_ == k)
+        assert slots == list(range(len(slots)))
+
+
+def test_equal_texts_lie_together(spark):
+    rows = [(i, f"text {i % 50}") for i in range(2000)]
+    homes = {}
+    for r in shards(documents(spark, rows)).collect():
+        homes.setdefault(r.text_crc32, set()).add(r.shard)
+    assert sum(len(x) - 1 for x in homes.values()) <= 7
+
+
 def test_query_columns(spark, tmp_path):
     documents(spark, AWKWARD).write.parquet(f"{tmp_path}/documents.parquet")
     got = op10_sharding(spark, str(tmp_path))
