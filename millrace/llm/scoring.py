@@ -10,7 +10,7 @@ its words', and each distinct word is worked out once per task. Characters outsi
 
 What grows with the corpus is the table of training words. It is counted by tasks first and then shuffled by word. Scoring
 needs each word's count: the COMMON most frequent words are sent to every task (a bounded table); the other words of a
-document, counted once per document, are joined to the table by their hash, so that no frequent word is ever a join key.
+document, counted once per document, are joined to the table by a digest of 128 bits, so that no frequent word is ever a join key.
 
 Defined cases: a null text scores as an empty one (its end alone); repeated rows are learned from and scored once each; a
 null doc_id is learned from and not held out; an empty table gives no rows; without any training word the vocabulary's own
@@ -309,7 +309,7 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]], train: Column, commo
     held = spark.sparkContext.broadcast((lattice, dict(zip(map(bytes, top["word"]), top["n"].tolist(), strict=True))))
     unit = math.log10(n_all + distinct + 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row bigint, doc_id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double, word bigint, times bigint"
+    schema = f"row bigint, doc_id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double, word bigint, more bigint, times bigint"
     kinds = arrow_schema(spark, schema)
 
     def run(batches):
@@ -317,7 +317,7 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]], train: Column, commo
         import xxhash
 
         memo = Memo(*held.value)
-        hash64, common = xxhash.xxh3_64_intdigest, memo.common
+        digest, common = xxhash.xxh3_128_digest, memo.common
         for batch in batches:
             number = Numbers()
             parts = [words_of(t) for t in batch["text"].to_pylist()]
@@ -331,24 +331,24 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]], train: Column, commo
             by_doc = lambda x: np.bincount(doc, x, len(parts)) if len(doc) else np.zeros(len(parts))  # noqa: E731, B023
             own = {"row": batch["row"], "doc_id": batch["doc_id"], "train": batch["train"], "n_tokens": size + 1}
             own |= {"n_known": by_doc((c > 0)[ids].astype(float)).astype(np.int64) + (n_texts > 0), "base_score": by_doc(base[ids]) + math.log10(n_texts + 1) - unit, "score": by_doc(log_p[ids]) + lattice_end}
-            yield record_batch(own | {x: pa.nulls(len(parts), pa.int64()) for x in ("word", "times")}, kinds)
+            yield record_batch(own | {x: pa.nulls(len(parts), pa.int64()) for x in ("word", "more", "times")}, kinds)
             rare = c[ids] == 0
             if rare.any():
                 pair, times = np.unique(doc[rare] * len(names) + ids[rare], return_counts=True)
                 used = np.unique(pair % len(names))
-                hashes = np.zeros(len(names), np.uint64)
-                hashes[used] = np.array([hash64(names[k]) for k in used.tolist()], np.uint64)
+                hashes = np.zeros((len(names), 2), np.int64)
+                hashes[used] = np.frombuffer(b"".join(digest(names[k]) for k in used.tolist()), np.int64).reshape(-1, 2)
                 rows = batch["row"].take(pa.array(pair // len(names)))
                 empty = {f.name: pa.nulls(len(pair), f.type) for f in kinds}
-                yield record_batch(empty | {"row": rows, "word": hashes[pair % len(names)].view(np.int64), "times": times.astype(np.int64)}, kinds)
+                yield record_batch(empty | {"row": rows, "word": pa.array(hashes[pair % len(names), 0]), "more": pa.array(hashes[pair % len(names), 1]), "times": times.astype(np.int64)}, kinds)
 
     lattice_end = lattice.end / math.log(10)
     own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("text"), train.alias("train"))
     # Kept, because two branches read it and must agree on the row numbers.
     parts = keep(own.mapInArrow(run, schema), "scores")
     # The hash is made in Python for both sides.
-    rare_counts = words.where(step <= cut).mapInArrow(_hashed, "word bigint, n bigint")
-    rest = parts.where("word is not null").select("row", "word", "times").join(rare_counts, "word", "left")
+    rare_counts = words.where(step <= cut).mapInArrow(_hashed, "word bigint, more bigint, n bigint")
+    rest = parts.where("word is not null").select("row", "word", "more", "times").join(rare_counts, ["word", "more"], "left")
     c = F.coalesce("n", F.lit(0))
     rest = rest.groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * (F.log10(c + 1) - F.lit(unit))).alias("more_base"))
     out = parts.where("word is null").join(rest, "row", "left")
@@ -358,6 +358,7 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]], train: Column, commo
 def _hashed(batches):
     import xxhash
 
-    hash64 = xxhash.xxh3_64_intdigest
+    digest = xxhash.xxh3_128_digest
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([hash64(w) for w in batch["word"].to_pylist()], np.uint64).view(np.int64)), batch["n"]], ["word", "n"])
+        h = np.frombuffer(b"".join(map(digest, batch["word"].to_pylist())), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), batch["n"]], ["word", "more", "n"])
