@@ -5,8 +5,9 @@ log-likelihood ratio of two first-order character chains, one for random strings
 spans are cut out of a run, and each piece that is left is judged alone: a piece of WHOLE or more characters whose mean ratio
 passes the threshold is a further span as a whole; of any other, each segment whose ratios sum to the least evidence is one,
 brought to the ends of its words. The chains, the threshold and the least evidence are trained from labelled samples of
-strings: by default random strings made from digests, against words (alone and joined as identifiers are) of at most
-SAMPLE_DOCUMENTS documents, those whose hashed ids are smallest. All texts are scanned whole, in one pass without
+strings: by default random strings made from digests, labelled random, against words (alone and joined as identifiers are) of at
+most SAMPLE_DOCUMENTS documents, those whose hashed ids are smallest, labelled ordinary: words outside the base spans that
+two or more of these documents have. All texts are scanned whole, in one pass without
 a shuffle; the model is a table of fixed size inside the expression.
 
 Positions come from lazily captured prefixes: each match is extracted with the text before it, and the lengths are summed.
@@ -22,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import smallest_hashed
+from millrace.llm.common import keep, smallest_hashed
 
 #: Patterns of the base spans, as the contract gives them.
 KEYED = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -87,9 +88,13 @@ def samples(docs: DataFrame, n_documents: int = SAMPLE_DOCUMENTS, n_random: int
     raw = F.regexp_replace(F.base64(F.unhex(digest)), "[=]+$", "")
     forms = F.array(raw, F.translate(raw, "+/", "-_"), digest, F.upper(digest), F.substring(F.regexp_replace(raw, "[+/]", ""), 1, 24), F.upper(F.regexp_replace(raw, "[+/]", "")))
     random = spark.range(n_random).select(F.explode(forms).alias("string"), F.lit(True).alias("random"))
-    some = smallest_hashed(docs.select("doc_id", "text"), "doc_id", n_documents).where("text is not null")
-    words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " "), lambda w: F.length(w) >= 2)
-    words = some.select(words.alias("w")).where("size(w) > 1")
+    some = smallest_hashed(docs.select("doc_id", "text"), "doc_id", n_documents).where("text is not null").select(F.monotonically_increasing_id().alias("n"), "text")
+    # What the base patterns find is no ordinary string, nor is what no second document has: random strings don't recur.
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", KEYED, " "), ACCESS, " "), rf"{HEX[:-1]}{{{LEAST['hex']},}}", " ")
+    words = F.filter(F.split(F.regexp_replace(plain, "[^A-Za-z]+", " "), " "), lambda w: F.length(w) >= 2)
+    each = keep(some.select("n", F.posexplode(words).alias("pos", "word")), "words")
+    usual = each.select("n", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("word")
+    words = each.join(usual, "word").groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("w")).where("size(w) > 1")
     after = F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1)))
     link = lambda mark: F.zip_with("w", after, lambda a, b: F.concat_ws(mark, a, F.initcap(b) if mark == "" else b))
     joined = [link(mark) for mark in ("", "_", "-", "/", "=", "+")]
@@ -247,7 +252,8 @@ def named(spans: Column) -> Column:
 def redact(docs: DataFrame, chains: Chains | None = None, mark: str = "[SECRET]") -> DataFrame:
     """docs, all rows and columns, with mark in place of every span (n_chars follows where there is such a column)."""
     chains = chains or Chains.train(samples(docs))
-    base, method, joined = "__base_spans", "__more_spans", "__joined_spans"
+    free = lambda name: name if name not in docs.columns else free(f"{name}_")
+    base, method, joined = map(free, ("base_spans", "more_spans", "joined_spans"))
     out = with_spans(docs, chains, base, method)
     spans = F.array_sort(F.concat(base, method))
     merged = F.aggregate(spans, F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))

@@ -85,6 +85,75 @@ def test_secrets_among_ordinary_words(spark):
     assert not any(found[1000 + k] for k in range(40))
 
 
+def slow_chain_spans(text, chains):
+    """The chains' spans, character by character."""
+    ratio = lambda a, b: chains.table[(ord(a) - secrets.FIRST) * secrets.WIDTH + ord(b) - secrets.FIRST]
+    alnum = lambda c: c.isascii() and c.isalnum()
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text):
+        # What is left of the run beside base spans.
+        at, pieces = m.start(), []
+        for s, _, e in [x for x in plain(text) if x[0] < m.end() and m.start() < x[2]]:
+            if s > at:
+                pieces.append((at, s))
+            at = max(at, e)
+        if m.end() > at:
+            pieces.append((at, m.end()))
+        best = lambda r: max(sum(r[i:j]) for i in range(len(r) + 1) for j in range(i, len(r) + 1))
+        if best([ratio(a, b) for a, b in zip(m.group(), m.group()[1:])]) < min(chains.least, (secrets.WHOLE - 1) * chains.threshold) - 1e-9:
+            continue
+        for a, z in pieces:
+            own = text[a:z]
+            r = [ratio(x, y) for x, y in zip(own, own[1:])]
+            if len(own) >= secrets.WHOLE and sum(r) / len(r) > chains.threshold:
+                out.append((a, z))
+                continue
+            found, total, begin, top, peak = [], 0.0, 0, 0.0, 0
+            for k, x in [*enumerate(r, 1), (None, None)]:
+                over = k is None or total + x <= 0 or top - (total + x) > chains.least
+                if over:
+                    if top >= chains.least:
+                        found.append((begin, peak + 1))
+                    total, begin, top, peak = 0.0, k, 0.0, k
+                else:
+                    total += x
+                    if total > top:
+                        top, peak = total, k
+            moved = []
+            for b, e in found:
+                before = len(re.search(r"[A-Za-z0-9]*$", own[:b]).group())
+                head, tail = len(re.match(r"[A-Za-z0-9]*", own[b:e]).group()), len(re.search(r"[A-Za-z0-9]*$", own[b:e]).group())
+                after, padded = len(re.match(r"[A-Za-z0-9]*", own[e:]).group()), len(re.match(r"[A-Za-z0-9]*=*", own[e:]).group())
+                moved.append((b - before if head >= before or head == e - b else b + head, e + padded if tail >= after or tail == e - b else e - tail))
+            joined = []
+            for b, e in sorted(moved):
+                if joined and joined[-1][1] > b:
+                    joined[-1] = (joined[-1][0], max(joined[-1][1], e))
+                else:
+                    joined.append((b, e))
+            out += [(a + b, a + e) for b, e in joined]
+    return sorted(out)
+
+
+def test_chain_spans_against_a_plain_model(spark):
+    rng = random.Random(21)
+    chains = secrets.Chains.train(secrets.samples(documents(spark, [(i, " ".join(rng.choice(WORDS) for _ in range(60))) for i in range(60)])))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    part = lambda: rng.choice([rng.choice(WORDS), "".join(rng.choice(letters) for _ in range(rng.randint(4, 30))), "0123456789abcdef" * 2, "token=Zz9Zz9x", "A" * 5, "=="])
+    rows = [(i, "é " + " ".join(rng.choice(["/", "_", "-", "+", ".", "", " "]).join(part() for _ in range(rng.randint(1, 5))) for _ in range(4))) for i in range(250)]
+    got = {r.doc_id: sorted((s.start, s.end) for s in r.more) for r in secrets.scan(documents(spark, rows), chains).collect()}
+    want = {i: slow_chain_spans(t, chains) for i, t in rows}
+    assert got == want and sum(map(len, want.values())) > 100
+
+
+def test_ordinary_samples_hold_no_secret(spark):
+    rng = random.Random(2)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(40))
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(30)) + f" password = Hunter{i}abc " + (key if i == 3 else "")) for i in range(40)]
+    strings = {r.string for r in secrets.samples(documents(spark, rows)).where("not random").collect()}
+    assert strings and not any(key in x or "Hunter" in x or "password" in x for x in strings)
+
+
 def test_redaction(spark):
     rows = [(1, "a token = deadbeefdeadbeefdeadbeef! é b password:hunter22"), (2, "clean"), (3, None), (4, "")]
     docs = documents(spark, rows, clash=True)
