@@ -1,12 +1,15 @@
 """License scans in DataFrame operations alone: MinHash bands over overlapping text windows, then exact containment.
 
-A text's words give shingles of five; each window is WINDOW shingles in a row, and every shingle begins one. A window's minima of
-BANDS hash functions, one to a band, are looked up among those of the templates' windows. A shingle that stands in a template is in
-WINDOW windows and is a window's minimum of one function with probability 1/WINDOW at least, so no window that holds it
-meets the template's minimum with a probability of (1 - 1/WINDOW)^(BANDS * WINDOW), 5 in 10 million; longer matches are surer.
+A text's words give shingles of five; each window is WINDOW shingles in a row, and every shingle stands in WINDOW of them (fillers
+stand before the first and behind the last). A window's minima of BANDS hash functions, one to a band, are looked up among those
+of the templates' windows. A shingle is its window's minimum of one function with probability 1/WINDOW at least, so no window that holds
+a template's shingle meets the template's minimum with a probability of (1 - 1/WINDOW)^(BANDS * WINDOW), 5 in 10 million; longer matches
+are surer.
 
-Windows that meet a template (and the few that share the last bits of such a minimum) are all that leaves the scan. Their shingles are then compared exactly: a match is a place
-no longer than twice the template that holds CONTAINED of the template's distinct shingles.
+Windows that meet a template (and the few that share the last bits of such a minimum) are all that leaves the scan. Their shingles are then
+compared exactly: a match is a place no longer than twice the template that holds CONTAINED of the template's distinct shingles,
+wherever it begins. A shingle counts in the places that begin behind its last occurrence and reach it; so the count of all places is a
+running sum over the ends of those stretches, and no place is counted one by one.
 
 Templates are given as a list; it is worked through in blocks of bounded size, which go into the expression, so nothing grows
 with the documents but the scan itself.
@@ -17,29 +20,24 @@ and are refused; rows that repeat doc_id and text count once; an empty table giv
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.common import keep
+from millrace.llm.notices import NOTICES
+
 SHINGLE = 5
 WINDOW = 3
 BANDS = 12
 CONTAINED = 80
-#: Template shingles in one block of templates.
-BLOCK = 5000
-
-#: Short notices of well-known licenses, (name, text).
-NOTICES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
+#: Template words in one block of templates: some 2 MB of bits for all bands.
+BLOCK = 20_000
+
+
+def read_templates(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(name, text) of every file in a folder of license texts, to be scanned for beside or instead of NOTICES."""
+    rows = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value").collect()
+    return sorted((r.name, r.value) for r in rows)
 
 
 def _shingles(text: Column) -> Column:
@@ -51,10 +49,11 @@ def _shingles(text: Column) -> Column:
 
 
 def _windows(df: DataFrame, shingles: str, *own: str, filler=None) -> DataFrame:
-    """A row per window: own columns, pos, s0 to s2. Beyond the end stands 0, which is no template's shingle, or else the window's first one."""
+    """A row per window: own columns, pos, s0 to s2. Outside the text stands 0, which is no template's shingle, or else one that the window has."""
     s = F.col(shingles)
-    part = lambda i, k: F.coalesce(F.get(s, i + k), F.lit(0).cast("long") if filler == 0 else F.coalesce(F.get(s, i), F.lit(0).cast("long"))).alias(f"s{k}")
-    rows = F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.struct(i.alias("pos"), *(part(i, k) for k in range(WINDOW))))
+    inside = lambda i: F.get(s, F.greatest(F.lit(0), F.least(i, F.size(s) - 1)))
+    part = lambda i, k: F.coalesce(F.get(s, i + k) if filler == 0 else inside(i + k), F.lit(0).cast("long")).alias(f"s{k}")
+    rows = F.transform(F.sequence(F.lit(1 - WINDOW), F.size(s) - 1), lambda i: F.struct(i.alias("pos"), *(part(i, k) for k in range(WINDOW))))
     # inline() gives plain columns that are never null, so the many hashes of them compile to short code.
     return df.select(*own, F.inline(rows))
 
@@ -111,11 +110,19 @@ def _scan(docs: DataFrame, templates: list[tuple[int, str, str]], contained: int
         meets = meets.bitwiseOR(_marked(_minimum(band), values))
     near = _windows(own, "s", "doc_id", "row", filler=0).where(meets != 0)
     each = near.select("doc_id", "row", F.explode(F.array(*(F.struct((F.col("pos") + k).alias("pos"), F.col(f"s{k}").alias("shingle")) for k in range(WINDOW)))).alias("e")).select("doc_id", "row", "e.*")
-    hits = each.join(F.broadcast(shingles), "shingle").withColumn("pos", F.col("pos").cast("long"))
-    # Cells of twice the template's length, at each multiple of it: a place no longer than the template lies in one of them.
-    cell = F.expr("pos div size")
-    cells = hits.select("doc_id", "row", "license", "template", "size", "shingle", "pos", F.explode(F.array(cell, cell - 1)).alias("cell"))
-    places = cells.groupBy("doc_id", "row", "license", "template", "size", "cell", "shingle").agg(F.min("pos").alias("low"), F.max("pos").alias("high")).groupBy("doc_id", "row", "license", "template", "size", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("start"), F.max("high").alias("end"))
-    good = places.where(100 * F.col("n") >= contained * F.col("size"))
-    best = good.groupBy("doc_id", "row", "license", "template", "size").agg(F.min(F.struct((-F.col("n")).alias("n"), "start", "end")).alias("b"))
-    return best.select("doc_id", "license", "template", (-F.col("b.n") / F.col("size")).alias("containment"), F.col("b.start").alias("start_word"), (F.col("b.end") + SHINGLE).alias("end_word"), F.col("size").cast("long").alias("n_shingles"))
+    # A shingle leaves the scan in up to WINDOW windows. Kept, because what follows reads the few hits again and again, and the texts once.
+    hits = keep(each.join(F.broadcast(shingles), "shingle").select("doc_id", "row", "license", "template", "size", "shingle", F.col("pos").cast("long").alias("pos")).distinct(), "hits")
+    place = ["doc_id", "row", "license", "template", "size"]
+    # Only texts with enough of a template's shingles anywhere: the rest can't have them in one place.
+    enough = hits.groupBy(*place).agg(F.count_distinct("shingle").alias("n")).where(100 * F.col("n") >= contained * F.col("size")).select("row", "template")
+    hits = hits.join(enough, ["row", "template"], "left_semi")
+    last = F.coalesce(F.lag("pos").over(Window.partitionBy("row", "template", "shingle").orderBy("pos")), F.lit(-1 << 40))
+    entry = lambda pos, add, begins: F.struct(pos.alias("pos"), F.lit(add).alias("add"), F.lit(begins).alias("begins"))
+    ends = F.array(entry(F.greatest(last, F.col("pos") - 2 * F.col("size")) + 1, 1, False), entry(F.col("pos") + 1, -1, False), entry(F.col("pos"), 0, True))
+    events = hits.select(*place, ends.alias("ends")).select(*place, F.explode("ends").alias("e")).select(*place, "e.*")
+    upto = Window.partitionBy("row", "template").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
+    good = events.withColumn("n", F.sum("add").over(upto)).where(F.col("begins") & (100 * F.col("n") >= contained * F.col("size")))
+    best = good.groupBy(*place).agg(F.max(F.struct("n", (-F.col("pos")).alias("back"))).alias("b")).select(*place, F.col("b.n").alias("n"), (-F.col("b.back")).alias("start"))
+    inside = (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + 2 * F.col("size"))
+    out = best.join(hits.select("row", "template", "pos"), ["row", "template"]).where(inside).groupBy(*place, "n", "start").agg(F.max("pos").alias("end"))
+    return out.select("doc_id", "license", "template", (F.col("n") / F.col("size")).alias("containment"), F.col("start").alias("start_word"), (F.col("end") + SHINGLE).alias("end_word"), F.col("size").cast("long").alias("n_shingles"))
