@@ -3,14 +3,14 @@ bounded Arrow batches, and keeping an intermediate table in the cluster's shared
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.plans.storage import forget, keep  # noqa: F401
+
 #: Most rows that Spark hands to a Python worker at once; with long texts the default of 10,000 rows is too much memory.
 ROWS_PER_BATCH = 500
 
@@ -51,34 +51,6 @@ def record_batch(columns: dict, kinds: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in kinds], schema=kinds)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset, as in tests."""
-    sc = spark.sparkContext
-    if not (found := sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir(found := tempfile.mkdtemp(prefix="millrace-"))
-    return f"{found.rstrip('/')}/millrace-{sc.applicationId}"
-
-
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """df, written once to the shared folder and read back: later reads survive the loss of executors. Deleted with the session."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.kept_at = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes a table that keep() wrote and that nothing will read again."""
-    sc = df.sparkSession.sparkContext
-    at = sc._jvm.org.apache.hadoop.fs.Path(df.kept_at)
-    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def smallest_hashed(df: DataFrame, column: str, most: int) -> DataFrame:
     """At most `most` rows, those whose column has the smallest hash.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_batches, keep, scan
+from millrace.llm.common import bounded_batches, forget, keep, scan
 
 WINDOW = 10
 #: Windows that one broadcast block holds; at about 600 bytes each in a Python worker, 150 MB.
@@ -141,38 +141,54 @@ def _merged(ranges: str):
     return F.expr(joined).alias(ranges)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_documents: bool = False) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_documents: bool = False, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs without the hit spans (n_chars follows where there is such a column), or, on request, without the hit documents.
 
     A document of which nothing but hit words is left goes too; all others keep their columns.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    blocks = list(_blocks(benchmark, n, BLOCK_WINDOWS))
-    windows = [spark.sparkContext.broadcast(Windows(items, n)) for _, items in blocks]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def one(batch: pa.RecordBatch) -> dict | None:
-        keep_rows, new = [], []
-        for text in batch["text"].to_pylist():
-            stays = True
-            while stays:  # words that a cut brings together may make another window
-                words = words_of(text.encode() if text is not None else None)
-                hit = np.zeros(len(words), bool)
-                for w in windows:
-                    hit |= w.value.hits(words)[0]
-                if not hit.any():
-                    break
-                stays, text = not (drop_documents or hit.all()), _without(text, hit)
-            keep_rows.append(stays)
-            new.append(text)
-        out = {name: batch[name] for name in batch.schema.names} | {"text": pa.array(new, pa.string())}
-        if "n_chars" in out:
-            out["n_chars"] = pa.array([n if a == b else len(a) for a, b, n in zip(new, batch["text"].to_pylist(), batch["n_chars"].to_pylist(), strict=True)], batch["n_chars"].type)
-        mask = pa.array(keep_rows, pa.bool_())
-        return {name: c.filter(mask) for name, c in out.items()}
-
-    return scan(docs, one, kinds)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    body = names[docs.columns.index("text")]
+    size = names[docs.columns.index("n_chars")] if "n_chars" in docs.columns else None
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True)) + ", cut boolean"
+
+    def cleaned(docs: DataFrame, items: list[tuple]) -> DataFrame:
+        windows = spark.sparkContext.broadcast(Windows(items, n))
+
+        def one(batch: pa.RecordBatch) -> dict:
+            old = batch[body].to_pylist()
+            keep_rows, new = [], []
+            for text in old:
+                stays = True
+                while stays:  # words that a cut brings together may make another window
+                    hit = windows.value.hits(words_of(text.encode() if text is not None else None))[0]
+                    if not hit.any():
+                        break
+                    stays, text = not (drop_documents or hit.all()), _without(text, hit)
+                keep_rows.append(stays)
+                new.append(text)
+            out = {name: batch[name] for name in names} | {body: pa.array(new, pa.string()), "cut": pa.array([x != y for x, y in zip(old, new, strict=True)], pa.bool_())}
+            if size:
+                out[size] = pa.array([k if x == y else len(x) for x, y, k in zip(new, old, batch[size].to_pylist(), strict=True)], batch[size].type)
+            mask = pa.array(keep_rows, pa.bool_())
+            return {name: c.filter(mask) for name, c in out.items()}
+
+        return scan(docs, one, schema)
+
+    out, again = docs.toDF(*names), True
+    while again:
+        again = False
+        # One block is on the executors at a time: with several, the documents are kept after each.
+        for n_blocks, items in _blocks(benchmark, n, block_windows):
+            if n_blocks == 1:
+                return cleaned(out, items).drop("cut").toDF(*docs.columns)
+            done = keep(cleaned(out, items), "cleaned")
+            if hasattr(out, "kept_at"):
+                forget(out)
+            again, out = again or not done.where("cut").isEmpty(), done.drop("cut")
+            out.kept_at = done.kept_at
+    return out.toDF(*docs.columns)
 
 
 def _without(text: str, hit: np.ndarray) -> str:

@@ -190,7 +190,10 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
 
 
 def reject_unknown(docs: DataFrame, filters: Filters, min_cover: float = MIN_COVER) -> DataFrame:
-    """docs, all columns, without the documents whose language is unknown or whose n-grams are mostly those of no learned language."""
+    """docs, all columns, without the documents whose language is unknown or whose n-grams are mostly those of no learned language.
+
+    Where nothing was learned, only documents without a letter go.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     held = spark.sparkContext.broadcast(filters)
@@ -199,7 +202,8 @@ def reject_unknown(docs: DataFrame, filters: Filters, min_cover: float = MIN_COV
 
     def one(batch: pa.RecordBatch) -> dict:
         found = [held.value.measure(x.encode() if x is not None else None) for x in batch[f"c{body}"].to_pylist()]
-        mask = pa.array([lang != UNKNOWN and cover >= min_cover for lang, _, cover in found], pa.bool_())
+        known = [lang != UNKNOWN and cover >= min_cover for lang, _, cover in found]
+        mask = pa.array(known if held.value.languages else [bool(x and len(codes(x.encode()))) for x in batch[f"c{body}"].to_pylist()], pa.bool_())
         return {name: batch[name].filter(mask) for name in batch.schema.names}
 
     return scan(docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))), one, schema).toDF(*docs.columns)

@@ -69,6 +69,17 @@ def test_clean_removes_spans_only(spark):
     assert {r.doc_id for r in dc.clean(documents(spark, docs), bench, drop_documents=True).collect()} == {2, 3}
 
 
+def test_clean_in_blocks(spark):
+    _, items, bench = tables(spark)
+    docs, _, _ = tables(spark)
+    own = documents(spark, docs, clash=True)
+    # Where a cut brings words together the order of the blocks decides which go first; what is left holds no window.
+    for out in (dc.clean(own, bench), dc.clean(own, bench, block_windows=60)):
+        assert out.columns == own.columns and dc.hits(out, bench).where("size(hit_words) > 0").count() == 0
+        untouched = dc.hits(own, bench).where("size(hit_words) = 0").count()
+        assert out.join(own, [out["doc_id"].eqNullSafe(own["doc_id"]), out["text"].eqNullSafe(own["text"])], "left_semi").count() >= untouched
+
+
 def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert dc.hits(documents(spark, []), bench).count() == 0

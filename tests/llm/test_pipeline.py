@@ -65,12 +65,16 @@ def test_against_stages_by_hand(spark, tmp_path):
     from tokenizers import Tokenizer
 
     rows, items = corpus()
-    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    rng = random.Random(13)
+    say = lambda lang, n: " ".join("".join(rng.choice(SYLLABLES[lang].split()) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows += [(None, say("fr", 90), "fr"), (180, say("de", 9000), None), (181, "x" * 50_000, None), (None, None, None), (-3, say("en", 70), "en"), *rows[3:6], *rows[3:4]]
+    documents(spark, rows, clash=True).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {}
     for p in corpus_pipeline.run(spark, str(tmp_path)).collect():
         got.setdefault(p.doc_id, []).append((p.start, np.frombuffer(p.ids, "<u4").tolist()))
-    left = [(d, t) for d, t, _ in rows if t and re.search(r"[^\W\d_]", t)]
+    # What has no letter goes, and the one text in no language.
+    left = [(d, t) for d, t, _ in rows if t and re.search(r"[^\W\d_]", t) and d != 181]
     left = [(d, t) for d, t in left if d in {c for _, _, c in plain_groups(left, 5)}]
     left = [(d, c) for d, t in left if (c := plain_clean(t, items)) is not None]
     t = Tokenizer.from_str(tokenizer_json())
@@ -88,6 +92,15 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert out.select("doc_id", "n_chars", "text").where("n_chars <> length(text)").count() == 0, name
 
 
+def test_without_languages_and_ids(spark, tmp_path):
+    rows, items = corpus()
+    docs = spark.createDataFrame([(None, t, None, None, None) for _, t, _ in rows[:30]] * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(None, items[0]), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.where("start = 0").count() == 30
+
+
 def test_empty_table(spark, tmp_path):
     documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
