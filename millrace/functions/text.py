@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: Hyphens and spaces that drawings and answers use for '-' and ' '.
 TYPOGRAPHY = ("‐‑‒–  ", "----  ")
+#: What a word of a property name is, and words of it that don't change which property is meant.
+NAME_WORDS = "[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+"
+GENERIC_WORDS = ("representation", "numerical", "value", "standard", "number", "code", "id", "name")
 #: Units of length and pressure as drawings name them, and how values show them.
 UNITS = {"Bar": "bar", "DegreeCelsius": "°C", "Kilowatt": "kW", "MetreSquared": "m2", "Millimetre": "mm", "Metre": "m", "MetreCubed": "m3"}
 
@@ -38,13 +41,30 @@ def fold_units(c: Column) -> Column:
 
 def key(c: Column) -> Column:
     """Comparison form of a name: hyphens and spaces folded, no white space, lower case, no outer punctuation."""
-    return F.regexp_replace(F.lower(F.regexp_replace(fold_typography(c), r"\s+", "")), r"^[.,;:'\"`]+|[.,;:'\"`]+$", "")
+    return F.regexp_replace(F.lower(F.regexp_replace(fold_typography(c), r"\s+", "")), r"^[.,;:'\"`*]+|[.,;:'\"`*]+$", "")
 
 
-def name_tokens(c: Column) -> Column:
+def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def name_tokens(c: Column) -> Column:
+    """Words of a name, whether written nominalDiameter, nominal_diameter or Nominal diameter; a run of capitals is one word."""
+    return F.transform(F.regexp_extract_all(c, F.lit(NAME_WORDS), F.lit(0)), F.lower)
+
+
+def names_match(wanted: Column, have: Column) -> Column:
+    """The same property, where have may hold words more that don't change which one is meant."""
+    a, b = name_tokens(wanted), name_tokens(have)
+    more = F.array_except(b, a)
+    return F.coalesce((F.size(a) > 0) & ((a == b) | ((F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(more, F.array(*map(F.lit, GENERIC_WORDS)))) == 0))), F.lit(False))
+
+
+def plain_term(c: Column) -> Column:
+    """A term for comparison inside texts: no white space, lower case, no punctuation at its ends."""
+    return F.regexp_replace(F.lower(F.regexp_replace(c, r"\s+", "")), "^[.,;:]+|[.,;:]+$", "")
+
+
 def identifier_pieces(c: Column) -> Column:
     """The whole, its parts between white space, and theirs between '/' and '-'."""
     words = F.split(F.trim(c), r"\s+")

@@ -12,6 +12,11 @@ from millrace.plans.storage import keep
 
 #: Class in a component's ancestry -> its role, the first that fits.
 ROLES = [("OperatedValve", "isolation_valve"), ("CheckValve", "check_valve"), ("SafetyValveOrFitting", "relief_device"), ("PipeOffPageConnector", "off_page_connector")]
+#: Link that names what is measured, link that names what is operated, class of a loop's functions, property of an actuator.
+MEASURES, OPERATES, FUNCTION, FAIL_ACTION = "sensing_location", "operated_valve_reference", "ProcessInstrumentationFunction", "failAction"
+#: How a run of a line ends.
+ENDS = {"off_page_connector": "the piping leaves the drawing here", "equipment": "equipment", "end": "end of the drawn piping", "junction": "junction", "open": "not represented on this drawing"}
+NO_SIZE = "size not given"
 #: Links drawn against the way the signal goes.
 REVERSED = ("sensing_location",)
 
@@ -120,6 +125,34 @@ def trace_instrumentation(edges: DataFrame, categories: DataFrame, starts: DataF
     return members, ended
 
 
+def loop_rows(edges: DataFrame, types: DataFrame, properties: DataFrame, chains: DataFrame) -> DataFrame:
+    """What the chains of trace_instrumentation() say: query_id, predicate, subject, object, elements, fail_action, via.
+
+    signal_chain: a row per chain; loop_measured_at and loop_acts_on: a row per function (a node whose type is FUNCTION) and what is
+    measured or operated, by the first chain that says so. types: node, type. properties: entity_id, property, value.
+    """
+    chain = F.row_number().over(Window.partitionBy("query_id").orderBy("elements"))
+    own = keep(chains.withColumn("chain", chain), "chains")
+    each = own.select("query_id", "chain", F.posexplode("elements").alias("pos", "node"))
+    used = own.select("query_id", "chain", F.explode("links").alias("id")).join(edges.select("id", "connection_type", F.col("target").alias("node")), "id")
+    at = each.join(used.select("query_id", "chain", "node", "connection_type"), ["query_id", "chain", "node"])
+    first = lambda kind: F.min(F.when(F.col("connection_type") == kind, F.struct("pos", "node")))["node"]
+    ends = at.groupBy("query_id", "chain").agg(first(MEASURES).alias("measured"), first(OPERATES).alias("operated"))
+    fails = properties.where(F.col("property") == FAIL_ACTION).groupBy(F.col("entity_id").alias("node")).agg(F.min("value").alias("fail"))
+    acts = each.join(fails, "node").groupBy("query_id", "chain").agg(F.min(F.struct("pos", "node", "fail")).alias("f")).select("query_id", "chain", F.col("f.node").alias("via"), F.col("f.fail").alias("fail_action"))
+    told = own.join(ends, ["query_id", "chain"], "left").join(acts, ["query_id", "chain"], "left")
+    none = F.lit(None).cast("string")
+    whole = told.select("query_id", F.lit("signal_chain").alias("predicate"), F.get("elements", F.lit(0)).alias("subject"), F.element_at("elements", -1).alias("object"), "elements", "fail_action", none.alias("via"))
+    functions = each.join(types.where(F.col("type") == FUNCTION).select("node"), "node", "left_semi").join(told, ["query_id", "chain"])
+
+    def rows(predicate: str, end: str, fail: F.Column, via: F.Column) -> DataFrame:
+        least = F.row_number().over(Window.partitionBy("query_id", "node", end).orderBy("chain"))
+        got = functions.where(F.col(end).isNotNull()).withColumn("nth", least).where("nth = 1")
+        return got.select("query_id", F.lit(predicate).alias("predicate"), F.col("node").alias("subject"), F.col(end).alias("object"), "elements", fail.alias("fail_action"), via.alias("via"))
+
+    return whole.unionByName(rows("loop_measured_at", "measured", none, none)).unionByName(rows("loop_acts_on", "operated", F.col("fail_action"), F.col("via")))
+
+
 def line_runs(components: DataFrame, breaks: DataFrame) -> DataFrame:
     """components: line, pos, item, size in drawing order; breaks: item. One row per run between breaks: line, run, first, last, n, sizes (consecutive distinct)."""
     order = Window.partitionBy("line").orderBy("pos")
@@ -138,7 +171,7 @@ def trace_line(edges: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame
     edges: with line and size. A run goes from break to break: equipment, connectors, nodes with other than two pipes, and nodes of another line.
     """
     pipes = edges.where("relationship = 'piping' and line is not null")
-    size = F.coalesce("size", F.lit("size not given"))
+    size = F.coalesce("size", F.lit(NO_SIZE))
     own = pipes.select("line", "id", "source", "target", size.alias("size"), "ord")
     at = edges.where("relationship = 'piping'").select("id", "line", F.explode(F.array("source", "target")).alias("node")).where("node is not null")
     degree = graph.degree(edges)
@@ -147,7 +180,7 @@ def trace_line(edges: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame
     nodes = on.join(degree, "node").join(roles, "node", "left").join(foreign, ["line", "node"], "left")
     role = F.coalesce("role", F.lit("fitting"))
     is_break = role.isin("equipment", "off_page_connector") | (F.col("degree") != 2) | F.coalesce("foreign", F.lit(False))
-    ends_at = F.when(role == "off_page_connector", "the piping leaves the drawing here").when(role == "equipment", "equipment").when(F.col("degree") == 1, "end of the drawn piping").otherwise("junction")
+    ends_at = F.when(role == "off_page_connector", ENDS["off_page_connector"]).when(role == "equipment", ENDS["equipment"]).when(F.col("degree") == 1, ENDS["end"]).otherwise(ENDS["junction"])
     incoming = own.where("target is not null").select("line", F.col("target").alias("node")).distinct().withColumn("fed", F.lit(True))
     outgoing = own.where("source is not null").groupBy("line", F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("out"))
     nodes = keep(nodes.join(incoming, ["line", "node"], "left").join(outgoing, ["line", "node"], "left").select("line", "node", is_break.alias("is_break"), ends_at.alias("ends_at"), F.coalesce("fed", F.lit(False)).alias("fed"), F.coalesce("out", F.lit(0)).alias("out")), "nodes")
@@ -164,6 +197,6 @@ def trace_line(edges: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame
         walk = both.where(goes).select("line", "run", "source", F.col("next").alias("at"), F.concat("components", F.array("at")).alias("components"), F.when(F.element_at("sizes", -1) == F.col("next_size"), F.col("sizes")).otherwise(F.concat("sizes", F.array("next_size"))).alias("sizes"), F.concat("links", F.array("next_id")).alias("links"), "run_ord")
         if walk.isEmpty():
             break
-    runs = ended.join(nodes.select("line", F.col("node").alias("target"), "ends_at"), ["line", "target"], "left").withColumn("ends_at", F.coalesce("ends_at", F.lit("not represented on this drawing")))
+    runs = ended.join(nodes.select("line", F.col("node").alias("target"), "ends_at"), ["line", "target"], "left").withColumn("ends_at", F.coalesce("ends_at", F.lit(ENDS["open"])))
     meets = on.join(at.withColumnRenamed("line", "other_line"), "node").where("other_line <> line").select("line", "node", "other_line", "id")
     return runs, meets

@@ -130,6 +130,45 @@ def open_ends(edges: DataFrame, states: DataFrame, starts: DataFrame, direction:
     return met.where(fits).select("query_id", "node", "id").distinct()
 
 
+def terminal(edges: DataFrame, nodes: DataFrame, direction: str) -> DataFrame:
+    """nodes: node. Adds terminal: no pipe with both ends leads on in the direction, whatever chambers and closed items say."""
+    onward = moves(edges, direction).select(F.col("from").alias("node"), F.lit(False).alias("ends")).distinct()
+    return nodes.join(onward, "node", "left").withColumn("terminal", F.coalesce("ends", F.lit(True))).drop("ends")
+
+
+def pairs_on_routes(routes: DataFrame) -> DataFrame:
+    """routes: nodes (array, in order). Every ordered pair (a, b) with a before b on one of them."""
+    each = routes.select(F.monotonically_increasing_id().alias("route"), "nodes").select("nodes", F.posexplode("nodes").alias("pos", "a"))
+    after = F.slice("nodes", F.col("pos") + 2, F.greatest(F.size("nodes") - F.col("pos") - 1, F.lit(0)))
+    return each.select("a", F.explode(after).alias("b")).where("a <> b").distinct()
+
+
+def related_pairs(edges: DataFrame) -> DataFrame:
+    """Unordered pairs (a < b) that one connection joins, of whatever kind."""
+    whole = edges.where("source is not null and target is not null and source <> target")
+    return whole.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+
+
+def connected_sets(pairs: DataFrame, sets: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
+    """pairs: a, b. sets: set_id, node. set_id, connected: whether its nodes are joined by pairs among themselves and the hubs (node) next to them."""
+    links = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    nodes = sets.select("set_id", "node").distinct()
+    if hubs is not None:
+        near = sets.join(links, sets["node"] == links["a"]).select("set_id", F.col("b").alias("node")).distinct()
+        nodes = nodes.unionByName(near.join(hubs.select("node").distinct(), "node", "left_semi").select("set_id", "node")).distinct()
+    own = links.where("a < b").join(nodes.withColumnRenamed("node", "a"), "a").join(nodes.withColumnRenamed("node", "b"), ["set_id", "b"])
+    name = lambda c: F.struct("set_id", F.col(c).alias("node"))
+    found = components(nodes.select(name("node").alias("node")), own.select(name("a").alias("source"), name("b").alias("target")))
+    wanted = sets.select(F.struct("set_id", "node").alias("node")).distinct()
+    return found.join(wanted, "node").groupBy(F.col("node.set_id").alias("set_id")).agg((F.count_distinct("component") == 1).alias("connected"))
+
+
+def in_order(wanted: F.Column, route: F.Column) -> F.Column:
+    """Whether the nodes of wanted occur on the route in their order, others between them or not."""
+    met = F.aggregate(route, F.lit(0), lambda n, x: F.when(F.get(wanted, n) == x, n + 1).otherwise(n))
+    return met == F.size(wanted)
+
+
 def shortest_path(edges: DataFrame, pairs: DataFrame, direction: str = "downstream", blocked: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """pairs: query_id, source, target. One row per pair that a route joins: query_id, target, distance, path."""
     found = traverse(edges, pairs.select("query_id", F.col("source").alias("node")), direction, max_depth, blocked=blocked).reached
@@ -149,6 +188,8 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, direction: str = "downstrea
     near = back.reached.select("query_id", F.col("node").alias("to"), F.col("distance").alias("rest")).unionByName(pairs.select("query_id", F.col("target").alias("to"), F.lit(0).alias("rest")))
     routes = pairs.select("query_id", "target", F.col("source").alias("node"), F.lit(None).cast("string").alias("chamber"), F.expr("cast(array() as array<bigint>)").alias("turns"), F.expr(f"cast(array() as array<{STEP}>)").alias("path"), F.array("source").alias("visited"))
     found = None
+    # Routes are taken in drawing order, so of the partial ones of a query only those can matter that come before its most + 1 first
+    # finished ones: once that many are known, what lies behind the last of them is dropped.
     for level in range(longest):
         new = routes.join(step, routes["node"] == step["from"]).where(F.lit(level == 0) | F.col("chamber").isNull() | F.col("exit").isNull() | (F.col("chamber") == F.col("exit"))).where(~F.array_contains("visited", F.col("to")))
         new = new.join(near, ["query_id", "to"]).where(F.col("rest") <= longest - level - 1)
@@ -159,6 +200,11 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, direction: str = "downstrea
         routes = new.where("node <> target")
         if routes.isEmpty():
             break
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("turns"))
+        found = keep(found.withColumn("place", place).where(F.col("place") <= most + 1), "found")
+        last = found.where(F.col("place") == most + 1).select("query_id", F.col("turns").alias("last"))
+        found = found.drop("place")
+        routes = routes.join(last, "query_id", "left").where("last is null or turns < last").drop("last")
     drawn = Window.partitionBy("query_id").orderBy("turns")
     found = found.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= most + 1)
     more = (F.max("place").over(Window.partitionBy("query_id")) > most).alias("more")
@@ -184,7 +230,7 @@ def annotate_routes(paths: DataFrame, roles: DataFrame) -> DataFrame:
 
 def adjacency(edges: DataFrame, entities: DataFrame, direction: str = "both", relationship: str | None = None) -> DataFrame:
     """One row per entity and connection: entity_id, side, id, other. Direction selects piping only; instrumentation has both sides always."""
-    own = edges if relationship is None else edges.where(F.col("relationship") == relationship)
+    own = edges if relationship in (None, "all") else edges.where(F.col("relationship") == relationship)
     piping = F.col("relationship") == "piping"
     out = own.where("source is not null").select(F.col("source").alias("entity_id"), F.when(piping, "downstream").otherwise("outgoing").alias("side"), "id", F.col("target").alias("other"), "relationship", "ord")
     back = own.where("target is not null").select(F.col("target").alias("entity_id"), F.when(piping, "upstream").otherwise("incoming").alias("side"), "id", F.col("source").alias("other"), "relationship", "ord")

@@ -90,9 +90,9 @@ def evidence_rows(rows: DataFrame, most: int = SHOWN_ROWS) -> DataFrame:
     """rows: kind, id, statement, ord. Distinct by (kind, id) in order, the first `most`, and how many are left out."""
     first = F.row_number().over(Window.partitionBy("kind", "id").orderBy("ord"))
     once = rows.withColumn("k", first).where("k = 1").drop("k")
-    n = F.row_number().over(Window.orderBy("ord"))
-    total = once.agg(F.count(F.lit(1)).alias("total"))
-    return once.orderBy("ord").limit(most).withColumn("n", n).crossJoin(F.broadcast(total)).withColumn("left_out", F.greatest(F.lit(0), F.col("total") - most))
+    total = once.count()
+    shown = once.orderBy("ord").limit(most)
+    return shown.withColumn("n", F.row_number().over(Window.orderBy("ord"))).withColumns({"total": F.lit(total), "left_out": F.lit(max(0, total - most))})
 
 
 def coverage(requested: DataFrame, answered: DataFrame, produces: DataFrame) -> DataFrame:

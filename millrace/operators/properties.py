@@ -18,7 +18,7 @@ def report(properties: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     norm = text.normalize_identifier
     own = properties.withColumns({"norm": norm(F.col("property")), "tokens": text.camel_tokens(F.col("property"))})
-    want = wanted.select("entity_id", "name").distinct().withColumns({"want": norm(F.col("name")), "words": F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: w != "")})
+    want = wanted.select("entity_id", "name").distinct().withColumns({"want": norm(F.col("name")), "words": text.camel_tokens(F.col("name"))})
     rank = F.when(F.col("norm") == F.col("want"), 1).when((F.length("want") >= PARTIAL) & (F.contains("norm", "want") | (F.size(F.array_except("words", "tokens")) == 0)), 2)
     hits = want.join(own, "entity_id").withColumn("rank", rank).where("rank is not null")
     least = Window.partitionBy("entity_id", "name")

@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import UNITS
+from millrace.operators import graph
 from millrace.plans.storage import keep
 
 LINK = "struct<n:int,kind:string,source:string,target:string>"
 OBJECTS = f"drawing_id string, ord bigint, tag string, id string, owner_id string, type string, properties map<string,string>, associations array<struct<kind:string,item:string>>, links array<{LINK}>, error string"
 
+#: Most repeated file names that are broadcast.
+MOST_NAMES = 100_000
 #: Elements that are topology nodes, by category.
 PIPING_TAGS = ("PipingComponent", "PipeOffPageConnector")
 INSTRUMENT_TYPES = ("ProcessInstrumentationFunction", "ProcessSignalGeneratingFunction", "ActuatingFunction")
@@ -28,27 +31,64 @@ OTHER_NODES = ("PipeOffPageConnectorReference",)
 FLOWS = {"MeasuringLineFunction": "measuring_line", "SignalLineFunction": "signal_line", "SignalConveyingFunction": "signal_line"}
 #: Properties that identify an object.
 IDENTIFIER_FIELDS = ("tagName", "subTagName", "lineNumber", "segmentNumber", "pipingComponentName", "pipingComponentNumber", "positionNumber", "instrumentationLoopFunctionNumber", "processInstrumentationFunctionNumber", "deviceTypeName", "plantSystemIdentificationCode")
-#: Class -> ancestors, for classes whose place decides a role or category.
-ANCESTORS = {
-    "GlobeValve": "OperatedValve PipingComponent", "BallValve": "OperatedValve PipingComponent", "ButterflyValve": "OperatedValve PipingComponent", "GateValve": "OperatedValve PipingComponent",
-    "SwingCheckValve": "CheckValve PipingComponent", "SpringLoadedGlobeSafetyValve": "SafetyValveOrFitting PipingComponent", "RuptureDisc": "SafetyValveOrFitting PipingComponent",
-    "FlowInPipeOffPageConnector": "PipeOffPageConnector PipingComponent", "FlowOutPipeOffPageConnector": "PipeOffPageConnector PipingComponent",
-    "PipeTee": "PipingComponent", "PipeReducer": "PipingComponent", "BlindFlange": "PipingComponent", "FlowMeasuringElement": "PipingComponent",
-    "CentrifugalPump": "Pump Equipment", "ReciprocatingPump": "Pump Equipment", "PlateHeatExchanger": "HeatExchanger Equipment", "TubularHeatExchanger": "HeatExchanger Equipment", "Tank": "Vessel Equipment", "PressureVessel": "Vessel Equipment",
-}
+#: The published class tree, as far as it decides a role or a type phrase: class -> classes right below it.
+CLASS_TREE = {
+    "OperatedValve": "AngleBallValve AngleGlobeValve AnglePlugValve AngleValve BallValve ButterflyValve CustomOperatedValve GateValve GlobeValve NeedleValve PlugValve StraightwayValve",
+    "CheckValve": "CustomCheckValve GlobeCheckValve SwingCheckValve",
+    "SafetyValveOrFitting": "BreatherValve CustomSafetyValveOrFitting FlameArrestor RuptureDisc SpringLoadedAngleGlobeSafetyValve SpringLoadedGlobeSafetyValve",
+    "PipeOffPageConnector": "FlowInPipeOffPageConnector FlowOutPipeOffPageConnector",
+    "PipeFitting": "BlindFlange ClampedFlangeCoupling ConicalStrainer CustomPipeFitting Flange FlangedConnection Funnel Hose IlluminatedSightGlass InLineMixer LineBlind Penetration PipeCoupling PipeFlangeSpacer PipeFlangeSpade PipeReducer PipeTee SightGlass Silencer SteamTrap Strainer VentLineHood",
+    "InlinePrimaryElement": "CustomInlinePrimaryElement ElectromagneticFlowMeter FlowMeasuringElement FlowNozzle MassFlowMeasuringElement PositiveDisplacementFlowMeter RestrictionOrifice TurbineFlowMeter VariableAreaFlowMeter VenturiTube VolumeFlowMeasuringElement",
+    "PipingComponent": "OperatedValve CheckValve SafetyValveOrFitting PipeOffPageConnector PipeFitting InlinePrimaryElement",
+    "Pump": "CentrifugalPump CustomPump EjectorPump ReciprocatingPump RotaryPump",
+    "Compressor": "AirEjector AxialCompressor CentrifugalCompressor CustomCompressor ReciprocatingCompressor RotaryCompressor",
+    "Blower": "AxialBlower CentrifugalBlower CustomBlower",
+    "Fan": "AxialFan CustomFan RadialFan",
+    "HeatExchanger": "CustomHeatExchanger PlateHeatExchanger SpiralHeatExchanger ThinFilmEvaporator TubularHeatExchanger",
+    "Heater": "Boiler CustomHeater ElectricHeater Furnace SteamGenerator",
+    "CoolingTower": "CustomCoolingTower DryCoolingTower SprayCooler WetCoolingTower",
+    "Vessel": "CustomVessel PressureVessel Silo Tank",
+    "Filter": "CustomFilter GasFilter LiquidFilter",
+    "Separator": "CustomSeparator ElectricalSeparator GravitationalSeparator MechanicalSeparator ScrubbingSeparator",
+    "Mixer": "CustomMixer Kneader RotaryMixer StaticMixer",
+    "Motor": "AlternatingCurrentMotor CustomMotor DirectCurrentMotor",
+    "Turbine": "CustomTurbine GasTurbine SteamTurbine",
+    "Equipment": "Pump Compressor Blower Fan HeatExchanger Heater CoolingTower Vessel Filter Separator Mixer Motor Turbine Agglomerator Burner Centrifuge Chimney Crusher Dryer ElectricGenerator Engine Extruder Feeder Flare Grinder LoadingUnloadingSystem Mill PackagingSystem ProcessColumn Sieve StationaryTransportSystem TransportableContainer Weigher CustomEquipment",
+}
+
+
+def _chains() -> dict[str, list[str]]:
+    """Class -> its ancestors, the nearest first."""
+    above = {below: name for name, all_below in CLASS_TREE.items() for below in all_below.split()}
+    out = {}
+    for name in above:
+        out[name] = [above[name]]
+        while (last := out[name][-1]) in above:
+            out[name].append(above[last])
+    return out
+
+
+ANCESTORS = _chains()
 
 
 def read_drawings(spark: SparkSession, *paths: str) -> DataFrame:
     """One row per object of each drawing; a drawing without any, or that isn't XML, has one row with error."""
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    return files.mapInPandas(parsed, OBJECTS)
+    # Files of one name in several folders are told apart by their whole paths.
+    several = files.select(_name(F.col("path")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("name", F.lit(True).alias("several"))
+    named = files.withColumn("name", _name(F.col("path"))).join(F.broadcast(several) if several.count() <= MOST_NAMES else several, "name", "left")
+    return named.select(F.when(F.col("several"), F.col("path")).otherwise(F.col("name")).alias("drawing_id"), "content").mapInPandas(parsed, OBJECTS)
+
+
+def _name(path: F.Column) -> F.Column:
+    """The file's name without its ending."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"[.][^.]*$", "")
 
 
 def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["drawing_id", "ord", "tag", "id", "owner_id", "type", "properties", "associations", "links", "error"]
     for frame in frames:
-        for path, content in zip(frame["path"], frame["content"], strict=True):
-            drawing = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        for drawing, content in zip(frame["drawing_id"], frame["content"], strict=True):
             try:
                 rows = _objects(drawing, ElementTree.fromstring(content))
                 error = None if rows else "no objects"
@@ -122,6 +162,7 @@ class Plant:
     connections: DataFrame
     properties: DataFrame
     warnings: DataFrame
+    objects: DataFrame
 
 
 def normalize(objects: DataFrame) -> Plant:
@@ -137,7 +178,7 @@ def normalize(objects: DataFrame) -> Plant:
     equipment = (F.col("tag") == "Equipment") & F.col("within").isNull() & ~F.coalesce(F.col("owner_tag") == "Equipment", F.lit(False))
     category = F.when(equipment, "equipment").when(F.col("tag").isin(*PIPING_TAGS), "piping_component").when(F.col("type").isin(*INSTRUMENT_TYPES) | F.col("tag").isin(*OTHER_NODES) | F.col("sensed"), "instrumentation").when(F.col("tag") == "PipingNetworkSystem", "piping_line")
     own = own.withColumn("category", category)
-    above = F.create_map(*(F.lit(x) for k, v in ANCESTORS.items() for x in (k, v)))
+    above = F.create_map(*(F.lit(x) for k, v in ANCESTORS.items() for x in (k, " ".join(v))))
     hierarchy = F.concat(F.array("type"), F.coalesce(F.split(F.element_at(above, F.col("type")), " "), F.when(F.col("tag") == "Equipment", F.array(F.lit("Equipment"))).when(F.col("tag").isin(*PIPING_TAGS), F.array(F.lit("PipingComponent"))).otherwise(F.expr("cast(array() as array<string>)"))))
 
     # A segment's bag is its line's, overridden by its own; a component has its segment's as context.
@@ -156,13 +197,16 @@ def normalize(objects: DataFrame) -> Plant:
     # Owner of any object: the nearest entity above it, or above what it is located in.
     up = own.select("drawing_id", F.col("id").alias("node"), F.coalesce("within", "owner_id").alias("up"))
     marks = entities.where("in_topology").select("drawing_id", F.col("id").alias("node"), F.lit(True).alias("entity"))
-    reach = own.select("drawing_id", "id", F.col("id").alias("node"), F.lit(0).alias("depth"))
+    reach = own.select("drawing_id", "id", F.col("id").alias("node"), F.lit(0).alias("depth"), F.array("id").alias("above"))
     owner = None
-    for _ in range(6):
+    while owner is None or not reach.isEmpty():
         here = reach.join(marks, ["drawing_id", "node"], "left")
         hit = here.where("entity").select("drawing_id", "id", F.col("node").alias("owner"), "depth")
         owner = hit if owner is None else owner.unionByName(hit)
-        reach = here.where("entity is null").join(up, ["drawing_id", "node"]).where("up is not null").select("drawing_id", "id", F.col("up").alias("node"), (F.col("depth") + 1).alias("depth"))
+        # Objects nest as deep as they like; one that lies within itself is not met again.
+        higher = here.where("entity is null").join(up, ["drawing_id", "node"]).where("up is not null and not array_contains(above, up)")
+        reach = higher.select("drawing_id", "id", F.col("up").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("above", F.array("up")).alias("above"))
+        reach = keep(reach, "reach")
     owner = keep(owner, "owners")
     sub = own.join(owner.where("depth > 0"), ["drawing_id", "id"]).where("tag not in ('PipingNetworkSegment', 'PipingNetworkSystem', 'InformationFlow')")
     sub_objects = sub.select("drawing_id", F.col("owner").alias("owner_id"), "id", "type", "tag", "properties", "ord")
@@ -176,12 +220,19 @@ def normalize(objects: DataFrame) -> Plant:
     p = F.col("properties")
     instrument = F.concat(p["processInstrumentationFunctionCategory"], F.coalesce(p["processInstrumentationFunctions"], F.lit("")), F.coalesce(p["processInstrumentationFunctionNumber"], F.lit("")))
     identifiers = identifiers.unionByName(derive("lineComponent", F.concat("line_number", F.lit("/"), p["pipingComponentNumber"]))).unionByName(derive("instrumentTag", instrument))
-    scope = lambda df, entity, s, bag="properties": df.select("drawing_id", F.col(entity).alias("entity_id"), F.explode(bag).alias("property", "value"), s.alias("scope"))
-    properties = scope(entities, "id", F.lit("own")).unionByName(scope(entities.where("piping_context is not null"), "id", F.lit("owning_segment"), "piping_context")).unionByName(scope(sub_objects, "owner_id", F.concat(F.lit("child:"), F.col("type"))))
+    scope = lambda df, entity, s, source, bag="properties": df.select("drawing_id", F.col(entity).alias("entity_id"), F.explode(bag).alias("property", "value"), s.alias("scope"), F.col(source).alias("source_object_id"))
+    properties = scope(entities, "id", F.lit("own"), "id").unionByName(scope(entities.where("piping_context is not null"), "id", F.lit("owning_segment"), "segment_id", "piping_context"))
+    properties = properties.unionByName(scope(sub_objects, "owner_id", F.concat(F.lit("child:"), F.col("type")), "id"))
+    # Connections and other objects answer by their own ids.
+    others = o.join(entities.select("drawing_id", "id"), ["drawing_id", "id"], "left_anti")
+    properties = properties.unionByName(scope(connections, "id", F.lit("connection"), "id")).unionByName(scope(others, "id", F.lit("object"), "id"))
+    found_objects = others.join(owner.where("depth > 0").select("drawing_id", "id", F.col("owner").alias("owner_entity_id")), ["drawing_id", "id"], "left").select("drawing_id", "id", "type", "owner_entity_id")
     known = [*FLOWS]
     strange = o.where((F.col("tag") == "InformationFlow") & ~F.col("type").isin(*known)).select("drawing_id", F.concat(F.lit("unknown link class "), F.col("type")).alias("warning"))
+    unplaced = entities.where(F.col("in_topology") & F.col("category").isin("equipment", "piping_component") & ~F.col("type").isin(*ANCESTORS, *CLASS_TREE))
+    strange = strange.unionByName(unplaced.select("drawing_id", F.concat(F.lit("class without a place in the class tree, its role is a guess: "), "type", F.lit(" ("), "id", F.lit(")")).alias("warning")).distinct())
     warnings = strange.unionByName(objects.where("error is not null").select("drawing_id", F.col("error").alias("warning")))
-    return Plant(entities, sub_objects, identifiers, connections, properties, warnings)
+    return Plant(entities, sub_objects, identifiers, connections, properties, warnings, found_objects)
 
 
 def _connections(o: DataFrame, segment: DataFrame, located: DataFrame, owner: DataFrame) -> DataFrame:
@@ -210,12 +261,28 @@ def _connections(o: DataFrame, segment: DataFrame, located: DataFrame, owner: Da
 
 
 def ingestion_matrix(objects: DataFrame, plant: Plant) -> DataFrame:
-    """One row per drawing: status, counts by category and by connection type."""
-    status = objects.groupBy("drawing_id").agg(F.max("error").alias("error"))
-    e = plant.entities.groupBy("drawing_id").agg(*(F.count_if(F.col("category") == c).alias(c) for c in ("equipment", "piping_component", "instrumentation", "piping_line")), F.count_if(F.col("tag").isNotNull()).alias("tagged"))
+    """One row per drawing: status of each stage (parsed, normalized, connected), counts by category, tagged and not, by connection type, of links, warnings and connected parts."""
+    status = objects.groupBy("drawing_id").agg(F.max("error").alias("error"), F.count_if(F.col("error").isNull()).alias("objects"))
+    e = plant.entities.groupBy("drawing_id").agg(*(F.count_if(F.col("category") == c).alias(c) for c in ("equipment", "piping_component", "instrumentation", "piping_line")), F.count_if(F.col("tag").isNotNull()).alias("tagged"), F.count_if(F.col("tag").isNull()).alias("untagged"))
     kinds = ("pipe", "direct_piping_connection", "open_end", "measuring_line", "signal_line", "operated_valve_reference", "sensing_location")
-    c = plant.connections.groupBy("drawing_id").agg(*(F.count_if(F.col("connection_type") == k).alias(k) for k in kinds))
-    return status.join(e, "drawing_id", "left").join(c, "drawing_id", "left").fillna(0).withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("failed"))
+    c = plant.connections.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("connections"), *(F.count_if(F.col("connection_type") == k).alias(k) for k in kinds))
+    name = lambda x: F.struct("drawing_id", F.col(x).alias("node"))
+    parts = graph.components(plant.entities.where("in_topology").select(name("id").alias("node")), plant.connections.where("source is not null and target is not null").select(name("source").alias("source"), name("target").alias("target")))
+    parts = parts.groupBy(F.col("node.drawing_id").alias("drawing_id")).agg(F.count_distinct("component").alias("parts"))
+    w = plant.warnings.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("warnings"))
+    out = status
+    for more in (e, c, parts, w):
+        out = out.join(more, "drawing_id", "left")
+    ok = lambda yes: F.when(yes, "ok").otherwise("failed")
+    out = out.fillna(0).withColumns({"parsed": ok(F.col("error").isNull()), "normalized": ok(F.col("equipment") + F.col("piping_component") + F.col("instrumentation") > 0), "connected": ok(F.col("connections") > 0)})
+    return out.withColumn("status", ok(F.col("parsed") == "ok"))
+
+
+def graph_profile(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each drawing's objects: nodes, composition and reference edges; and a histogram of classes (drawing_id, type, n)."""
+    o = objects.where("error is null")
+    counts = o.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("nodes"), F.count("owner_id").alias("compositions"), F.sum(F.size("associations")).alias("references"))
+    return counts, o.groupBy("drawing_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def number_siblings(children: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.sources import drawings
@@ -11,8 +12,8 @@ TABLES = ("entities", "sub_objects", "identifiers", "connections", "properties",
 
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
-    """Reads what is there and stops. A batch that is run again writes to the same folder and so replaces itself."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_batch).load(source).select("path", "content")
+    """Reads what is there and stops. A drawing is named by its path, as files of one name may come in different batches. A batch that is run again writes to the same folder and so replaces itself."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_batch).load(source).select(F.col("path").alias("drawing_id"), "content")
 
     def write(batch: DataFrame, number: int) -> None:
         plant = drawings.normalize(batch.mapInPandas(drawings.parsed, drawings.OBJECTS))

@@ -56,3 +56,16 @@ def test_public_ids(spark):
     rows = [("d", "o", "nozzles", "N-1", 1), ("d", "o", "nozzles", None, 2), ("d", "o", "nozzles", None, 3), ("d", "p", "nozzles", None, 4)]
     out = drawings.number_siblings(spark.createDataFrame(rows, "drawing_id string, owner_id string, attr string, id string, ord long"))
     assert sorted(r.public_id for r in out.collect()) == ["N-1", "o/nozzles/2", "o/nozzles/3", "p/nozzles/1"]
+
+
+def test_deep_objects_and_equal_names(spark, tmp_path):
+    deep = "".join(f'<Part ID="P{i}" ComponentClass="Part">' for i in range(12)) + "</Part>" * 12
+    text = f'<PlantModel><Equipment ID="E1" ComponentClass="Tank">{deep}</Equipment><Equipment ID="E2" ComponentClass="Gizmo"/></PlantModel>'
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.xml").write_text(text)
+    plant = drawings.normalize(drawings.read_drawings(spark, str(tmp_path / "*" / "*.xml")))
+    owners = {(r.drawing_id[-10:], r.id, r.owner_id) for r in plant.sub_objects.collect()}
+    assert owners == {(f"{folder}/same.xml", f"P{i}", "E1") for folder in "ab" for i in range(12)}
+    assert all("Gizmo" in r.warning for r in plant.warnings.collect()) and plant.warnings.count() == 2
+    assert {tuple(r.type_hierarchy) for r in plant.entities.collect()} == {("Tank", "Vessel", "Equipment"), ("Gizmo", "Equipment")}

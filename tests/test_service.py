@@ -37,14 +37,61 @@ def test_lookup(service):
     assert ids(service.call("find_entities", {"query": "the valve 03/C1 there"}).sections["entities"]) == {"Valve-1"}
     assert ids(service.call("list_entities", {"entity_type": "Globe Valve"}).sections["entities"]) == {"Valve-1"}
     assert ids(service.call("list_entities", {"property_filter": {"design pressure": "6 bar"}}).sections["entities"]) == {"Tank-1"}
-    assert service.call("list_entities", {"entity_type": "spaceship"}).meta["unknown_types"] == ["spaceship"]
+    r = service.call("list_entities", {"entity_type": "spaceship"})
+    assert (r.status, r.meta["unknown_types"]) == ("empty", ["spaceship"]) and r.sections["types"].count() > 3
+    for kind, want in {"GlobeValve": {"Valve-1"}, "globe_valves": {"Valve-1"}, "valves": {"Valve-1"}, "line": {"Line-1"}, "glob": {"Valve-1"}, "vessel": {"Tank-1"}, "equipment": {"Tank-1"}, "instrument": {"PIF-1", "PSGF-1", "AF-1"}, "fitting": {"Tee-1"}}.items():
+        assert ids(service.call("list_entities", {"entity_type": kind}).sections["entities"]) == want, kind
+    r = service.call("list_entities", {"entity_type": "tank", "properties": ["design pressure", "weight"]})
+    assert [(x.property, x.value) for x in r.sections["attributes"].collect()] == [("designPressure", "6.0 bar")]
+    assert {x.type for x in service.call("list_entities", {}).sections["types"].collect()} >= {"Tank", "GlobeValve"}
+    assert ids(service.call("get_entity", {"entity_id": "Tank-1", "include_children": True}).sections["sub_objects"]) == {"Nozzle-1", "Section-1"}
+    r = service.call("get_connections", {"entity_id": "Valve-1", "relationship": "all"})
+    assert r.sections["connections"].count() == 3 and service.call("get_connections", {"entity_id": "Valve-1", "relationship": "x"}).status == "error"
+    r = service.call("get_connections", {"entity_id": "Valve-1", "relationship": "piping", "direction": "upstream"})
+    assert [(c.id, c.other, c.other_category) for c in r.sections["connections"].collect()] == [("Segment-1/connections/1", "Tank-1", "equipment")]
+    assert service.call("get_connections", {"entity_id": "PIF-1", "relationship": "piping"}).status == "empty"
     assert {(r.side, r.id) for r in service.call("get_connections", {"entity_id": "Valve-1"}).sections["connections"].collect()} == {("upstream", "Segment-1/connections/1"), ("downstream", "Segment-1/connections/2"), ("incoming", "Reference-1")}
 
 
+def test_properties_of_everything(service):
+    r = service.call("get_properties", {"ids": ["Tank-1", "Segment-1/connections/1", "Segment-1", "nothing"], "requested_properties": ["fluid code", "designPressure"]})
+    got = {(x.entity_id, x.property, x.value) for x in r.sections["properties"].where("status = 'found'").collect()}
+    assert r.status == "success" and got == {("Tank-1", "designPressure", "6.0 bar"), ("Segment-1/connections/1", "fluidCode", "S"), ("Segment-1", "fluidCode", "S")}
+    assert [(x.asked, x.error) for x in r.sections["errors"].collect()] == [("nothing", "not_found")]
+    assert service.call("get_properties", {"ids": "T100"}).sections["properties"].where("property = 'designPressure'").count() == 1
+    assert service.call("get_properties", {"ids": ["nothing"]}).status == "not_found"
+    assert service.call("get_properties", {"ids": ["Tee-1"], "requested_properties": ["weight"]}).status == "empty"
+
+
+def test_names_in_context(service):
+    found = lambda q, **more: service.call("find_entities", {"query": q, **more})
+    assert ids(found("valve on line 03").sections["entities"]) == {"Valve-1"}
+    assert ids(found("line 03").sections["entities"]) == {"Line-1"}
+    assert ids(found("03", entity_type="valve").sections["entities"]) == {"Valve-1"}
+    r = found("the pump T100")
+    assert ids(r.sections["entities"]) == {"Tank-1"}
+    r = found("the valve T100")
+    assert ids(r.sections["entities"]) == {"Tank-1"} and any("type" in w for w in r.warnings)
+    assert found("all valves").status == "success" and found("all instruments").status == "success"
+    r = found("the instrument")
+    assert r.status == "ambiguous" and r.sections["entities"].count() == 3
+    assert "connection" in found("Segment-1/connections/1").message and "Nozzle" in found("Nozzle-1").message
+    r = found("T10")
+    assert r.status == "not_found" and [x.entity_id for x in r.sections["suggestions"].collect()] == ["Tank-1"]
+    assert ids(found("T100", entity_type="spaceship").sections["entities"]) == {"Tank-1"}
+    assert found("T100", entity_type="valve").warnings
+
+
+def test_loop_rows(service):
+    rows = {(x.predicate, x.subject, x.object) for x in service.call("trace_instrumentation", {"entity_id": "PIF-1"}).sections["derived"].collect()}
+    assert rows == {("signal_chain", "Tank-1", "Valve-1"), ("loop_measured_at", "PIF-1", "Tank-1"), ("loop_acts_on", "PIF-1", "Valve-1")}
+    assert service.call("trace_line", {"line": "Valve-1"}).sections["runs"].count() > 0
+
+
 def test_searches(service):
     r = service.call("traverse", {"start_entity_id": "Tank-1", "direction": "downstream"})
     assert {(x.id, x.distance) for x in r.sections["entities"].collect()} == {("Valve-1", 1), ("Tee-1", 2)}
-    assert {x.node for x in r.sections["endpoints"].collect()} == {"Tee-1"} and {x.id for x in r.sections["open_ends"].collect()} == {"Segment-1/connections/3"}
+    assert {(x.id, x.kind) for x in r.sections["endpoints"].collect()} == {("Tee-1", "end_of_piping")} and {x.id for x in r.sections["open_ends"].collect()} == {"Segment-1/connections/3"}
     r = service.call("find_path", {"source_entity_id": "Tank-1", "target_entity_id": "Tee-1"})
     assert [(p.length, p.shut_off_valves) for p in r.sections["paths"].collect()] == [(2, ["Valve-1"])]
     r = service.call("find_path", {"source_entity_id": "Tee-1", "target_entity_id": "Tank-1"})
@@ -67,6 +114,29 @@ def test_suggestions_never_bind(spark):
     assert [(r.entity_id, r.score) for r in resolve.suggestions(q, known).orderBy("nth").collect()] == [("e1", 0.8), ("e3", 0.8)]
 
 
+def test_suggestions_against_all_pairs(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ab01") for _ in range(n))
+    known = [(f"e{i % 150:03d}", "tag", word(rng.randint(1, 9))) for i in range(200)] + [("h", "tag", "H18"), ("p", "tag", "P01")]
+    queries = ["h8", "p1", "pump a10b please", *{word(rng.randint(1, 9)) for _ in range(40)}]
+    got = {}
+    frame = spark.createDataFrame(known, "entity_id string, field string, value string").repartition(5)
+    for r in resolve.suggestions(spark.createDataFrame([(q,) for q in queries], "query string"), frame).orderBy("nth").collect():
+        got.setdefault(r["query"], []).append((r.entity_id, r.score))
+    norm = lambda s: "".join(c for c in s.lower() if c.isalnum())
+    for q in queries:
+        forms = {norm(q), *(norm(w) for w in q.split() if any(c.isdigit() for c in w))}
+        best = {}
+        for e, _, v in known:
+            score = max(SequenceMatcher(None, f, norm(v)).ratio() for f in forms)
+            if score >= 0.75:
+                best[e] = max(best.get(e, 0), score)
+        assert got.get(q, []) == [(e, round(s, 3)) for e, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]], q
+
+
 def test_values(spark):
     rows = [("80 mm", "80.0 MM", True), ("DN 80", "80 mm", False), ("DN 80", "dn80", True), ("80", "80 mm", False), ("fail close", "Fail  Close", True), ("60.0 kW", "60 kW", True)]
     df = spark.createDataFrame([(a, b) for a, b, _ in rows], "a string, b string")

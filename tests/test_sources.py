@@ -35,7 +35,7 @@ def test_streamed_drawings(spark, tmp_path):
     (tmp_path / "in" / "two.xml").write_text(XML)
     run()
     out = spark.read.parquet(f"{tmp_path}/out/entities")
-    assert {(r.drawing_id, r.n) for r in out.groupBy("drawing_id").agg(F.count("*").alias("n")).collect()} == {("one", 7), ("two", 7)}
+    assert {(r.drawing_id.rsplit("/", 1)[-1], r.n) for r in out.groupBy("drawing_id").agg(F.count("*").alias("n")).collect()} == {("one.xml", 7), ("two.xml", 7)}
 
 
 def test_guards_and_sentences(spark):
