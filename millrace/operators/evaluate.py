@@ -42,13 +42,18 @@ def repeat_consistency(profile: DataFrame) -> DataFrame:
 
 
 def pair_agreement(profile: DataFrame) -> DataFrame:
-    """Runs of a group in pairs: mean Jaccard index and share of equal profiles."""
-    a, b = profile.alias("a"), profile.alias("b")
-    earlier = F.struct("a.phrasing", "a.run") < F.struct("b.phrasing", "b.run")
-    pairs = a.join(b, (F.col("a.grp") == F.col("b.grp")) & earlier)
+    """Runs of a group in pairs: mean Jaccard index and share of equal profiles.
+
+    Only distinct profiles are paired, and count as often as there are pairs of their runs.
+    """
+    own = profile.groupBy("grp", "facts").agg(F.count(F.lit(1)).alias("n"))
+    a, b = own.alias("a"), own.alias("b")
+    pairs = a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.facts") < F.col("b.facts")))
     union = F.size(F.array_union("a.facts", "b.facts"))
-    jaccard = F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("a.facts", "b.facts")) / union)
-    return pairs.groupBy(F.col("a.grp").alias("grp")).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(jaccard), 6).alias("jaccard"), F.round(F.avg((F.col("a.facts") == F.col("b.facts")).cast("double")), 6).alias("equal"))
+    apart = pairs.select(F.col("a.grp").alias("grp"), (F.col("a.n") * F.col("b.n")).alias("k"), (F.size(F.array_intersect("a.facts", "b.facts")) / union).alias("j"), F.lit(0.0).alias("e"))
+    alike = own.select("grp", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("k"), F.lit(1.0).alias("j"), F.lit(1.0).alias("e"))
+    mean = lambda c: F.round(F.sum(F.col(c) * F.col("k")) / F.sum("k"), 6)
+    return apart.unionByName(alike).where("k > 0").groupBy("grp").agg(F.sum("k").alias("pairs"), mean("j").alias("jaccard"), mean("e").alias("equal"))
 
 
 def mode(values: DataFrame, by: str, value: str, order: str) -> DataFrame:

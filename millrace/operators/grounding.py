@@ -47,35 +47,15 @@ def absence_facts(flags: DataFrame, reached: DataFrame, limited: bool) -> DataFr
     return none.select(p.alias("predicate"), F.col("start").alias("subject"))
 
 
-def validate_claims(claims: DataFrame, facts: DataFrame, symmetric: tuple[str, ...] = ("instrument_link",)) -> DataFrame:
-    """claims: claim_id, predicate, subject, object, value. Adds verdict: supported, wrong_direction, contradicted or unsupported.
-
-    Names are compared by key, values by kind, number and unit. A fact about the same predicate and ends with another value contradicts; one the other way round is the wrong direction.
-    """
-    k = text.key
-    c = claims.select("*", k(F.col("subject")).alias("cs"), k(F.col("object")).alias("co"))
-    f = facts.select(F.col("predicate").alias("fp"), k(F.col("subject")).alias("fs"), k(F.col("object")).alias("fo"), F.col("value").alias("fv"))
-    ends = F.array(F.struct(F.col("fs").alias("a"), F.col("fo").alias("b"), F.lit(True).alias("forward")), F.struct(F.col("fo").alias("a"), F.col("fs").alias("b"), F.lit(False).alias("forward")))
-    f = f.select("fp", "fv", F.explode(ends).alias("e")).select("fp", "fv", "e.*").where("a is not null")
-    hits = c.join(f, (F.col("predicate") == F.col("fp")) & (F.col("cs") == F.col("a")), "left")
-    same_end = F.col("co").isNull() | F.col("co").eqNullSafe(F.col("b"))
-    same_value = F.col("value").isNull() | text.values_match(F.col("value"), F.col("fv"))
-    ok = F.col("forward") | F.col("predicate").isin(*symmetric)
-    there = F.col("forward").isNotNull()
-    verdicts = hits.groupBy("claim_id").agg(F.bool_or(there & same_end & same_value & ok).alias("yes"), F.bool_or(there & same_end & same_value & ~ok).alias("back"), F.bool_or(there & same_end & ~same_value & ok).alias("other"))
-    verdict = F.when(F.col("yes"), "supported").when(F.col("back"), "wrong_direction").when(F.col("other"), "contradicted").otherwise("unsupported")
-    return claims.join(verdicts, "claim_id").select(*(claims[x] for x in claims.columns), verdict.alias("verdict"))
-
-
 def terms_of(c: Column) -> Column:
     """Identifier-like words of a text that hold a digit, in comparison form."""
     words = text.identifier_tokens(c)
     return F.array_distinct(F.transform(F.filter(words, lambda w: w.rlike("[0-9]")), text.key))
 
 
-def check_terms(answers: DataFrame, corpus: DataFrame, questions: DataFrame) -> DataFrame:
+def check_terms(answers: DataFrame, corpus: DataFrame, questions: DataFrame, terms=terms_of) -> DataFrame:
     """answers: id, text. corpus and questions: id, text. id, term, status: supported by the corpus, by the question only, or unsupported."""
-    spread = lambda df: df.select("id", F.explode(terms_of(F.col("text"))).alias("term")).distinct()
+    spread = lambda df: df.select("id", F.explode(terms(F.col("text"))).alias("term")).distinct()
     have, asked = spread(corpus).withColumn("have", F.lit(True)), spread(questions).withColumn("asked", F.lit(True))
     out = spread(answers).join(have, ["id", "term"], "left").join(asked, ["id", "term"], "left")
     return out.select("id", "term", F.when(F.col("have"), "supported").when(F.col("asked"), "question_only").otherwise("unsupported").alias("status"))

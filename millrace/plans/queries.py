@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import analysis, evaluate, graph, grounding, properties, resolve
+from millrace.operators import analysis, claims, evaluate, facts, graph, grounding, properties, resolve, submission
 from millrace.plans import views
+from millrace.plans.service import Service
+from millrace.plans.storage import keep
 from millrace.plans.views import table
+from millrace.sources import drawings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -179,50 +182,53 @@ def cycle_flags(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {TRADE}, r AS (
-  SELECT id AS q, id AS node, id AS path, CAST([] AS BIGINT[]) AS turns, [id] AS seen, 0 AS d FROM node WHERE k % 5 = 0 UNION ALL
+  SELECT id AS q, id AS node, id AS path, CAST([] AS BIGINT[]) AS turns, [id] AS seen, 0 AS d FROM node UNION ALL
   SELECT q, t, path || '>' || t, list_append(turns, turn), list_append(seen, t), d + 1 FROM r JOIN step ON f = node WHERE d < 6 AND NOT list_contains(seen, t)
 ), b AS (SELECT *, row_number() OVER (PARTITION BY q, node ORDER BY d, turns) AS nth FROM r WHERE node <> q)
-SELECT q AS query_id, node AS target, CAST(d AS BIGINT) AS distance, path FROM b WHERE nth = 1 AND CAST(node AS INT) % 2 = 1""")
+SELECT q AS query_id, node AS target, CAST(d AS BIGINT) AS distance, path FROM b WHERE nth = 1""")
 def shortest_path(spark, sf_dir):
-    n = views.nations(spark, sf_dir)
-    pairs = n.where("ord % 5 = 0").select(F.col("id").alias("source")).crossJoin(F.broadcast(n.where("ord % 2 = 1").select(F.col("id").alias("target")))).where("source <> target")
-    pairs = pairs.select(F.col("source").alias("query_id"), "source", "target")
-    edges = _no_chambers(views.trade(spark, sf_dir))
-    found = graph.traverse(edges, pairs.select("query_id", F.col("source").alias("node")).distinct(), "downstream", 6).reached
-    found = found.join(pairs.select("query_id", F.col("target").alias("node")), ["query_id", "node"])
+    """From every nation to every other: one search from all starts, which holds all targets."""
+    found = graph.traverse(_no_chambers(views.trade(spark, sf_dir)), _starts(spark, sf_dir), "downstream", 6).reached
     path = F.concat_ws(">", "query_id", F.transform("path", lambda s: s["to"]))
     return _long(found.select("query_id", F.col("node").alias("target"), "distance", path.alias("path")), "distance")
 
 
-_ROUTES = f"""WITH RECURSIVE {TRADE}, both_ways AS (SELECT * FROM step), r AS (
-  SELECT id AS q, id AS node, CAST(NULL AS VARCHAR) AS c, id AS path, CAST([] AS BIGINT[]) AS turns, [id] AS seen, 0 AS d FROM node WHERE id = '00' UNION ALL
-  SELECT q, t, e, path || '>' || t, list_append(turns, turn), list_append(seen, t), d + 1 FROM r JOIN both_ways ON f = node
-  WHERE d < 7 AND node <> '13' AND NOT list_contains(seen, t) AND (d = 0 OR c IS NULL OR x IS NULL OR c = x)
-), found AS (SELECT *, row_number() OVER (ORDER BY turns) AS place, count(*) OVER () AS total FROM r WHERE node = '13'),
-top AS (SELECT row_number() OVER (ORDER BY d, place) AS nth, d, path, total > 12 AS more, seen FROM found WHERE place <= 12)"""
+def _routes_sql(steps: str, longest: int) -> str:
+    return f"""WITH RECURSIVE {TRADE}, ways AS ({steps}), r AS (
+  SELECT id AS q, id AS node, CAST(NULL AS VARCHAR) AS c, id AS path, CAST([] AS BIGINT[]) AS turns, [id] AS seen, CAST([] AS BOOLEAN[]) AS flow, 0 AS d FROM node UNION ALL
+  SELECT q, t, e, path || '>' || t, list_append(turns, turn), list_append(seen, t), list_append(flow, with_flow), d + 1 FROM r JOIN ways ON f = node
+  WHERE d < {longest} AND NOT list_contains(seen, t) AND (d = 0 OR c IS NULL OR x IS NULL OR c = x)
+), found AS (SELECT *, row_number() OVER (PARTITION BY q, node ORDER BY turns) AS place, count(*) OVER (PARTITION BY q, node) AS total FROM r WHERE node <> q),
+top AS (SELECT q || '-' || node AS query_id, row_number() OVER (PARTITION BY q, node ORDER BY d, place) AS nth, d, path, total > 12 AS more, seen, flow FROM found WHERE place <= 12)"""
 
 
-def _routes(spark, sf_dir, direction="downstream"):
-    pairs = spark.createDataFrame([("a", "00", "13")], "query_id string, source string, target string")
-    return graph.simple_paths(views.trade(spark, sf_dir), pairs, direction, max_length=7)
+def _routes(spark, sf_dir, direction, longest):
+    """Every ordered pair of nations that routes join: the targets that a search reaches."""
+    edges = views.trade(spark, sf_dir)
+    reached = graph.traverse(_no_chambers(edges), _starts(spark, sf_dir), direction, longest).reached
+    pairs = keep(reached.select(F.concat_ws("-", "query_id", "node").alias("query_id"), F.col("query_id").alias("source"), F.col("node").alias("target")), "pairs")
+    return graph.simple_paths(edges, pairs, direction, max_length=longest)
 
 
-@query(f"{_ROUTES} SELECT CAST(nth AS BIGINT) AS nth, CAST(d AS BIGINT) AS length, path, more FROM top")
+@query(f"{_routes_sql('SELECT * FROM step', 6)} SELECT query_id, CAST(nth AS BIGINT) AS nth, CAST(d AS BIGINT) AS length, path, more FROM top")
 def all_paths(spark, sf_dir):
-    path = F.concat_ws(">", F.lit("00"), F.transform("path", lambda s: s["to"]))
-    return _long(_routes(spark, sf_dir).select("nth", "length", path.alias("path"), "more"), "nth", "length")
-
-
-@query(_ROUTES.replace("SELECT * FROM step)", "SELECT * FROM step UNION ALL SELECT * FROM back)") + """,
-each AS (SELECT nth, i, seen[i] AS id FROM top, unnest(generate_series(2, len(seen) - 1)) AS t(i)),
-k AS (SELECT nth, coalesce(string_agg(each.id, ',' ORDER BY i) FILTER (role = 'isolation_valve'), '') AS shut_off_valves, coalesce(string_agg(each.id, ',' ORDER BY i) FILTER (role = 'check_valve'), '') AS check_valves,
-  coalesce(string_agg(each.id, ',' ORDER BY i) FILTER (role = 'relief_device'), '') AS relief_devices, coalesce(string_agg(each.id, ',' ORDER BY i) FILTER (role = 'equipment'), '') AS equipment FROM each JOIN node ON node.id = each.id GROUP BY 1)
-SELECT CAST(top.nth AS BIGINT) AS nth, coalesce(shut_off_valves, '') AS shut_off_valves, coalesce(check_valves, '') AS check_valves, coalesce(relief_devices, '') AS relief_devices, coalesce(equipment, '') AS equipment FROM top LEFT JOIN k USING (nth)""")
+    path = F.concat_ws(">", F.substring("query_id", 1, 2), F.transform("path", lambda s: s["to"]))
+    return _long(_routes(spark, sf_dir, "downstream", 6).select("query_id", "nth", "length", path.alias("path"), "more"), "nth", "length")
+
+
+@query(_routes_sql("SELECT * FROM step UNION ALL SELECT * FROM back", 4) + """,
+each AS (SELECT query_id, nth, i, seen[i] AS id FROM top, unnest(generate_series(2, len(seen) - 1)) AS t(i)),
+k AS (SELECT query_id, nth, coalesce(string_agg(each.id, ',' ORDER BY i) FILTER (role = 'isolation_valve'), '') AS shut_off_valves, coalesce(string_agg(each.id, ',' ORDER BY i) FILTER (role = 'check_valve'), '') AS check_valves,
+  coalesce(string_agg(each.id, ',' ORDER BY i) FILTER (role = 'relief_device'), '') AS relief_devices, coalesce(string_agg(each.id, ',' ORDER BY i) FILTER (role = 'equipment'), '') AS equipment FROM each JOIN node ON node.id = each.id GROUP BY 1, 2),
+w AS (SELECT query_id, nth, seen[i + side] AS id, min(i * 2 + side) AS place FROM top, unnest(generate_series(1, len(flow))) AS t(i), unnest([0, 1]) AS u(side) WHERE NOT flow[i] GROUP BY 1, 2, 3),
+o AS (SELECT query_id, nth, string_agg(w.id, ',' ORDER BY place) AS one_way FROM w JOIN node ON node.id = w.id WHERE role IN ('check_valve', 'relief_device') GROUP BY 1, 2)
+SELECT query_id, CAST(nth AS BIGINT) AS nth, coalesce(shut_off_valves, '') AS shut_off_valves, coalesce(check_valves, '') AS check_valves, coalesce(relief_devices, '') AS relief_devices, coalesce(equipment, '') AS equipment,
+  CAST(len(list_filter(flow, lambda x: NOT x)) AS BIGINT) AS pipes_against_flow, coalesce(one_way, '') AS one_way_devices_against_flow FROM top LEFT JOIN k USING (query_id, nth) LEFT JOIN o USING (query_id, nth)""")
 def route_annotation(spark, sf_dir):
     roles = views.nations(spark, sf_dir).select(F.col("id").alias("node"), "role")
-    out = graph.annotate_routes(_routes(spark, sf_dir, "both"), roles)
-    names = ("shut_off_valves", "check_valves", "relief_devices", "equipment")
-    return _long(out.select("nth", *(F.coalesce(F.array_join(n, ","), F.lit("")).alias(n) for n in names)), "nth")
+    out = graph.annotate_routes(_routes(spark, sf_dir, "both", 4), roles)
+    names = ("shut_off_valves", "check_valves", "relief_devices", "equipment", "one_way_devices_against_flow")
+    return _long(out.select("query_id", "nth", "pipes_against_flow", *(F.coalesce(F.array_join(n, ","), F.lit("")).alias(n) for n in names)), "nth", "pipes_against_flow")
 
 
 @query(f"""WITH RECURSIVE {TRADE}, r AS (
@@ -250,14 +256,15 @@ def downstream_pairs(spark, sf_dir):
     return graph.transitive_pairs(_no_chambers(views.trade(spark, sf_dir)))
 
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT CAST(o_custkey % 500 AS VARCHAR) AS a, 'x' || (o_orderkey % 400) AS b FROM orders WHERE o_orderkey % 37 = 0),
-e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node)
+@query("""WITH RECURSIVE o AS (SELECT 'o' || o_orderkey AS node, 'o' || lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next FROM orders),
+e AS (SELECT node AS a, next AS b FROM o WHERE next IS NOT NULL), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT node, node AS c FROM o UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.node)
 SELECT node, min(c) AS component FROM r GROUP BY 1""")
 def components(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 37 = 0")
-    links = o.select((F.col("o_custkey") % 500).cast("string").alias("source"), F.concat(F.lit("x"), (F.col("o_orderkey") % 400).cast("string")).alias("target")).distinct()
-    nodes = links.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    return graph.components(nodes, links)
+    """All orders, each linked with its customer's next one: long chains."""
+    name = lambda c: F.concat(F.lit("o"), c.cast("string"))
+    following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    links = keep(table(spark, sf_dir, "orders").select(name(F.col("o_orderkey")).alias("source"), name(following).alias("target")), "orders")
+    return graph.components(links.select(F.col("source").alias("node")), links)
 
 
 @query("""WITH RECURSIVE h AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
@@ -268,19 +275,17 @@ def descendants(spark, sf_dir):
     return _long(graph.descendants(views.hierarchy(spark, sf_dir), roots), "depth")
 
 
-@query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS pos FROM events WHERE user_id % 10 = 3), c AS (SELECT * FROM e WHERE pos <= 6),
-r AS (SELECT user_id, pos, event_type AS chain FROM c WHERE pos = 1 UNION ALL SELECT r.user_id, c.pos, r.chain || '>' || c.event_type FROM r JOIN c ON c.user_id = r.user_id AND c.pos = r.pos + 1)
-SELECT user_id, CAST(max(pos) AS BIGINT) AS n, max_by(chain, pos) AS chain FROM r GROUP BY 1""")
+@query("""SELECT user_id, count(*) AS n, string_agg(event_type, '>' ORDER BY ts) AS chain FROM events GROUP BY 1""")
 def signal_chain(spark, sf_dir):
-    """Each user's first events as a chain of instrument links."""
-    e = table(spark, sf_dir, "events").where("user_id % 10 = 3").withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("ts"))).where("pos <= 6")
+    """All events of each user as one chain of instrument links, followed to its end."""
+    e = table(spark, sf_dir, "events").withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("ts")))
     name = lambda p: F.concat_ws("/", F.col("user_id").cast("string"), p.cast("string"))
     last = F.max("pos").over(Window.partitionBy("user_id"))
-    e = e.withColumn("last", last)
+    e = keep(e.withColumn("last", last), "events")
     links = e.where("pos < last").select(F.concat(F.lit("L"), name(F.col("pos"))).alias("id"), name(F.col("pos")).alias("source"), name(F.col("pos") + 1).alias("target"), F.lit("instrumentation").alias("relationship"), F.lit("signal_line").alias("connection_type"), F.col("pos").cast("long").alias("ord"))
     kinds = e.select(name(F.col("pos")).alias("node"), F.lit("instrumentation").alias("category"))
     starts = e.where("pos = 1").select(F.col("user_id").cast("string").alias("query_id"), name(F.col("pos")).alias("node"))
-    _, chains = analysis.trace_instrumentation(links, kinds, starts)
+    _, chains = analysis.trace_instrumentation(keep(links, "links"), kinds, starts)
     each = chains.select("query_id", F.posexplode("elements").alias("i", "node")).join(e.select(name(F.col("pos")).alias("node"), "event_type"), "node")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "event_type"))), lambda x: x["event_type"]), ">")
     return each.groupBy(F.col("query_id").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), joined.alias("chain"))
@@ -299,33 +304,57 @@ def line_runs(spark, sf_dir):
     return _long(analysis.line_runs(own, breaks), "run", "first", "last")
 
 
-@query("""WITH i AS (SELECT DISTINCT l_orderkey AS line, l_partkey AS item FROM lineitem)
-SELECT a.item, count(*) AS meetings, min(a.line) AS first_line, max(b.line) AS last_line FROM i a JOIN i b ON a.item = b.item AND a.line < b.line GROUP BY 1""")
+_PIPES = f"""{_LINES}, n AS (SELECT line, pos, size, CASE WHEN item % 10 = 0 THEN 'P' || item ELSE line || '/' || pos END AS node, item % 30 = 0 AS fixed FROM l),
+p AS (SELECT line, pos, node AS source, lead(node) OVER (PARTITION BY line ORDER BY pos) AS target, size, line || '-' || pos AS id FROM n), pipe AS (SELECT * FROM p WHERE target IS NOT NULL),
+ends AS (SELECT source AS node, line, id FROM pipe UNION ALL SELECT target, line, id FROM pipe)"""
+
+
+def _pipes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Orders as lines of pipes between their items; items whose part is a multiple of ten are shared by all lines. And the roles of nodes."""
+    own = views.lines(spark, sf_dir)
+    node = F.when(F.col("item") % 10 == 0, F.concat(F.lit("P"), F.col("item").cast("string"))).otherwise(F.concat_ws("/", F.col("line").cast("string"), F.col("pos").cast("string")))
+    nodes = own.withColumn("node", node)
+    target = F.lead("node").over(Window.partitionBy("line").orderBy("pos"))
+    pipes = nodes.select(F.col("line").cast("string").alias("line"), F.concat_ws("-", F.col("line").cast("string"), F.col("pos").cast("string")).alias("id"), F.col("node").alias("source"), target.alias("target"), "size", F.col("pos").cast("long").alias("ord"), F.lit("piping").alias("relationship"))
+    roles = nodes.where("item % 30 = 0").select("node", F.lit("equipment").alias("role")).distinct()
+    return keep(pipes.where("target is not null"), "pipes"), keep(roles, "roles")
+
+
+@query(f"""WITH {_PIPES}, deg AS (SELECT node, count(*) AS k, count(DISTINCT line) AS lines FROM ends GROUP BY 1),
+b AS (SELECT node, k <> 2 OR lines > 1 OR node IN (SELECT node FROM n WHERE fixed) AS is_break, node IN (SELECT node FROM n WHERE fixed) AS fixed, k FROM deg),
+m AS (SELECT pipe.*, sum(CASE WHEN b.is_break OR pos = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY pos) AS run FROM pipe JOIN b ON b.node = source),
+c AS (SELECT *, lag(size) OVER (PARTITION BY line, run ORDER BY pos) AS before FROM m),
+r AS (SELECT line, run, min_by(source, pos) AS source, max_by(target, pos) AS target, count(*) - 1 AS components, string_agg(size, ' then ' ORDER BY pos) FILTER (before IS DISTINCT FROM size) AS sizes FROM c GROUP BY 1, 2)
+SELECT CAST(line AS VARCHAR) AS line, source, target, components, sizes, CASE WHEN fixed THEN 'equipment' WHEN k = 1 THEN 'end of the drawn piping' ELSE 'junction' END AS ends_at FROM r JOIN b ON b.node = target""")
+def trace_line(spark, sf_dir):
+    runs, _ = analysis.trace_line(*_pipes(spark, sf_dir))
+    return runs.select("line", "source", "target", F.size("components").cast("long").alias("components"), F.array_join("sizes", " then ").alias("sizes"), "ends_at")
+
+
+@query(f"""WITH {_PIPES}, o AS (SELECT DISTINCT node, line FROM ends) SELECT o.node, count(*) AS meetings, min(CAST(e.line AS VARCHAR)) AS first_line, max(CAST(e.line AS VARCHAR)) AS last_line FROM o JOIN ends e ON e.node = o.node AND e.line <> o.line GROUP BY 1""")
 def line_meets_line(spark, sf_dir):
-    """Meetings of lines at a component: counted from each component's lines, so no pair of lines is made."""
-    i = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("line"), F.col("l_partkey").alias("item")).distinct()
-    k = F.count(F.lit(1))
-    return i.groupBy("item").agg((k * (k - 1) / 2).cast("long").alias("meetings"), F.min("line").alias("first_line"), F.max("line").alias("last_line")).where("meetings > 0")
+    _, meets = analysis.trace_line(*_pipes(spark, sf_dir))
+    return meets.groupBy("node").agg(F.count(F.lit(1)).alias("meetings"), F.min("other_line").alias("first_line"), F.max("other_line").alias("last_line"))
 
 
 def _identifiers(spark, sf_dir) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")
+    c = table(spark, sf_dir, "customer")
     own = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("entity_id"), F.explode(F.array(F.struct(F.lit("tag").alias("field"), F.col("c_name").alias("value")), F.struct(F.lit("id").alias("field"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("value")))).alias("x"))
     own = own.select("entity_id", "x.*")
     shared = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("entity_id"), F.lit("alias").alias("field"), F.concat(F.lit("NAT-"), F.col("c_nationkey").cast("string"), F.lit("."), (F.col("c_custkey") % 7).cast("string")).alias("value"))
     return own.unionByName(shared)
 
 
-_IDENT = """ident AS (SELECT 'c' || c_custkey AS entity_id, 'tag' AS field, c_name AS value FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'c' || c_custkey, 'id', 'c' || c_custkey FROM customer WHERE c_custkey % 3 <> 0
-  UNION ALL SELECT 'c' || c_custkey, 'alias', 'NAT-' || c_nationkey || '.' || (c_custkey % 7) FROM customer WHERE c_custkey % 3 <> 0),
-q AS (SELECT CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN lower(c_name) WHEN 2 THEN 'C' || c_custkey WHEN 3 THEN replace(c_name, '#', ' - ') ELSE 'nat ' || c_nationkey || ' ' || (c_custkey % 7) END AS query FROM customer)"""
+_IDENT = """ident AS (SELECT 'c' || c_custkey AS entity_id, 'tag' AS field, c_name AS value FROM customer UNION ALL SELECT 'c' || c_custkey, 'id', 'c' || c_custkey FROM customer
+  UNION ALL SELECT 'c' || c_custkey, 'alias', 'NAT-' || c_nationkey || '.' || (c_custkey % 7) FROM customer),
+q AS (SELECT CASE c_custkey % 6 WHEN 0 THEN c_name WHEN 1 THEN lower(c_name) WHEN 2 THEN 'C' || c_custkey WHEN 3 THEN replace(c_name, '#', ' - ') WHEN 4 THEN 'nat ' || c_nationkey || ' ' || (c_custkey % 7) ELSE 'X' || c_custkey END AS query FROM customer)"""
 
 
 def _queries(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey").cast("string")
-    kind = F.col("c_custkey") % 5
-    return c.select(F.when(kind == 0, F.col("c_name")).when(kind == 1, F.lower("c_name")).when(kind == 2, F.concat(F.lit("C"), k)).when(kind == 3, F.replace("c_name", F.lit("#"), F.lit(" - "))).otherwise(F.concat(F.lit("nat "), F.col("c_nationkey").cast("string"), F.lit(" "), (F.col("c_custkey") % 7).cast("string"))).alias("query"))
+    kind = F.col("c_custkey") % 6
+    return c.select(F.when(kind == 0, F.col("c_name")).when(kind == 1, F.lower("c_name")).when(kind == 2, F.concat(F.lit("C"), k)).when(kind == 3, F.replace("c_name", F.lit("#"), F.lit(" - "))).when(kind == 4, F.concat(F.lit("nat "), F.col("c_nationkey").cast("string"), F.lit(" "), (F.col("c_custkey") % 7).cast("string"))).otherwise(F.concat(F.lit("X"), k)).alias("query"))
 
 
 @query(f"""WITH {_IDENT}, d AS (SELECT DISTINCT query FROM q), m AS (
@@ -338,29 +367,31 @@ def resolve_tiers(spark, sf_dir):
     return resolve.resolve(_queries(spark, sf_dir), _identifiers(spark, sf_dir))
 
 
-@query("""WITH w AS (SELECT p_partkey, list_distinct(string_split(lower(p_type), ' ')) AS w FROM part), q AS (SELECT DISTINCT lower(p_type) AS query FROM part WHERE p_partkey <= 40),
-p AS (SELECT query, unnest(string_split(query, ' ')) AS phrase FROM q), d AS (SELECT DISTINCT query, phrase FROM p), n AS (SELECT query, count(*) AS wanted FROM d GROUP BY 1),
-e AS (SELECT p_partkey, unnest(w) AS phrase FROM w), h AS (SELECT query, p_partkey, count(*) AS fit FROM d JOIN e USING (phrase) GROUP BY 1, 2),
-x AS (SELECT h.*, wanted, max(CASE WHEN fit = wanted THEN 1 ELSE 0 END) OVER (PARTITION BY query) AS every FROM h JOIN n USING (query))
-SELECT query, count(*) AS matches, min('p' || p_partkey) AS first_entity, bool_and(fit = wanted) AS all_words FROM x WHERE every = 0 OR fit = wanted GROUP BY 1""")
+@query("""WITH w AS (SELECT 'p' || p_partkey AS id, string_split(p_name, ' ') AS w FROM part), q AS (SELECT DISTINCT w[2] || ' ' || w[1] AS query, w[1] AS a, w[2] AS b FROM w),
+h AS (SELECT query, id FROM q JOIN w ON list_contains(w, a) AND list_contains(w, b)) SELECT query, count(*) AS matches, min(id) AS first_entity, count(*) > 1 AS ambiguous FROM h GROUP BY 1""")
 def resolve_type_phrase(spark, sf_dir):
+    """Parts' names as types, asked for with their words the other way round: each word is a phrase, and the parts are wanted that fit both."""
     part = table(spark, sf_dir, "part")
-    types = part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("entity_id"), F.explode(F.split(F.lower("p_type"), " ")).alias("phrase")).distinct()
-    queries = part.where("p_partkey <= 40").select(F.lower("p_type").alias("query")).distinct()
-    queries = queries.select("query", F.explode(F.split("query", " ")).alias("phrase"))
-    found = resolve.resolve_types(queries, types)
-    return found.groupBy("query").agg(F.count(F.lit(1)).alias("matches"), F.min("entity_id").alias("first_entity"), F.lit(True).alias("all_words"))
+    types = part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("entity_id"), F.initcap("p_name").alias("type"))
+    words = F.split("p_name", " ")
+    queries = part.select(F.concat_ws(" ", F.get(words, F.lit(1)), F.get(words, F.lit(0))).alias("query")).distinct()
+    found = resolve.by_type(keep(queries, "queries"), keep(resolve.type_phrases(types), "phrases"))
+    return found.groupBy("query").agg(F.count(F.lit(1)).alias("matches"), F.min("entity_id").alias("first_entity"), F.bool_or("ambiguous").alias("ambiguous"))
 
 
-@query()
+@query(f"""WITH {_IDENT}, d AS (SELECT DISTINCT query FROM q) SELECT DISTINCT 'the valve ' || query || ' on the line' AS query, entity_id, 'embedded_identifier' AS tier, 0.9::DOUBLE AS confidence, count(DISTINCT entity_id) OVER (PARTITION BY query) > 1 AS ambiguous
+FROM d JOIN ident ON regexp_replace(lower(query), '[^a-z0-9]', '', 'g') = regexp_replace(lower(value), '[^a-z0-9]', '', 'g')""")
 def resolve_embedded(spark, sf_dir):
-    q = _queries(spark, sf_dir).where("query like 'C%'").select(F.concat(F.lit("the valve "), F.col("query"), F.lit(" on the line")).alias("query"))
-    return resolve.embedded(q, _identifiers(spark, sf_dir))
+    q = _queries(spark, sf_dir).select(F.concat(F.lit("the valve "), F.col("query"), F.lit(" on the line")).alias("query"))
+    identifiers = keep(_identifiers(spark, sf_dir), "identifiers")
+    places = identifiers.select("entity_id", F.lit(False).alias("is_line"), F.lit(None).cast("string").alias("line")).distinct()
+    none = spark.createDataFrame([], "phrase string, entity_id string")
+    return resolve.embedded(keep(q.distinct(), "queries"), resolve.Catalogue(identifiers, none, places)).drop("warnings")
 
 
 @query()
 def suggestions(spark, sf_dir):
-    q = table(spark, sf_dir, "supplier").where("s_suppkey <= 40").select(F.concat(F.lit("Custmer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("query"))
+    q = table(spark, sf_dir, "supplier").select(F.concat(F.lit("Custmer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("query"))
     return resolve.suggestions(q, _identifiers(spark, sf_dir).where("field = 'tag'"))
 
 
@@ -398,10 +429,11 @@ def values(spark, sf_dir):
     return v.select("p_partkey", parsed["kind"].alias("kind"), parsed["number"].alias("number"), F.coalesce(text.same_value(F.col("have"), F.col("want")), F.lit(False)).alias("same"))
 
 
-@query("SELECT c_custkey, 'n' || c_nationkey || '/customer/' || row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS public_id FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'c' || c_custkey ELSE 'n' || c_nationkey || '/customer/' || row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) END AS public_id FROM customer")
 def sibling_position(spark, sf_dir):
-    nth = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("/customer/"), nth.cast("string")).alias("public_id"))
+    key = F.col("c_custkey")
+    children = table(spark, sf_dir, "customer").select("c_custkey", F.lit("d").alias("drawing_id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("owner_id"), F.lit("customer").alias("attr"), F.when(key % 5 == 0, F.concat(F.lit("c"), key.cast("string"))).alias("id"), key.cast("long").alias("ord"))
+    return drawings.number_siblings(children).select("c_custkey", "public_id")
 
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_.\-/]*')) AS BIGINT) AS n, list_max(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_.\-/]*')) AS greatest FROM documents")
@@ -410,23 +442,25 @@ def identifier_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.array_max(t).alias("greatest"))
 
 
-@query("""WITH t AS (SELECT conv_id, role, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM conversations), d AS (SELECT DISTINCT conv_id, role = 'assistant' AS said, term FROM t)
-SELECT conv_id, count(*) AS terms, count(*) FILTER (NOT EXISTS (SELECT 1 FROM d o WHERE o.conv_id = d.conv_id AND NOT o.said AND o.term = d.term)) AS unsupported FROM d WHERE said GROUP BY 1""")
+@query("""WITH t AS (SELECT conv_id, role, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM conversations), d AS (SELECT DISTINCT conv_id, role, term FROM t),
+c AS (SELECT conv_id, EXISTS (SELECT 1 FROM d o WHERE o.conv_id = d.conv_id AND o.role = 'system' AND o.term = d.term) AS have, EXISTS (SELECT 1 FROM d o WHERE o.conv_id = d.conv_id AND o.role = 'user' AND o.term = d.term) AS asked FROM d WHERE role = 'assistant')
+SELECT conv_id AS id, count(*) AS terms, count(*) FILTER (NOT have AND NOT asked) AS unsupported, count(*) FILTER (NOT have AND asked) AS question_only,
+  CASE WHEN count(*) FILTER (NOT have AND NOT asked) > 0 THEN 'insufficient_evidence' WHEN count(*) FILTER (NOT have AND asked) > 0 THEN 'limited' ELSE 'grounded' END AS level FROM c GROUP BY 1""")
 def grounding_unsupported(spark, sf_dir):
-    """Words of an assistant that neither the user nor the system gave."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", (F.col("role") == "assistant").alias("said"), F.explode(text.name_tokens(F.col("text"))).alias("term"))
-    each = c.groupBy("conv_id", "term").agg(F.bool_or("said").alias("said"), F.bool_or(~F.col("said")).alias("given")).where("said")
-    return each.groupBy("conv_id").agg(F.count(F.lit(1)).alias("terms"), F.count_if(~F.col("given")).alias("unsupported"))
+    """Words of an assistant that the system's text holds, that only the user gave, or that nobody did."""
+    c = table(spark, sf_dir, "conversations")
+    said = lambda role: c.where(F.col("role") == role).select(F.col("conv_id").alias("id"), "text")
+    return grounding.grounding_level(grounding.check_terms(said("assistant"), said("system"), said("user"), text.words))
 
 
-@query("""WITH f AS (SELECT item_id, unnest(list_distinct(list_transform(string_split(lower(text), '.'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))))) AS fact FROM benchmark), g AS (SELECT * FROM f WHERE length(fact) >= 30),
+@query("""WITH f AS (SELECT item_id, unnest(list_distinct(list_transform(string_split(lower(text), '.'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))))) AS fact FROM benchmark), g AS (SELECT * FROM f WHERE fact <> ''),
 d AS (SELECT doc_id, unnest(list_distinct(list_transform(string_split(lower(text), '.'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))))) AS fact FROM documents), h AS (SELECT DISTINCT item_id, fact FROM g WHERE fact IN (SELECT fact FROM d))
 SELECT g.item_id, count(h.fact) AS found, count(*) AS required, round(count(h.fact) / count(*), 3) AS score FROM g LEFT JOIN h USING (item_id, fact) GROUP BY 1""")
 def containment_score(spark, sf_dir):
     """The share of each benchmark item's sentences that occur as sentences of a document, as an answer's share of required facts."""
     sentences = lambda df, key: df.select(key, F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), "[.]"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))))).alias("fact"))
-    gold = sentences(table(spark, sf_dir, "benchmark"), "item_id").where("length(fact) >= 30")
-    have = sentences(table(spark, sf_dir, "documents"), "doc_id").where("length(fact) >= 30").join(F.broadcast(gold.select("fact").distinct()), "fact", "left_semi").select("fact").distinct().withColumn("hit", F.lit(True))
+    gold = sentences(table(spark, sf_dir, "benchmark"), "item_id").where("fact <> ''")
+    have = sentences(table(spark, sf_dir, "documents"), "doc_id").where("fact <> ''").join(F.broadcast(gold.select("fact").distinct()), "fact", "left_semi").select("fact").distinct().withColumn("hit", F.lit(True))
     judged = gold.join(have, "fact", "left").select(F.col("item_id").alias("question_id"), F.lit("required").alias("kind"), F.coalesce("hit", F.lit(False)).alias("matched"), F.lit(True).alias("answered"), F.lit(False).alias("failed"))
     return evaluate.answer_scores(judged).select(F.col("question_id").alias("item_id"), "found", "required", "score")
 
@@ -447,11 +481,11 @@ def latency_stats(spark, sf_dir):
     return evaluate.latency(table(spark, sf_dir, "events"), "event_type", "value")
 
 
-_RUNS = "f AS (SELECT user_id % 40 AS grp, user_id AS phrasing, CAST(CAST(ts AS DATE) AS VARCHAR) AS run, event_type AS fact, ts, event_id FROM events WHERE user_id % 7 = 1), p AS (SELECT grp, phrasing, run, list_sort(list(DISTINCT fact)) AS facts FROM f GROUP BY 1, 2, 3)"
+_RUNS = "f AS (SELECT user_id % 40 AS grp, user_id AS phrasing, CAST(CAST(ts AS DATE) AS VARCHAR) AS run, event_type AS fact, ts, event_id FROM events), p AS (SELECT grp, phrasing, run, list_sort(list(DISTINCT fact)) AS facts FROM f GROUP BY 1, 2, 3)"
 
 
 def _facts(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("user_id % 7 = 1")
+    e = table(spark, sf_dir, "events")
     return e.select((F.col("user_id") % 40).alias("grp"), F.col("user_id").alias("phrasing"), F.to_date("ts").cast("string").alias("run"), F.col("event_type").alias("fact"), "ts", "event_id")
 
 
@@ -489,21 +523,31 @@ def canonical_fact_key(spark, sf_dir):
 
 
 @query(f"""WITH {TRADE}, c AS (SELECT source || target AS claim_id, source AS s, target AS o FROM trade UNION SELECT target || source || 'r', target, source FROM trade UNION SELECT a.id || b.id || 'n', a.id, b.id FROM node a JOIN node b ON b.k = (a.k * 7 + 3) % 25)
-SELECT claim_id, CASE WHEN EXISTS (SELECT 1 FROM trade WHERE source = s AND target = o) THEN 'supported' WHEN EXISTS (SELECT 1 FROM trade WHERE source = o AND target = s) THEN 'wrong_direction' ELSE 'unsupported' END AS verdict FROM c""")
+SELECT claim_id, CASE WHEN EXISTS (SELECT 1 FROM trade WHERE source = s AND target = o) THEN 'supported' WHEN EXISTS (SELECT 1 FROM trade WHERE source = o AND target = s) THEN 'contradicted' ELSE 'unsupported' END AS verdict FROM c""")
 def validate_claims(spark, sf_dir):
-    t = views.trade(spark, sf_dir)
-    n = views.nations(spark, sf_dir)
+    """Pipes as they are drawn, the other way round, and between other nations, each claimed to lead downstream; nations go by their names."""
+    plant = views.plant(spark, sf_dir)
+    t = plant.connections.where("relationship = 'piping'")
+    n = plant.entities.where("tag is not null").select("id", "tag", "ord")
     other = n.select(F.lpad(((F.col("ord") * 7 + 3) % 25).cast("string"), 2, "0").alias("o"), F.col("id").alias("s"))
-    claim = lambda df, s, o, mark: df.select(F.concat(F.col(s), F.col(o), F.lit(mark)).alias("claim_id"), F.lit("connected_to").alias("predicate"), F.col(s).alias("subject"), F.col(o).alias("object"), F.lit(None).cast("string").alias("value"))
-    claims = claim(t, "source", "target", "").unionByName(claim(t, "target", "source", "r")).unionByName(claim(other, "s", "o", "n")).distinct()
-    return grounding.validate_claims(claims, grounding.connection_facts(t)).select("claim_id", "verdict")
+    pair = lambda df, s, o, mark: df.select(F.concat(F.col(s), F.col(o), F.lit(mark)).alias("claim_id"), F.col(s).alias("s"), F.col(o).alias("o"))
+    pairs = pair(t, "source", "target", "").unionByName(pair(t, "target", "source", "r")).unionByName(pair(other, "s", "o", "n")).distinct()
+    named = pairs.join(n.select(F.col("id").alias("s"), F.lower("tag").alias("subject")), "s").join(n.select(F.col("id").alias("o"), F.concat(F.lit("equipment "), "tag").alias("object")), "o")
+    null = F.lit(None).cast("string")
+    claims_ = named.select("claim_id", F.lit("connected_to").alias("predicate"), "subject", "object", null.alias("value"), null.alias("property"), F.create_map(F.lit("direction"), F.array(F.lit("downstream"))).alias("qualifiers"), F.lit(None).cast("array<string>").alias("route"))
+    have = facts.of_entities(plant.entities, plant.identifiers.select("entity_id", "field", "value")).unionByName(facts.of_connections(t))
+    return claims.judge(claims_, have).select("claim_id", "verdict")
 
 
-@query(f"""{_STATES}, m AS (SELECT s.q, s.d, o.d AS od FROM s JOIN step ON f = s.node LEFT JOIN s o ON o.q = s.q AND o.node = step.t)
-SELECT 'reaches_nothing' AS predicate, id AS subject FROM node WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.q = id AND s.node <> id) AND NOT EXISTS (SELECT 1 FROM m WHERE m.q = id AND od IS NULL)""")
+@query(f"""WITH RECURSIVE {TRADE}, cut AS (SELECT * FROM step WHERE f <> '00' AND t <> '01'), r AS (SELECT id AS q, id AS node, 0 AS d FROM node UNION SELECT q, t, d + 1 FROM r JOIN cut ON f = node WHERE d < {DEPTH - 2}),
+s AS (SELECT q, node, min(d) AS d FROM r GROUP BY 1, 2), deep AS (SELECT DISTINCT s.q FROM s JOIN cut ON f = s.node WHERE s.d = {DEPTH - 2} AND NOT EXISTS (SELECT 1 FROM s o WHERE o.q = s.q AND o.node = cut.t)),
+hit AS (SELECT DISTINCT s.q FROM s JOIN node n ON n.id = s.node WHERE s.node <> s.q AND n.role = 'relief_device')
+SELECT CASE WHEN node.id IN (SELECT q FROM deep) THEN 'found_nothing_within_search_limits' ELSE 'reaches_nothing' END AS predicate, node.id AS subject FROM node WHERE node.id NOT IN (SELECT q FROM hit)""")
 def absence_facts(spark, sf_dir):
-    found = graph.traverse(_no_chambers(views.trade(spark, sf_dir)), _starts(spark, sf_dir), "downstream", DEPTH)
-    return grounding.absence_facts(found.flags, found.reached, False)
+    """Nations from which no relief device is found, in a graph with two nations cut off and a search of two pipes."""
+    found = graph.traverse(_no_chambers(_opened(views.trade(spark, sf_dir))), _starts(spark, sf_dir), "downstream", DEPTH - 2)
+    wanted = views.nations(spark, sf_dir).where("role = 'relief_device'").select(F.col("id").alias("node"))
+    return grounding.absence_facts(found.flags, found.reached.join(wanted, "node", "left_semi"), False)
 
 
 @query("""WITH r AS (SELECT event_id % 20 AS step, ['entities', 'connections', 'paths', 'derived'][1 + user_id % 4] AS section, event_id AS ord FROM events)
@@ -529,3 +573,156 @@ def gold_patterns(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     patterns = e.select((F.col("user_id") % 40).alias("question_id"), F.concat("event_type", F.lit("!")).alias("item"), F.lit("did").alias("p"), null.alias("s"), F.col("event_type").alias("o"), null.alias("v")).distinct()
     return evaluate.match_gold(facts, patterns)
+
+
+@query(f"WITH {TRADE} SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM trade")
+def related_pairs(spark, sf_dir):
+    return graph.related_pairs(views.trade(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {TRADE}, s AS (SELECT n_regionkey AS g, lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS node FROM nation), e AS (SELECT DISTINCT a.g, a.node AS a, b.node AS b FROM trade JOIN s a ON a.node IN (source, target) JOIN s b ON b.node IN (source, target) AND b.g = a.g AND b.node <> a.node),
+r AS (SELECT g, node, node AS c FROM s UNION SELECT e.g, e.b, r.c FROM r JOIN e ON e.g = r.g AND e.a = r.node), m AS (SELECT g, node, min(c) AS c FROM r GROUP BY 1, 2) SELECT CAST(g AS VARCHAR) AS set_id, count(DISTINCT c) = 1 AS connected FROM m GROUP BY 1""")
+def connected_sets(spark, sf_dir):
+    """Whether the nations of each region hang together by trade among themselves."""
+    sets = views.nations(spark, sf_dir).select(F.col("region").cast("string").alias("set_id"), F.col("id").alias("node"))
+    return graph.connected_sets(graph.related_pairs(views.trade(spark, sf_dir)), sets)
+
+
+@query(f"""WITH {TRADE} SELECT id AS node, NOT EXISTS (SELECT 1 FROM step WHERE f = node.id AND f <> '00' AND t <> '01') AS terminal FROM node""")
+def terminal(spark, sf_dir):
+    return graph.terminal(_opened(views.trade(spark, sf_dir)), views.nations(spark, sf_dir).select(F.col("id").alias("node")), "downstream")
+
+
+@query("""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS pos FROM events), a AS (SELECT user_id, min(pos) FILTER (event_type = 'signup') AS p FROM e GROUP BY 1),
+b AS (SELECT a.user_id, min(pos) AS p FROM a LEFT JOIN e ON e.user_id = a.user_id AND event_type = 'click' AND pos > p GROUP BY 1), c AS (SELECT b.user_id, min(pos) AS p FROM b LEFT JOIN e ON e.user_id = b.user_id AND event_type = 'purchase' AND pos > p GROUP BY 1)
+SELECT user_id, p IS NOT NULL AS in_order FROM c""")
+def subsequence(spark, sf_dir):
+    """Whether a user's events hold a signup, then a click, then a purchase."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_type"))), lambda x: x["event_type"]).alias("route"))
+    return e.select("user_id", graph.in_order(F.array(*map(F.lit, ("signup", "click", "purchase"))), F.col("route")).alias("in_order"))
+
+
+@query("SELECT user_id AS run_id, count(*) AS llm_calls, CAST(sum(event_id % 7) AS BIGINT) AS prompt_tokens, CAST(sum(event_id % 11) AS BIGINT) AS completion_tokens, CAST(sum(event_id % 7 + event_id % 11) AS BIGINT) AS total_tokens FROM events GROUP BY 1")
+def usage(spark, sf_dir):
+    a, b = F.col("event_id") % 7, F.col("event_id") % 11
+    return submission.usage(table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), a.alias("prompt_tokens"), b.alias("completion_tokens"), (a + b).alias("total_tokens")))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS nth, count(*) OVER (PARTITION BY user_id) AS k FROM events) SELECT user_id, event_id, CAST(nth AS BIGINT) AS nth, greatest(0, k - 12) AS left_out FROM r WHERE nth <= 12""")
+def shown_facts(spark, sf_dir):
+    """The first facts of each run, as many as are shown, and how many more there are."""
+    out = submission.head(table(spark, sf_dir, "events"), "user_id", "ts", grounding.SHOWN_FACTS)
+    return _long(out.select("user_id", "event_id", "nth", "left_out"), "nth", "left_out")
+
+
+@query("""WITH f AS (SELECT user_id, min(event_id) AS first FROM events GROUP BY 1) SELECT CAST(user_id AS VARCHAR) AS entity_id, event_id AS step, first AS known_since FROM events JOIN f USING (user_id) WHERE event_id > first""")
+def reused(spark, sf_dir):
+    """Lookups that find what an earlier step found: events of a user after the first."""
+    e = table(spark, sf_dir, "events").select(F.lit("r").alias("run_id"), F.col("event_id").alias("step"), F.lit("find_entities").alias("tool"), F.lit("success").alias("status"), F.lit(1).alias("n"), F.col("user_id").cast("string").alias("entity_id"))
+    return submission.reused(e).drop("run_id")
+
+
+@query("""SELECT conv_id AS run_id, string_agg('## ' || turn || '. ' || role || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS record FROM conversations GROUP BY 1""")
+def transcript(spark, sf_dir):
+    return submission.transcript(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("step"), F.col("role").alias("title"), F.col("text").alias("body")))
+
+
+@query("""WITH k AS (SELECT c_custkey, ['boundary', 'signal_chain', 'line_structure', 'flow_reachability', 'connectivity', 'count', 'procedure_or_behaviour'][1 + c_custkey % 7] AS kind, ['isolation_boundary', 'traverse', 'find_path', 'trace_line', 'get_entity'][1 + c_custkey % 5] AS tool, [NULL, 'drawn_flow', 'topological'][1 + c_custkey % 3] AS sem FROM customer)
+SELECT c_custkey, CASE kind WHEN 'procedure_or_behaviour' THEN false WHEN 'count' THEN true WHEN 'boundary' THEN tool = 'isolation_boundary' WHEN 'signal_chain' THEN false WHEN 'line_structure' THEN tool = 'trace_line'
+  WHEN 'flow_reachability' THEN tool IN ('traverse', 'find_path') AND coalesce(sem, '') = 'drawn_flow' ELSE tool <> 'get_entity' END AS answers FROM k""")
+def capability_matrix(spark, sf_dir):
+    """What rows of an operation can answer, kind by kind."""
+    k = F.col("c_custkey")
+    pick = lambda names, n: F.get(F.array(*map(F.lit, names)), (k % n).cast("int"))
+    kind = pick(("boundary", "signal_chain", "line_structure", "flow_reachability", "connectivity", "count", "procedure_or_behaviour"), 7)
+    tool = pick(("isolation_boundary", "traverse", "find_path", "trace_line", "get_entity"), 5)
+    return table(spark, sf_dir, "customer").select("c_custkey", submission.answers(kind, tool, pick((None, "drawn_flow", "topological"), 3)).alias("answers"))
+
+
+@query("""WITH o AS (SELECT 'q' || c_custkey AS output_id, CASE WHEN c_custkey % 2 = 0 THEN 'boundary' ELSE 'flow_reachability' END AS kind, c_custkey AS k FROM customer)
+SELECT output_id, CASE WHEN k % 5 = 0 THEN 'unknown' WHEN k % 3 = 0 THEN 'missing' WHEN k % 2 = 0 AND k % 4 = 0 THEN 'covered' WHEN k % 2 = 1 AND k % 4 = 1 THEN 'covered' ELSE 'wrong_operation' END AS status FROM o""")
+def answer_coverage(spark, sf_dir):
+    """An output asked for by each customer, with a row that answers it or not, an unknown, or nothing."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    out = F.concat(F.lit("q"), F.col("k").cast("string"))
+    even = F.col("k") % 2 == 0
+    asked = c.select(out.alias("output_id"), F.when(even, "boundary").otherwise("flow_reachability").alias("kind"))
+    right = F.when(even, F.col("k") % 4 == 0).otherwise(F.col("k") % 4 == 1)
+    tool = F.when(right & even, "isolation_boundary").when(right, "traverse").otherwise("get_entity")
+    rows = c.select(F.concat(F.lit("E"), F.col("k").cast("string"), F.lit(".1")).alias("ref"), F.col("k").cast("int").alias("step"), tool.alias("operation"), F.when(tool == "traverse", "drawn_flow").alias("semantics"), F.lit("entities").alias("section"), F.lit(None).cast("string").alias("predicate"), F.lit("x").alias("text"))
+    cited = c.where("k % 3 <> 0 and k % 5 <> 0").select(F.concat(F.lit("E"), F.col("k").cast("string"), F.lit(".1")).alias("ref"), out.alias("output_id"))
+    unknown = c.where("k % 5 = 0").select(out.alias("output_id"), F.lit("other").alias("category"))
+    return submission.submit(cited, rows, asked, unknown)[1].where("ref is null").drop("ref")
+
+
+@query(r"""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN lower(p_type) || 's' ELSE lower(p_type) END = lower(p_type) AS plain, regexp_replace(lower(p_name), '[^a-z0-9.]+', '-', 'g') AS slug,
+  regexp_replace(lower(regexp_replace(p_brand || ' ,', '\s+', '', 'g')), '^[.,;:]+|[.,;:]+$', '', 'g') AS term, p_size % 3 <> 2 AS named FROM part""")
+def names(spark, sf_dir):
+    """Singular, slug, plain term, and whether a property's name means the same as another that may say more."""
+    part = table(spark, sf_dir, "part")
+    word = F.when(F.col("p_size") % 2 == 0, F.concat(F.lower("p_type"), F.lit("s"))).otherwise(F.lower("p_type"))
+    have = F.when(F.col("p_size") % 3 == 0, "nominalDiameterRepresentation").when(F.col("p_size") % 3 == 1, "NominalDiameter").otherwise("upperLimitNominalDiameter")
+    same = text.singular(word) == text.singular(F.lower("p_type"))
+    return part.select("p_partkey", (same & (word == F.lower("p_type"))).alias("plain"), text.slug(F.col("p_name")).alias("slug"), text.plain_term(F.concat("p_brand", F.lit(" ,"))).alias("term"), text.names_match(F.lit("nominal diameter"), have).alias("named"))
+
+
+def _service(spark, sf_dir) -> Service:
+    return Service(views.plant(spark, sf_dir), "trade")
+
+
+@query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS id, 'tag_case_insensitive' AS tier, false AS ambiguous FROM nation WHERE n_name = (SELECT max(n_name) FROM nation)")
+def service_find_entities(spark, sf_dir):
+    name = table(spark, sf_dir, "nation").agg(F.max("n_name").alias("n")).first()["n"]
+    return _service(spark, sf_dir).call("find_entities", {"query": name.lower()}).sections["entities"].select("id", "tier", "ambiguous")
+
+
+@query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS id FROM nation WHERE n_nationkey % 7 IN (2, 4, 6) AND n_regionkey = 1")
+def service_list_entities(spark, sf_dir):
+    return _service(spark, sf_dir).call("list_entities", {"entity_type": "valves", "property_filter": {"region": "1"}}).sections["entities"].select("id")
+
+
+@query(f"WITH {TRADE} SELECT id, tag, (SELECT count(*) FROM trade WHERE source = node.id) AS piping_downstream, (SELECT count(*) FROM trade WHERE target = node.id) AS piping_upstream FROM node WHERE k = 7")
+def service_get_entity(spark, sf_dir):
+    out = _service(spark, sf_dir).call("get_entity", {"entity_id": "07", "include_children": True}).sections["entities"].select("id", "tag", "piping_downstream", "piping_upstream")
+    return out.fillna(0)
+
+
+@query(f"WITH {TRADE} SELECT id, 'upstream' AS side, source AS other FROM trade WHERE target = '10'")
+def service_get_connections(spark, sf_dir):
+    return _service(spark, sf_dir).call("get_connections", {"entity_id": "10", "relationship": "all", "direction": "upstream"}).sections["connections"].select("id", "side", "other")
+
+
+@query(f"""WITH RECURSIVE {TRADE}, r AS (SELECT id AS node, CAST(NULL AS VARCHAR) AS c, 0 AS d FROM node WHERE id = '00' UNION SELECT t, e, d + 1 FROM r JOIN step ON f = node WHERE d < 3 AND (d = 0 OR c IS NULL OR x IS NULL OR c = x))
+SELECT node AS id, CAST(min(d) AS BIGINT) AS distance, NOT EXISTS (SELECT 1 FROM step WHERE f = node) AS terminal FROM r WHERE node <> '00' GROUP BY 1""")
+def service_traverse(spark, sf_dir):
+    return _long(_service(spark, sf_dir).call("traverse", {"start_entity_id": "00", "direction": "downstream", "max_depth": 3}).sections["entities"].select("id", "distance", "terminal"), "distance")
+
+
+@query(f"{_routes_sql('SELECT * FROM step', 25).replace('FROM node UNION ALL', chr(10) + '  FROM node WHERE k = 0 UNION ALL', 1)} SELECT CAST(d AS BIGINT) AS length, path FROM top WHERE nth = 1 AND query_id = '00-13'")
+def service_find_path(spark, sf_dir):
+    out = _service(spark, sf_dir).call("find_path", {"source_entity_id": "00", "target_entity_id": "13"}).sections.get("paths")
+    if out is None:
+        return spark.createDataFrame([], "length long, path string")
+    return _long(out.select("length", F.concat_ws(">", F.lit("00"), F.transform("path", lambda s: s["to"])).alias("path")), "length")
+
+
+@query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS entity_id, 'region' AS name, 'found' AS status, CAST(n_regionkey AS VARCHAR) AS value FROM nation WHERE n_nationkey IN (3, 4) UNION ALL SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0'), 'weight', 'missing', NULL FROM nation WHERE n_nationkey IN (3, 4)")
+def service_get_properties(spark, sf_dir):
+    return _service(spark, sf_dir).call("get_properties", {"ids": ["03", "04", "nowhere"], "requested_properties": ["region", "weight"]}).sections["properties"].select("entity_id", "name", "status", "value")
+
+
+@query(f"""WITH RECURSIVE {TRADE}, r AS (SELECT id AS node FROM node WHERE id = '01' UNION SELECT t FROM r JOIN (SELECT f, t FROM step UNION ALL SELECT f, t FROM back) ON f = node JOIN node n ON n.id = t WHERE n.role = 'fitting') SELECT node FROM r""")
+def service_isolation_boundary(spark, sf_dir):
+    return _service(spark, sf_dir).call("isolation_boundary", {"entity_id": "01"}).sections["region"].select("node")
+
+
+@query("SELECT 'signal_chain' AS predicate, 'I0' AS subject, '04' AS object UNION ALL SELECT 'loop_acts_on', 'I0', '04' UNION ALL SELECT 'loop_acts_on', 'I1', '04'")
+def service_trace_instrumentation(spark, sf_dir):
+    return _service(spark, sf_dir).call("trace_instrumentation", {"entity_id": "I1"}).sections["derived"].select("predicate", "subject", "object")
+
+
+@query(f"WITH {TRADE} SELECT count(*) AS pipes FROM trade WHERE ord % 3 = 0")
+def service_trace_line(spark, sf_dir):
+    """Pipes on the runs of one line; each pipe lies on one run."""
+    runs = _service(spark, sf_dir).call("trace_line", {"line": "line 0"}).sections["runs"]
+    return runs.select(F.explode("links").alias("id")).agg(F.count_distinct("id").alias("pipes"))

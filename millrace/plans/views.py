@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.plans.storage import keep
+from millrace.sources.drawings import ANCESTORS, Plant
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +17,19 @@ def node(c) -> F.Column:
     return F.lpad(c.cast("string"), 2, "0")
 
 
+#: Trade graphs of this session, by application and folder: every graph query reads one.
+_TRADE: dict[tuple[str, str], DataFrame] = {}
+
+
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trade graph, made once for each session and folder."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _TRADE:
+        _TRADE[at] = _trade(spark, sf_dir)
+    return _TRADE[at]
+
+
+def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connections between nations: from each supplier nation to the two customer nations that buy most lines of it, ties by key.
 
     Chambers follow from the keys: a nation whose key is a multiple of three has two, entered and left by the parity of the other end.
@@ -60,3 +73,27 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order))
     return own.select(F.col("l_orderkey").alias("line"), pos.alias("pos"), F.col("l_partkey").alias("item"), F.concat(F.lit("DN "), F.col("l_quantity").cast("int").cast("string")).alias("size"))
+
+
+def plant(spark: SparkSession, sf_dir: str) -> Plant:
+    """The trade graph as a drawing named trade: nations are its items, with a class that follows from the role, and two instruments act on nation 4."""
+    n = nations(spark, sf_dir)
+    kinds = {"equipment": ("Tank", "equipment"), "fitting": ("PipeTee", "piping_component"), "isolation_valve": ("GlobeValve", "piping_component"), "check_valve": ("SwingCheckValve", "piping_component"), "relief_device": ("RuptureDisc", "piping_component")}
+    pick = lambda k: F.element_at(F.create_map(*(F.lit(x) for role, v in kinds.items() for x in (role, v[k]))), F.col("role"))
+    above = F.create_map(*(x for name, _ in kinds.values() for x in (F.lit(name), F.array(*map(F.lit, [name, *ANCESTORS[name]])))))
+    null, empty = F.lit(None).cast("string"), F.expr("cast(map() as map<string,string>)")
+    columns = lambda df, **c: df.select(F.lit("trade").alias("drawing_id"), *(v.alias(k) for k, v in c.items()))
+    items = columns(n, id=F.col("id"), type=pick(0), type_hierarchy=F.element_at(above, pick(0)), category=pick(1), tag=F.col("tag"), name=F.col("tag"), properties=F.create_map(F.lit("region"), F.col("region").cast("string")), piping_context=F.lit(None).cast("map<string,string>"), line_id=null, segment_id=null, line_number=null, in_topology=F.lit(True), ord=F.col("ord"))
+    more = spark.createDataFrame([("I0", "ProcessInstrumentationFunction", 100), ("I1", "ProcessInstrumentationFunction", 101)], "id string, type string, ord long")
+    more = columns(more, id=F.col("id"), type=F.col("type"), type_hierarchy=F.array("type"), category=F.lit("instrumentation"), tag=null, name=F.col("id"), properties=empty, piping_context=F.lit(None).cast("map<string,string>"), line_id=null, segment_id=null, line_number=null, in_topology=F.lit(True), ord=F.col("ord"))
+    entities = items.unionByName(more)
+    bag = F.create_map(F.lit("lineNumber"), (F.col("ord") % 3).cast("string"))
+    end = {"source_nozzle": null, "target_nozzle": null, "open_end": null}
+    pipes = columns(trade(spark, sf_dir), id=F.col("id"), source=F.col("source"), target=F.col("target"), relationship=F.lit("piping"), connection_type=F.lit("pipe"), properties=bag, source_chamber=F.col("source_chamber"), target_chamber=F.col("target_chamber"), ord=F.col("ord"), **end)
+    links = spark.createDataFrame([("S0", "I0", "I1", "signal_line", 1000), ("O0", "I1", "04", "operated_valve_reference", 1001)], "id string, source string, target string, kind string, ord long")
+    links = columns(links, id=F.col("id"), source=F.col("source"), target=F.col("target"), relationship=F.lit("instrumentation"), connection_type=F.col("kind"), properties=empty, source_chamber=null, target_chamber=null, ord=F.col("ord"), **end)
+    connections = pipes.unionByName(links)
+    identifiers = columns(entities.where("tag is not null"), entity_id=F.col("id"), field=F.lit("tagName"), value=F.col("tag"), kind=F.lit("identifier"), origin=F.lit("source"))
+    bags = lambda df, scope: columns(df.select("id", F.explode("properties").alias("property", "value")), entity_id=F.col("id"), property=F.col("property"), value=F.col("value"), scope=F.lit(scope), source_object_id=F.col("id"))
+    none = lambda ddl: spark.createDataFrame([], f"drawing_id string, {ddl}")
+    return Plant(entities, none("owner_id string, id string, type string, tag string, properties map<string,string>, ord long"), identifiers, connections, bags(entities, "own").unionByName(bags(connections, "connection")), none("warning string"), none("id string, type string, owner_entity_id string"))
