@@ -93,36 +93,68 @@ def trace_instrumentation(edges: DataFrame, categories: DataFrame, starts: DataF
     Links run through instruments only; a measured item or a valve ends the loop. Chains are all simple paths, of any length, in signal order, from members that no link of the loop enters.
     """
     links = edges.where("relationship = 'instrumentation' and source is not null and target is not null")
-    both = links.select(F.col("source").alias("a"), F.col("target").alias("b"), "id").unionByName(links.select(F.col("target").alias("a"), F.col("source").alias("b"), "id"))
+    both = keep(links.select(F.col("source").alias("a"), F.col("target").alias("b"), "id").unionByName(links.select(F.col("target").alias("a"), F.col("source").alias("b"), "id")), "both")
     instrument = categories.where("category = 'instrumentation'").select("node")
-    members = frontier = starts.select("query_id", "node").join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("query_id", "node")
-    opened = frontier
+    # Instruments that links join lie in one part, found in a logarithm of the loop's length of rounds; other items stand at a part's edge.
+    inside = both.join(instrument.withColumnRenamed("node", "a"), "a", "left_semi")
+    inner = inside.join(instrument.withColumnRenamed("node", "b"), "b", "left_semi").select(F.col("a").alias("source"), F.col("b").alias("target"))
+    part = keep(graph.components(inside.select(F.col("a").alias("node")).distinct(), inner), "parts")
+    own = starts.select("query_id", "node").join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("query_id", "node")
+    # A start that is no instrument opens every part that it touches.
+    touched = own.join(both, own["node"] == both["a"]).select("query_id", F.col("b").alias("node"))
+    opened = own.unionByName(touched.join(own.join(instrument, "node", "left_anti").select("query_id").distinct(), "query_id", "left_semi")).join(part, "node").select("query_id", "component").distinct()
+    members = keep(opened.join(part, "component").select("query_id", "node").unionByName(own).distinct(), "members")
+    at = members.join(instrument, "node", "left_semi").unionByName(own).distinct().join(both, F.col("node") == F.col("a"))
+    members = keep(members.unionByName(at.select("query_id", F.col("b").alias("node"))).distinct(), "members")
+    used = at.select("query_id", "id").distinct().join(links, "id")
+    turned = F.col("connection_type").isin(*REVERSED)
+    used = keep(used.select("query_id", "id", F.when(turned, F.col("target")).otherwise(F.col("source")).alias("first"), F.when(turned, F.col("source")).otherwise(F.col("target")).alias("second")), "links")
+    return members, _chains(members, used, keep(_stretches(used), "stretches"))
+
+
+def _stretches(links: DataFrame) -> DataFrame:
+    """links: query_id, id, first, second. Links between which nothing joins or branches off, in one: query_id, first, end, inner (nodes between), links.
+
+    Each link learns the first link of its stretch and its place in it by pointer jumping, a logarithm of the longest stretch in rounds.
+    """
+    into = links.groupBy("query_id", F.col("second").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("id").alias("before"))
+    out_of = links.groupBy("query_id", F.col("first").alias("node")).agg(F.count(F.lit(1)).alias("n_out"))
+    inner = into.join(out_of, ["query_id", "node"]).where("n_in = 1 and n_out = 1").select("query_id", F.col("node").alias("first"), "before")
+    rows = keep(links.join(inner, ["query_id", "first"], "left").select("query_id", "id", F.coalesce("before", "id").alias("head"), F.col("before").isNotNull().cast("int").alias("place")), "places")
+    todo = None
     while True:
-        new = frontier.join(both, frontier["node"] == both["a"]).select("query_id", F.col("b").alias("node")).distinct().join(members, ["query_id", "node"], "left_anti")
-        new = keep(new, "members")
-        if new.isEmpty():
+        ahead = rows.select("query_id", F.col("id").alias("head"), F.col("head").alias("next"), F.col("place").alias("more"))
+        rows = keep(rows.join(ahead, ["query_id", "head"]).select("query_id", "id", F.col("next").alias("head"), (F.col("place") + F.col("more")).alias("place")), "places")
+        # Links whose head has none before it are done; if as many are left as before, they lie on closed rings.
+        heads = rows.where("place = 0").select("query_id", F.col("id").alias("head"))
+        left = rows.join(heads, ["query_id", "head"], "left_anti").count()
+        if left == 0 or left == todo:
             break
-        members = members.unionByName(new)
-        frontier = new.join(instrument, "node", "left_semi").select("query_id", "node")
-        opened = opened.unionByName(frontier)
-    members = keep(members, "members")
-    own = opened.join(both, opened["node"] == both["a"]).select("query_id", "id").distinct().join(links, "id")
-    turned = F.col("connection_type").isin(*REVERSED)
-    own = keep(own.select("query_id", "id", "ord", F.when(turned, F.col("target")).otherwise(F.col("source")).alias("first"), F.when(turned, F.col("source")).otherwise(F.col("target")).alias("second")), "links")
-    origins = members.join(own.select("query_id", F.col("second").alias("node")).distinct(), ["query_id", "node"], "left_anti")
+        todo = left
+    done = rows.join(heads, ["query_id", "head"], "left_semi").join(links, ["query_id", "id"])
+    runs = done.groupBy("query_id", "head").agg(F.array_sort(F.collect_list(F.struct("place", "id", "first", "second"))).alias("run"))
+    nodes = F.transform("run", lambda x: x["second"])
+    return runs.select("query_id", F.get("run", F.lit(0))["first"].alias("first"), F.element_at(nodes, -1).alias("end"), F.slice(nodes, 1, F.size(nodes) - 1).alias("inner"), F.transform("run", lambda x: x["id"]).alias("used"))
+
+
+def _chains(members: DataFrame, links: DataFrame, stretches: DataFrame) -> DataFrame:
+    """All simple paths from members that no link enters: query_id, elements, links. One round for each stretch of the longest."""
+    entered = links.select("query_id", F.col("second").alias("node")).distinct()
+    origins = members.join(entered, ["query_id", "node"], "left_anti")
     path = origins.select("query_id", "node", F.array("node").alias("elements"), F.expr("cast(array() as array<string>)").alias("links"))
     ended = None
     while True:
-        onward = path.join(own.withColumnRenamed("query_id", "q"), (F.col("query_id") == F.col("q")) & (F.col("node") == F.col("first"))).where(~F.array_contains("elements", F.col("second")))
-        onward = keep(onward.select("query_id", F.col("second").alias("node"), "elements", F.concat("elements", F.array("second")).alias("longer"), F.concat("links", F.array("id")).alias("links")), "chains")
-        last = keep(path.join(onward.select("query_id", "elements").distinct(), ["query_id", "elements"], "left_anti").select("query_id", "elements", "links"), "ended")
-        # Rounds in which no chain ends stay out of the plan.
-        if ended is None or not last.isEmpty():
-            ended = last if ended is None else ended.unionByName(last)
-        if onward.isEmpty():
-            break
-        path = onward.select("query_id", "node", F.col("longer").alias("elements"), "links")
-    return members, ended
+        move = path.join(stretches.withColumnRenamed("query_id", "q"), (F.col("query_id") == F.col("q")) & (F.col("node") == F.col("first")))
+        back = F.array_contains("elements", F.col("end"))
+        # A stretch that leads back into the path is followed as far as that.
+        move = move.where(~back | (F.size("inner") > 0)).select("query_id", F.col("elements").alias("before"), back.alias("back"), F.col("end").alias("node"), F.concat("elements", "inner", F.when(back, F.expr("cast(array() as array<string>)")).otherwise(F.array("end"))).alias("elements"), F.concat("links", F.when(back, F.slice("used", 1, F.size("used") - 1)).otherwise(F.col("used"))).alias("links"))
+        move = keep(move, "chains")
+        stuck = path.join(move.select("query_id", F.col("before").alias("elements")).distinct(), ["query_id", "elements"], "left_anti").select("query_id", "elements", "links")
+        last = keep(stuck.unionByName(move.where("back").select("query_id", "elements", "links")), "ended")
+        ended = last if ended is None else ended.unionByName(last)
+        path = move.where("not back").select("query_id", "node", "elements", "links")
+        if path.isEmpty():
+            return ended
 
 
 def loop_rows(edges: DataFrame, types: DataFrame, properties: DataFrame, chains: DataFrame) -> DataFrame:

@@ -179,3 +179,48 @@ def test_lines(spark):
     got = {(r.line, r.source, tuple(r.components), r.target, tuple(r.sizes), r.ends_at) for r in runs.collect()}
     assert got == {("L1", "t", ("a", "b"), "j", ("DN 80", "DN 50", "DN 80"), "junction"), ("L1", "j", (), "k", ("DN 80",), "end of the drawn piping"), ("L2", "j", ("m",), "u", ("DN 80",), "equipment")}
     assert {(r.line, r.node, r.other_line) for r in meets.collect()} == {("L1", "j", "L2"), ("L2", "j", "L1")}
+
+
+def test_chains_against_plain_walks(spark):
+    """Loops with branches, joints, rings and long stretches: all simple paths from members that nothing enters."""
+    import random
+
+    from millrace.operators import analysis
+
+    rng = random.Random(7)
+    for trial in range(3):
+        names = [f"n{i}" for i in range(14)]
+        links = [(f"L{trial}-{k}", *rng.sample(names, 2)) for k in range(13)] + [(f"R{k}", f"r{k}", f"r{(k + 1) % 4}") for k in range(4)] + [(f"C{k}", f"c{k}", f"c{k + 1}") for k in range(40)]
+        edges = spark.createDataFrame([(i, a, b, "instrumentation", "signal_line", k) for k, (i, a, b) in enumerate(links)], "id string, source string, target string, relationship string, connection_type string, ord long")
+        every = sorted({x for _, a, b in links for x in (a, b)})
+        valves = set(rng.sample(names, 2))
+        kinds = spark.createDataFrame([(x, "piping_component" if x in valves else "instrumentation") for x in every], "node string, category string")
+        members, chains = analysis.trace_instrumentation(edges, kinds, spark.createDataFrame([(x, x) for x in ("n0", "n3", "r1", "c20")], "query_id string, node string"))
+        got_members, got = {}, {}
+        for r in members.collect():
+            got_members.setdefault(r.query_id, set()).add(r.node)
+        for r in chains.collect():
+            got.setdefault(r.query_id, set()).add((tuple(r.elements), tuple(r.links)))
+        for start in ("n0", "n3", "r1", "c20"):
+            seen, todo, used = set(), [start], set()
+            while todo:
+                x = todo.pop()
+                if x in seen or not any(x in (a, b) for _, a, b in links):
+                    continue
+                seen.add(x)
+                if x == start or x not in valves:
+                    used |= {(i, a, b) for i, a, b in links if x in (a, b)}
+                    todo += [b if x == a else a for i, a, b in links if x in (a, b)]
+            want = set()
+
+            def follow(path, on):
+                more = [(i, b) for i, a, b in used if a == path[-1] and b not in path]
+                if not more:
+                    want.add((path, on))
+                for i, b in more:
+                    follow((*path, b), (*on, i))
+
+            for x in seen - {b for _, _, b in used}:
+                follow((x,), ())
+            assert got_members.get(start, set()) == seen, (trial, start)
+            assert got.get(start, set()) == want, (trial, start)
