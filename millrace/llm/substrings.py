@@ -130,9 +130,12 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # Two places of a chunk differ in their hashes; if they don't, once in 10^19, the pair alone is not seen here.
     where = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "copy", "place")
     several = every.select("hi", where.alias("at")).groupBy("hi").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("hi")
+    # Tables of their own: a join that is fed by the very shuffle of the sums can't be split where a digest is frequent.
+    several = keep(several, "several")
     twice = keep(every.join(several, "hi", "left_semi"), "repeats")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy", "place")
     first = twice.groupBy("hi", "lo").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("hi", "lo", "first")
+    first = keep(first, "first")
     later = twice.join(first, ["hi", "lo"]).where(~order.eqNullSafe(F.col("first"))).select("doc_id", "copy", "place", F.col("first.doc_id").alias("first"), F.col("first.none").alias("unnamed")).distinct()
     start, length = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(0xFFF)
     later = later.select("doc_id", "copy", "first", "unnamed", start.alias("start"), (start + length).alias("end"), F.col("place").bitwiseAND(0xFFF).alias("words"))
