@@ -109,8 +109,3 @@ def fact_key(predicate: Column, subject: Column, obj: Column, value: Column, qua
 
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9.]+", "-"), "^-+|-+$", "")
-
-
-def plain_words(c: Column) -> Column:
-    """Answer text for matching: no markdown marks, one space between words."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(fold_typography(c)), r"[*_`#]", ""), r"\s+", " "))

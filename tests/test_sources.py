@@ -16,6 +16,12 @@ def test_suite_is_judged(spark, tmp_path):
     scores = {r.question_id: (r.score, r.outcome) for r in evaluate.answer_scores(suites.judge(run, questions)).collect()}
     assert scores == {"a": (0.5, "partial"), "b": (0.0, "incorrect"), "c": (None, "infrastructure")}
     assert [r.question_id for r in suites.unanswered(questions, run).collect()] == ["c"]
+    spaced = suites.read_questions(spark, str(tmp_path / "q.json")).where("question_id = 'a'")
+    for answer in ("T 100", "T-100", "t‑100 has"):
+        hits = suites.judge(spark.createDataFrame([("a", answer, False)], "question_id string, answer string, failed boolean"), spaced.withColumn("required", F.expr("transform(required, r -> named_struct('fact', r.fact, 'any_of', array('T 100'), 'evidence', r.evidence))")))
+        assert hits.where("kind = 'required' and not matched").count() == 0, answer
+    suites.write_run(run, str(tmp_path / "run"))
+    assert [r.question_id for r in suites.unanswered(questions, suites.read_run(spark, str(tmp_path / "run"))).collect()] == ["c"]
     suites.write_markdown(spark.createDataFrame([("b", 1), ("a", None)], "name string, n int"), str(tmp_path / "md"))
     lines = [line for f in (tmp_path / "md").glob("part-*") for line in f.read_text().splitlines()]
     assert lines == ["| name | n |", "| --- | --- |", "| a | - |", "| b | 1 |"]
