@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from millrace.llm import decontamination, language, licenses, neardup, packing, quality, scoring, secrets, sharding, substrings
+from millrace.llm import decontamination, drifted, language, licenses, neardup, packing, quality, rewrite, scoring, secrets, sharding, substrings
 from millrace.llm.common import table
+from millrace.plans.storage import shared_folder
 
 
 def tokenizer_path(name: str) -> str:
@@ -85,6 +88,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: The evolved schema: the table's columns in order, with field ids from 1; nation_id is a long.
+CLIENT_COLUMNS = ["client_id", "master_id", "source", "updated_at", "name", "email", "city", "nation_id", "segment", "balance"]
+FILLS = {"nation_id": -1, "source": "none"}
+
+
+def op13_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per final file; the files are in a new folder under spark.checkpoint.dir, and stay there."""
+    clients = table(spark, sf_dir, "clients").select(*CLIENT_COLUMNS).withColumn("nation_id", F.col("nation_id").cast("long"))
+    kinds = to_arrow_schema(clients.schema)
+    target = [rewrite.Column(name, kinds.field(name).type, i, FILLS.get(name)) for i, name in enumerate(CLIENT_COLUMNS, 1)]
+    root = f"{shared_folder(spark)}/rewrite-{uuid.uuid4().hex}"
+    files = drifted.write_files(drifted.numbered(clients), target, f"{root}/files", f"{root}/attempts")
+    done = rewrite.rewrite(files, target, f"{root}/attempts")
+    out = files.join(done, files["path"] == done["source_path"]).drop(files["path"])
+    return out.select("file_no", "version", "n_rows", "n_nulls", "ids_sha256", "rows_sha256", "start_columns", "columns", "path", "rewritten")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_neardup": op2_neardup,
@@ -96,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substrings": op9_substrings,
     "op10_sharding": op10_sharding,
+    "op13_rewrite": op13_rewrite,
 }
 
 _OP7_SQL = r"""
