@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from millrace.llm import decontamination, drifted, language, licenses, neardup, packing, quality, rewrite, scoring, secrets, sharding, substrings
+from millrace.llm import decontamination, drifted, language, licenses, neardup, packing, quality, rewrite, scoring, search, secrets, sharding, substrings
 from millrace.llm.common import table
 from millrace.plans.storage import shared_folder
 
@@ -88,6 +88,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: The evolved schema: the table's columns in order, with field ids from 1; nation_id is a long.
 CLIENT_COLUMNS = ["client_id", "master_id", "source", "updated_at", "name", "email", "city", "nation_id", "segment", "balance"]
 FILLS = {"nation_id": -1, "source": "none"}
@@ -116,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substrings": op9_substrings,
     "op10_sharding": op10_sharding,
+    "op12_search": op12_search,
     "op13_rewrite": op13_rewrite,
 }
 
@@ -166,4 +171,27 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.node = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_neardup": _OP2_SQL, "op7_decontamination": _OP7_SQL}
+_OP12_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), item AS (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)
+), wanted AS (
+  SELECT q, item_id, t, count(*) AS reps FROM (SELECT q, item_id, unnest(w) AS t FROM item) GROUP BY ALL
+), total AS (
+  SELECT count(*) AS nd, CAST(sum(len(w)) AS BIGINT) AS nt FROM doc WHERE len(w) > 0
+), posting AS (
+  SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM doc) WHERE t IN (SELECT t FROM wanted) GROUP BY ALL
+), weight AS (
+  SELECT t, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM posting, total GROUP BY t, nd
+), scored AS (
+  SELECT q, item_id, r, doc_id, CAST(sum(reps * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // nt)))) AS BIGINT) AS score
+  FROM wanted JOIN weight USING (t) JOIN posting USING (t), total GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_neardup": _OP2_SQL, "op7_decontamination": _OP7_SQL, "op12_search": _OP12_SQL}
