@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.components import component_of
 from millrace.plans.storage import keep
 
 DEEPEST = 25
@@ -255,18 +256,8 @@ def degree(edges: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node it is connected with), by label propagation with pointer jumping: a logarithm of the longest path in rounds."""
-    links = edges.where("source is not null and target is not null").select(F.col("source").alias("a"), F.col("target").alias("b"))
-    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = nodes.select("node", F.col("node").alias("component")).distinct()
-    while True:
-        low = links.join(labels, links["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
-        near = labels.join(low, "node", "left").select("node", F.least("component", F.coalesce("low", "component")).alias("component"))
-        jump = near.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = keep(near.join(jump, "component", "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component")), "labels")
-        if new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty():
-            return new
-        labels = new
+    """node, component (the smallest node it is connected with); edges with an open end join nothing."""
+    return component_of(nodes, edges)
 
 
 def descendants(children: DataFrame, roots: DataFrame) -> DataFrame:
