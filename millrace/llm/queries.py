@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from millrace.llm import decontamination, drifted, language, licenses, neardup, packing, quality, rewrite, scoring, search, secrets, sharding, substrings
+from millrace.llm import decontamination, drifted, language, licenses, neardup, packing, quality, rewrite, scoring, search, secrets, sharding, substrings, urls
 from millrace.llm.common import table
 from millrace.plans.storage import shared_folder
 
@@ -88,6 +88,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: Host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict", "by")
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -120,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substrings": op9_substrings,
     "op10_sharding": op10_sharding,
+    "op11_urls": op11_urls,
     "op12_search": op12_search,
     "op13_rewrite": op13_rewrite,
 }
@@ -171,6 +181,34 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.node = d.doc_id
 """
 
+_OP11_SQL = r"""
+WITH RECURSIVE page AS (
+  SELECT page_id, url, coalesce(html, '') AS html, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), own AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM page
+), tag AS (
+  SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script|<style\b.*?</style', '', 'g'), '(?i)<(?:link|meta)\b[^>]*>')) AS t FROM page WHERE html LIKE '%canonical%' OR html LIKE '%refresh%'
+), link AS (
+  SELECT url AS a, regexp_extract(t, '(?i)href="(https?://[^"]*)"', 1) AS b FROM tag WHERE regexp_matches(t, '(?i)^<link\b.*rel="canonical"')
+  UNION SELECT url, regexp_extract(t, '(?i)content="[0-9]+; *url=(https?://[^"]*)"', 1) FROM tag WHERE regexp_matches(t, '(?i)^<meta\b.*http-equiv="refresh"')
+), e AS (
+  SELECT a, b FROM link WHERE b <> '' UNION SELECT b, a FROM link WHERE b <> ''
+), r AS (
+  SELECT DISTINCT a AS u, a AS v FROM e UNION SELECT r.u, e.b FROM r JOIN e ON e.a = r.v
+), rules AS (
+  SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS t(rh, rp, verdict)
+), fit AS (
+  SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM (SELECT host, path FROM own UNION ALL SELECT regexp_extract(v, '://([^/?#]*)([^?#]*)', 1), regexp_extract(v, '://([^/?#]*)([^?#]*)', 2) FROM r)), rules
+  WHERE (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp) GROUP BY 1, 2
+), reached AS (
+  SELECT u, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict
+  FROM r JOIN fit ON host = regexp_extract(v, '://([^/?#]*)([^?#]*)', 1) AND path = regexp_extract(v, '://([^/?#]*)([^?#]*)', 2) GROUP BY 1
+)
+SELECT page_id, host, path, rule, coalesce(fit.verdict, reached.verdict, 'allow') AS verdict, CASE WHEN fit.verdict IS NOT NULL THEN 'rule' WHEN reached.verdict IS NOT NULL THEN 'alias' ELSE 'default' END AS by
+FROM own LEFT JOIN fit USING (host, path) LEFT JOIN reached ON u = url
+"""
+
 _OP12_SQL = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
@@ -194,4 +232,4 @@ SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_neardup": _OP2_SQL, "op7_decontamination": _OP7_SQL, "op12_search": _OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_neardup": _OP2_SQL, "op7_decontamination": _OP7_SQL, "op11_urls": _OP11_SQL, "op12_search": _OP12_SQL}
