@@ -112,14 +112,17 @@ def trace_instrumentation(edges: DataFrame, categories: DataFrame, starts: DataF
     return members, _chains(members, used, keep(_stretches(used), "stretches"))
 
 
-def _stretches(links: DataFrame) -> DataFrame:
-    """links: query_id, id, first, second. Links between which nothing joins or branches off, in one: query_id, first, end, inner (nodes between), links.
+def _places(links: DataFrame, breaks: DataFrame | None = None) -> DataFrame:
+    """links: query_id, id, first, second. breaks: query_id, node. Each link with the first link of its stretch (head) and its place in it; a stretch ends where links
+    join or branch off, and at breaks. Links on closed rings, which have no first one, are left out.
 
-    Each link learns the first link of its stretch and its place in it by pointer jumping, a logarithm of the longest stretch in rounds.
+    Found by pointer jumping, a logarithm of the longest stretch in rounds.
     """
     into = links.groupBy("query_id", F.col("second").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("id").alias("before"))
     out_of = links.groupBy("query_id", F.col("first").alias("node")).agg(F.count(F.lit(1)).alias("n_out"))
-    inner = into.join(out_of, ["query_id", "node"]).where("n_in = 1 and n_out = 1").select("query_id", F.col("node").alias("first"), "before")
+    inner = into.join(out_of, ["query_id", "node"]).where("n_in = 1 and n_out = 1")
+    inner = inner.join(breaks.select("query_id", "node").distinct(), ["query_id", "node"], "left_anti") if breaks is not None else inner
+    inner = inner.select("query_id", F.col("node").alias("first"), "before")
     rows = keep(links.join(inner, ["query_id", "first"], "left").select("query_id", "id", F.coalesce("before", "id").alias("head"), F.col("before").isNotNull().cast("int").alias("place")), "places")
     todo = None
     while True:
@@ -131,7 +134,12 @@ def _stretches(links: DataFrame) -> DataFrame:
         if left == 0 or left == todo:
             break
         todo = left
-    done = rows.join(heads, ["query_id", "head"], "left_semi").join(links, ["query_id", "id"])
+    return rows.join(heads, ["query_id", "head"], "left_semi")
+
+
+def _stretches(links: DataFrame) -> DataFrame:
+    """links: query_id, id, first, second. Links between which nothing joins or branches off, in one: query_id, first, end, inner (nodes between), links."""
+    done = _places(links).join(links, ["query_id", "id"])
     runs = done.groupBy("query_id", "head").agg(F.array_sort(F.collect_list(F.struct("place", "id", "first", "second"))).alias("run"))
     nodes = F.transform("run", lambda x: x["second"])
     return runs.select("query_id", F.get("run", F.lit(0))["first"].alias("first"), F.element_at(nodes, -1).alias("end"), F.slice(nodes, 1, F.size(nodes) - 1).alias("inner"), F.transform("run", lambda x: x["id"]).alias("used"))
@@ -198,37 +206,67 @@ def line_runs(components: DataFrame, breaks: DataFrame) -> DataFrame:
 
 
 def trace_line(edges: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All lines of a drawing at once: runs (line, source, components, target, sizes, ends_at, links) and meetings (line, node, other_line, id).
+    """All lines of a drawing at once: runs (line, run, source, components, target, sizes, ends_at, links) and line_meetings().
 
     edges: with line and size. A run goes from break to break: equipment, connectors, nodes with other than two pipes, and nodes of another line.
+    Pipes learn their run by pointer jumping, so a line of any length takes a logarithm of it in rounds; a run's pipes are one row in the result.
     """
     pipes = edges.where("relationship = 'piping' and line is not null")
-    size = F.coalesce("size", F.lit(NO_SIZE))
-    own = pipes.select("line", "id", "source", "target", size.alias("size"), "ord")
-    at = edges.where("relationship = 'piping'").select("id", "line", F.explode(F.array("source", "target")).alias("node")).where("node is not null")
-    degree = graph.degree(edges)
-    on = own.select("line", F.explode(F.array("source", "target")).alias("node")).where("node is not null").distinct()
+    own = keep(pipes.select(F.col("line").alias("query_id"), "id", F.col("source").alias("first"), F.col("target").alias("second"), F.coalesce("size", F.lit(NO_SIZE)).alias("size"), F.col("ord").alias("run_ord")), "pipes")
+    at, on = _on_lines(edges)
     foreign = on.join(at.withColumnRenamed("line", "other"), "node").where(~F.col("other").eqNullSafe(F.col("line"))).select("line", "node").distinct().withColumn("foreign", F.lit(True))
-    nodes = on.join(degree, "node").join(roles, "node", "left").join(foreign, ["line", "node"], "left")
+    nodes = on.join(graph.degree(edges), "node").join(roles, "node", "left").join(foreign, ["line", "node"], "left")
     role = F.coalesce("role", F.lit("fitting"))
     is_break = role.isin("equipment", "off_page_connector") | (F.col("degree") != 2) | F.coalesce("foreign", F.lit(False))
     ends_at = F.when(role == "off_page_connector", ENDS["off_page_connector"]).when(role == "equipment", ENDS["equipment"]).when(F.col("degree") == 1, ENDS["end"]).otherwise(ENDS["junction"])
-    incoming = own.where("target is not null").select("line", F.col("target").alias("node")).distinct().withColumn("fed", F.lit(True))
-    outgoing = own.where("source is not null").groupBy("line", F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("out"))
-    nodes = keep(nodes.join(incoming, ["line", "node"], "left").join(outgoing, ["line", "node"], "left").select("line", "node", is_break.alias("is_break"), ends_at.alias("ends_at"), F.coalesce("fed", F.lit(False)).alias("fed"), F.coalesce("out", F.lit(0)).alias("out")), "nodes")
-    starts = own.join(nodes.select("line", F.col("node").alias("source"), "is_break", "fed"), ["line", "source"], "left").where("source is null or is_break or not fed")
-    walk = starts.select("line", F.col("id").alias("run"), "source", F.col("target").alias("at"), F.expr("cast(array() as array<string>)").alias("components"), F.array("size").alias("sizes"), F.array("id").alias("links"), F.col("ord").alias("run_ord"))
-    through = nodes.where("not is_break and out = 1").select("line", F.col("node").alias("at")).join(own.select("line", F.col("source").alias("at"), F.col("target").alias("next"), F.col("id").alias("next_id"), F.col("size").alias("next_size")), ["line", "at"])
-    ended = None
-    while True:
-        both = keep(walk.join(through, ["line", "at"], "left"), "runs")
-        goes = F.col("next_id").isNotNull() & ~F.array_contains("components", F.col("at"))
-        done = both.where(~F.coalesce(goes, F.lit(False)))
-        done = done.select("line", "run", "run_ord", "source", "components", F.col("at").alias("target"), "sizes", "links")
-        ended = done if ended is None else ended.unionByName(done)
-        walk = both.where(goes).select("line", "run", "source", F.col("next").alias("at"), F.concat("components", F.array("at")).alias("components"), F.when(F.element_at("sizes", -1) == F.col("next_size"), F.col("sizes")).otherwise(F.concat("sizes", F.array("next_size"))).alias("sizes"), F.concat("links", F.array("next_id")).alias("links"), "run_ord")
-        if walk.isEmpty():
-            break
-    runs = ended.join(nodes.select("line", F.col("node").alias("target"), "ends_at"), ["line", "target"], "left").withColumn("ends_at", F.coalesce("ends_at", F.lit(ENDS["open"])))
-    meets = on.join(at.withColumnRenamed("line", "other_line"), "node").where("other_line <> line").select("line", "node", "other_line", "id")
-    return runs, meets
+    nodes = keep(nodes.select("line", "node", is_break.alias("is_break"), ends_at.alias("ends_at")), "nodes")
+    breaks = nodes.where("is_break").select(F.col("line").alias("query_id"), "node")
+    placed = _places(own, breaks).join(own, ["query_id", "id"])
+    runs = placed.groupBy(F.col("query_id").alias("line"), F.col("head").alias("run")).agg(F.array_sort(F.collect_list(F.struct("place", "id", "first", "second", "size", "run_ord"))).alias("pipes"))
+    part = lambda name: F.transform("pipes", lambda p: p[name])
+    sizes = part("size")
+    changed = F.filter(F.transform(sizes, lambda x, i: F.when((i == 0) | (F.get(sizes, i - 1) != x), x)), lambda x: x.isNotNull())
+    runs = runs.select("line", "run", F.get(part("run_ord"), F.lit(0)).alias("run_ord"), F.get(part("first"), F.lit(0)).alias("source"), F.slice(part("second"), 1, F.size("pipes") - 1).alias("components"), F.element_at(part("second"), -1).alias("target"), changed.alias("sizes"), part("id").alias("links"))
+    runs = runs.join(nodes.select("line", F.col("node").alias("target"), "ends_at"), ["line", "target"], "left").withColumn("ends_at", F.coalesce("ends_at", F.lit(ENDS["open"])))
+    return runs, line_meetings(edges)
+
+
+def _on_lines(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every pipe's ends with its line (id, line, node), and the nodes of each line (line, node)."""
+    at = edges.where("relationship = 'piping'").select("id", "line", F.explode(F.array("source", "target")).alias("node")).where("node is not null")
+    return at, at.where("line is not null").select("line", "node").distinct()
+
+
+def line_meetings(edges: DataFrame) -> DataFrame:
+    """line, node, other_line, id: a row for each pipe of another line at a line's nodes. Nothing is walked for it."""
+    at, on = _on_lines(edges)
+    return on.join(at.withColumnRenamed("line", "other_line"), "node").where("other_line <> line").select("line", "node", "other_line", "id")
+
+
+NO_ROW = {"value": "string", "side": "string", "line": "string", "size": "string", "id": "string", "kind": "string", "relieves_region": "boolean", "nothing_drawn_beyond": "boolean", "elements": "array<string>", "sizes": "array<string>", "ends_at": "string", "links": "array<string>"}
+
+
+def _derived(rows: DataFrame) -> DataFrame:
+    """Rows of an analysis in one form: query_id, predicate, subject, object and NO_ROW, null where a row has none."""
+    return rows.select("query_id", "predicate", "subject", "object", *(F.col(c).cast(kind).alias(c) if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in NO_ROW.items()))
+
+
+def isolation_rows(edges: DataFrame, found: Isolation) -> DataFrame:
+    """What isolation_boundary() says as derived rows: its boundary, and for each start fully_valve_bounded and relief_path_inside_boundary with value true or false.
+
+    edges: with line and size, which the rows name for the pipe that they are about.
+    """
+    start = found.summary.select("query_id", F.col("start").alias("subject"))
+    pipe = edges.select("id", "line", "size")
+    own = found.rows.join(start, "query_id").join(pipe, "id", "left")
+    flags = F.array(*(F.struct(F.lit(p).alias("predicate"), F.col(p).cast("string").alias("value")) for p in ("fully_valve_bounded", "relief_path_inside_boundary")))
+    whole = found.summary.select("query_id", F.col("start").alias("subject"), F.lit(None).cast("string").alias("object"), F.explode(flags).alias("f")).select("query_id", "subject", "object", "f.*")
+    return _derived(own).unionByName(_derived(whole))
+
+
+def line_rows(edges: DataFrame, runs: DataFrame, meetings: DataFrame) -> DataFrame:
+    """What trace_line() says as derived rows, query_id being the line: line_run (from subject to object through elements) and line_meets_line (at subject, value being the other line; object is the pipe's other end)."""
+    went = runs.select(F.col("line").alias("query_id"), F.lit("line_run").alias("predicate"), F.col("source").alias("subject"), F.col("target").alias("object"), "line", F.col("run").alias("id"), F.col("components").alias("elements"), "sizes", "ends_at", "links")
+    far = edges.select("id", "source", "target", "size")
+    met = meetings.join(far, "id").select(F.col("line").alias("query_id"), F.lit("line_meets_line").alias("predicate"), F.col("node").alias("subject"), F.when(F.col("source") == F.col("node"), F.col("target")).otherwise(F.col("source")).alias("object"), "line", "id", "size", F.col("other_line").alias("value"))
+    return _derived(went).unionByName(_derived(met))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,10 +11,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.operators import facts as ft
-from millrace.operators import graph
+from millrace.operators import graph, wording
 from millrace.plans.storage import keep
 
-CLAIM = "claim_id string, predicate string, subject string, object string, value string, property string, qualifiers map<string,array<string>>, route array<string>"
+CLAIM = "run_id string, claim_id string, predicate string, subject string, object string, value string, property string, qualifiers map<string,array<string>>, route array<string>"
 WAYS = ("downstream", "upstream", "any", "both")
 
 
@@ -24,7 +23,7 @@ def _evidence(facts: DataFrame) -> DataFrame:
     way = F.get(F.element_at("qualifiers", "direction"), F.lit(0))
     null = F.lit(None).cast("string")
     put = lambda rows, p, a, b=null, way_=null, back=False: rows.select(
-        (F.lit(p) if isinstance(p, str) else p).alias("p"), (F.col(a) if isinstance(a, str) else a).alias("a"), (F.col(b) if isinstance(b, str) else b).alias("b"), F.col("value").alias("v"), F.col("property").alias("name"),
+        "run_id", (F.lit(p) if isinstance(p, str) else p).alias("p"), (F.col(a) if isinstance(a, str) else a).alias("a"), (F.col(b) if isinstance(b, str) else b).alias("b"), F.col("value").alias("v"), F.col("property").alias("name"),
         way_.alias("way"), F.col("qualifiers").alias("have"), F.col("route").alias("on"), F.lit(back).alias("back"), "fact_id",
     )
     of = lambda *p: facts.where(F.col("predicate").isin(*p))
@@ -51,25 +50,25 @@ def _carried(wanted: Column, have: Column) -> Column:
 
 
 def judge(claims: DataFrame, facts: DataFrame) -> DataFrame:
-    """claims: as CLAIM. claim_id, verdict, fact_id (of a fact that supports or contradicts it), reason.
+    """claims: as CLAIM. facts: of any number of runs; a claim is held against those of its own. run_id, claim_id, verdict, fact_id (of a fact that supports or contradicts it), reason.
 
     verdict: supported; contradicted (another value, another way round); unsupported; ambiguous or unknown (of a name); unknown_relation.
     """
     facts = keep(facts.withColumn("fact_id", F.monotonically_increasing_id()), "facts")
     known = keep(ft.aliases(facts), "aliases")
     c = claims.withColumns({"p": F.lower(F.trim("predicate")), "wanted": F.coalesce("qualifiers", F.expr("cast(map() as map<string,array<string>>)"))})
-    listed = c.select(F.explode(F.concat(F.array("subject", "object"), F.coalesce("route", F.expr("cast(array() as array<string>)")))).alias("name"))
+    listed = c.select("run_id", F.explode(F.concat(F.array("subject", "object"), F.coalesce("route", F.expr("cast(array() as array<string>)")))).alias("name"))
     names = keep(ft.resolve_names(listed, known), "names")
-    end = lambda side: names.select(F.col("name").alias(side), F.col("ids").alias(f"{side}_ids"), F.col("how").alias(f"{side}_how"))
-    c = c.join(end("subject"), "subject", "left").join(end("object"), "object", "left")
-    steps = c.where("route is not null").select("claim_id", F.posexplode("route").alias("pos", "name")).join(names, "name", "left")
-    steps = steps.groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.size("ids") == 1, F.get("ids", F.lit(0))).alias("id")))), lambda x: x["id"]).alias("stops"))
-    c = keep(c.join(steps, "claim_id", "left"), "claims")
+    end = lambda side: names.select("run_id", F.col("name").alias(side), F.col("ids").alias(f"{side}_ids"), F.col("how").alias(f"{side}_how"))
+    c = c.join(end("subject"), ["run_id", "subject"], "left").join(end("object"), ["run_id", "object"], "left")
+    steps = c.where("route is not null").select("run_id", "claim_id", F.posexplode("route").alias("pos", "name")).join(names, ["run_id", "name"], "left")
+    steps = steps.groupBy("run_id", "claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.size("ids") == 1, F.get("ids", F.lit(0))).alias("id")))), lambda x: x["id"]).alias("stops"))
+    c = keep(c.join(steps, ["run_id", "claim_id"], "left"), "claims")
 
     evidence = keep(_evidence(facts), "evidence")
     looked = F.col("p").isin("not_found", "ambiguous")
     own = c.where(~looked).select("*", F.explode("subject_ids").alias("s"))
-    hits = own.join(evidence.withColumnRenamed("p", "fp"), (F.col("p") == F.col("fp")) & (F.col("s") == F.col("a")))
+    hits = own.join(evidence.withColumnsRenamed({"a": "s"}), ["run_id", "p", "s"])
     hits = hits.where(F.col("b").isNull() | F.array_contains("object_ids", F.col("b")))
     asked = F.lower(F.get(F.element_at("wanted", "direction"), F.lit(0)))
     named = F.when(F.col("p") == "is_a", text.name_tokens(F.col("v")) == text.name_tokens(F.col("value"))).when(F.col("p") == "identified_as", text.key(F.col("v")) == text.key(F.col("value")))
@@ -82,14 +81,14 @@ def judge(claims: DataFrame, facts: DataFrame) -> DataFrame:
     yes = F.coalesce(named, stated, lacks, plain, F.lit(False))
     # The same property with another value, a link or a pipe the other way: the facts say otherwise.
     other = F.when(F.col("p") == "has_property", text.names_match(F.col("property"), F.col("name"))).when(F.col("p").isin(*ft.STATES), F.lit(False)).otherwise(F.col("back") | ~same_way)
-    told = hits.groupBy("claim_id").agg(F.min(F.when(yes, F.col("fact_id"))).alias("for"), F.min(F.when(~yes & F.coalesce(other, F.lit(False)), F.col("fact_id"))).alias("against"))
+    told = hits.groupBy("run_id", "claim_id").agg(F.min(F.when(yes, F.col("fact_id"))).alias("for"), F.min(F.when(~yes & F.coalesce(other, F.lit(False)), F.col("fact_id"))).alias("against"))
 
     # Lookups are compared by what was asked for; listed candidates must be among those returned.
-    found = evidence.where("p in ('not_found', 'ambiguous')").select(F.col("p"), text.key(F.col("v")).alias("k"), "have", "fact_id")
+    found = evidence.where("p in ('not_found', 'ambiguous')").select("run_id", "p", text.key(F.col("v")).alias("k"), "have", "fact_id")
     want = c.where(looked).withColumn("k", text.key(F.coalesce("value", "subject")))
     candidate = lambda x: F.exists(F.element_at("have", "candidates"), lambda y: text.key(x) == text.key(y))
     fits = F.coalesce(F.forall(F.element_at("wanted", "candidates"), candidate), F.element_at("wanted", "candidates").isNull(), F.lit(True))
-    seen = want.join(found, ["p", "k"]).where(fits).groupBy("claim_id").agg(F.min("fact_id").alias("for"), F.lit(None).cast("bigint").alias("against"))
+    seen = want.join(found, ["run_id", "p", "k"]).where(fits).groupBy("run_id", "claim_id").agg(F.min("fact_id").alias("for"), F.lit(None).cast("bigint").alias("against"))
 
     two = F.col("p").isin("connected_to", "reachable", "path", "no_path", *ft.LINKS.values())
     verdict = (
@@ -107,64 +106,29 @@ def judge(claims: DataFrame, facts: DataFrame) -> DataFrame:
         .when(F.col("verdict") == "contradicted", F.lit("the results say otherwise"))
         .when(F.col("verdict") == "unsupported", F.lit("no result says so"))
     )
-    out = c.join(told.unionByName(seen), "claim_id", "left").withColumn("verdict", verdict)
-    return out.select("claim_id", "verdict", F.when(F.col("verdict") == "supported", F.col("for")).when(F.col("verdict") == "contradicted", F.col("against")).alias("fact_id"), reason.alias("reason"))
-
-
-#: A fenced block of claims, one that is marked as such but can't be read, and a heading above it.
-BLOCK = re.compile(r"```[ \t]*(?:claims|json)?[ \t]*\n(.*?)```", re.DOTALL | re.IGNORECASE)
-MARKED = re.compile(r"```[ \t]*claims[ \t]*\n.*?(?:```|$)", re.DOTALL | re.IGNORECASE)
-HEADING = re.compile(r"(?:\n|^)[#*\s]*(?:structured\s+)?claims[*\s]*:?[*\s]*$", re.IGNORECASE)
-
-
-def _items(body: str) -> list | None:
-    """The claims of a block: a JSON array, an object that holds one, or a claim or array on each line."""
-    def load(s: str):
-        try:
-            return json.loads(s)
-        except ValueError:
-            return None
-
-    whole = load(body)
-    if isinstance(whole, dict):
-        whole = whole.get("claims")
-    if whole is not None or load(body) is not None:
-        return whole if isinstance(whole, list) else None
-    lines = [load(x.strip().rstrip(",")) for x in body.splitlines() if x.strip().rstrip(",")]
-    if any(x is None for x in lines):
-        return None
-    return [y for x in lines for y in (x if isinstance(x, list) else [x])]
-
-
-def split_answer(answer: str | None) -> tuple[str, list | None]:
-    """The prose of an answer, and the claims of its last readable block; None if it has none."""
-    whole = answer or ""
-    for block in reversed(list(BLOCK.finditer(whole))):
-        if (found := _items(block.group(1))) is not None:
-            whole = whole[: block.start()] + whole[block.end() :]
-            return HEADING.sub("", whole.strip()).strip(), found
-    return HEADING.sub("", MARKED.sub("", whole).strip()).strip(), None
+    out = c.join(told.unionByName(seen), ["run_id", "claim_id"], "left").withColumn("verdict", verdict)
+    return out.select("run_id", "claim_id", "verdict", F.when(F.col("verdict") == "supported", F.col("for")).when(F.col("verdict") == "contradicted", F.col("against")).alias("fact_id"), reason.alias("reason"))
 
 
 def read_claims(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """answers: id, text. (id, prose, has_block) and the claims as judge() takes them, claim_id being id/number. What is no claim has no predicate."""
+    """answers: run_id, id, text. (run_id, id, prose, has_block) and the claims as judge() takes them, claim_id being id/number. What is no claim has no predicate."""
     words = lambda x: None if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) if isinstance(x, (dict, list)) else str(x)
     listed = lambda x: [y for y in map(words, x if isinstance(x, list) else [x]) if y is not None]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for own, body in zip(frame["id"], frame["text"], strict=True):
-                prose, found = split_answer(body)
-                rows.append((str(own), prose, found is not None, None, None, None, None, None, None, None, None))
+            for run, own, body in zip(frame["run_id"], frame["id"], frame["text"], strict=True):
+                prose, found = wording.split_answer(body)
+                rows.append((str(own), prose, found is not None, run, None, None, None, None, None, None, None, None))
                 for k, c in enumerate(found or []):
                     c = c if isinstance(c, dict) else {}
                     q = c.get("qualifiers") if isinstance(c.get("qualifiers"), dict) else {}
                     route = listed(q["entities"]) if isinstance(q.get("entities"), list) else None
                     q = {a: listed(b) for a, b in q.items() if a != "entities" and b is not None}
-                    rows.append((str(own), None, None, f"{own}/{k}", *(words(c.get(x)) for x in ("predicate", "subject", "object", "value", "property")), q, route))
-            yield pd.DataFrame(rows, columns=["id", "prose", "has_block", "claim_id", "predicate", "subject", "object", "value", "property", "qualifiers", "route"])
+                    rows.append((str(own), None, None, run, f"{own}/{k}", *(words(c.get(x)) for x in ("predicate", "subject", "object", "value", "property")), q, route))
+            yield pd.DataFrame(rows, columns=["id", "prose", "has_block", "run_id", "claim_id", "predicate", "subject", "object", "value", "property", "qualifiers", "route"])
 
     # Kept: both parts are read from one pass.
-    every = keep(answers.select(F.col("id").cast("string").alias("id"), "text").mapInPandas(run, f"id string, prose string, has_block boolean, {CLAIM}"), "answers")
-    return every.where("claim_id is null").select("id", "prose", "has_block"), every.where("claim_id is not null").drop("id", "prose", "has_block")
+    every = keep(answers.select("run_id", F.col("id").cast("string").alias("id"), "text").mapInPandas(run, f"id string, prose string, has_block boolean, {CLAIM}"), "answers")
+    return every.where("claim_id is null").select("run_id", "id", "prose", "has_block"), every.where("claim_id is not null").drop("id", "prose", "has_block")

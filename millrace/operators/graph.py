@@ -273,6 +273,50 @@ def descendants(children: DataFrame, roots: DataFrame) -> DataFrame:
             return out.drop("above")
 
 
+def reaching(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """edges: scope, from, to, exit, entry (chambers). pairs: scope, a, b. Those of pairs whose b lies downstream of a, under the chamber rule, in the same scope.
+
+    Nothing is searched but what is asked for, and no closure is stored. A state is a node with the chamber it was entered by; states with one way
+    in and one way on, which are no pair's end, are jumped over: each learns the end of its stretch by pointer jumping, a logarithm of its length
+    in rounds. What is left, junctions and ends, is searched level by level from the pairs' first ends: a row for each of these and each junction it reaches.
+    """
+    asked = keep(pairs.select("scope", "a", "b").where("a <> b").distinct(), "asked")
+    step = edges.select("scope", "from", "to", "exit", "entry").distinct()
+    starts = asked.select("scope", F.col("a").alias("from")).distinct()
+    entered = step.select("scope", F.col("to").alias("from"), F.col("entry").alias("chamber")).unionByName(starts.withColumn("chamber", F.lit(None).cast("string"))).distinct()
+    free = F.col("chamber").isNull() | F.col("exit").isNull() | (F.col("chamber") == F.col("exit"))
+    state = lambda node, chamber: F.struct(F.col(node).alias("node"), F.col(chamber).alias("chamber"))
+    links = keep(entered.join(step, ["scope", "from"]).where(free).select("scope", state("from", "chamber").alias("u"), state("to", "entry").alias("v")).where("u <> v").distinct(), "links")
+    ends = asked.select("scope", F.explode(F.array("a", "b")).alias("node")).distinct()
+    into = links.groupBy("scope", F.col("v").alias("x")).agg(F.count(F.lit(1)).alias("n_in"))
+    on = links.groupBy("scope", F.col("u").alias("x")).agg(F.count(F.lit(1)).alias("n_out"), F.min("v").alias("next"))
+    inner = into.join(on, ["scope", "x"]).where("n_in = 1 and n_out = 1").withColumn("node", F.col("x.node")).join(ends, ["scope", "node"], "left_anti")
+    jumps, left = keep(inner.select("scope", "x", "next"), "jumps"), None
+    while True:
+        far = jumps.select("scope", F.col("x").alias("next"), F.col("next").alias("far"))
+        open_ = jumps.join(far, ["scope", "next"], "left_semi").count()
+        if open_ == 0 or open_ == left:  # what is left then lies on closed rings, which nothing enters
+            break
+        left = open_
+        jumps = keep(jumps.join(far, ["scope", "next"], "left").select("scope", "x", F.coalesce("far", "next").alias("next")), "jumps")
+    over = jumps.select("scope", F.col("x").alias("v"), F.col("next").alias("far"))
+    links = links.join(jumps.select("scope", F.col("x").alias("u")), ["scope", "u"], "left_anti").join(over, ["scope", "v"], "left").select("scope", "u", F.coalesce("far", "v").alias("v")).where("u <> v").distinct()
+    links = keep(links, "junctions")
+    none = F.lit(None).cast("string")
+    frontier = asked.select("scope", "a", F.struct(F.col("a").alias("node"), none.alias("chamber")).alias("s")).distinct()
+    seen, level = frontier, 0
+    while True:
+        near = frontier.join(links, (frontier["scope"] == links["scope"]) & F.col("s").eqNullSafe(F.col("u"))).select(frontier["scope"], "a", F.col("v").alias("s")).distinct()
+        known = seen.select(F.col("scope").alias("k"), F.col("a").alias("f"), F.col("s").alias("t"))
+        frontier = keep(near.join(known, (F.col("scope") == F.col("k")) & (F.col("a") == F.col("f")) & F.col("s").eqNullSafe(F.col("t")), "left_anti"), "reach")
+        if frontier.isEmpty():
+            break
+        seen, level = seen.unionByName(frontier), level + 1
+        if level % 16 == 0:
+            seen = keep(seen, "seen")
+    return asked.join(seen.select("scope", "a", F.col("s.node").alias("b")).distinct(), ["scope", "a", "b"], "left_semi")
+
+
 def transitive_pairs(edges: DataFrame) -> DataFrame:
     """All ordered pairs (a, b) with b downstream of a, under the chamber rule, however far apart."""
     step = moves(edges, "downstream").select("from", "to", "exit", "entry").distinct()

@@ -1,4 +1,4 @@
-"""Evidence, facts and the checks that answers pass against them."""
+"""Checks of texts against a corpus, references of rows, absences, caps."""
 
 from __future__ import annotations
 
@@ -13,33 +13,12 @@ SHOWN_ROWS, SHOWN_FACTS = 40, 12
 
 
 def number_rows(rows: DataFrame) -> DataFrame:
-    """rows: step, section, ord. Adds ref, E<step>.<n>, over the fixed order of sections."""
+    """rows: (run_id,) step, section, ord. Adds ref, E<step>.<n>, over the fixed order of sections, for each run apart."""
     rank = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section"))
-    n = F.row_number().over(Window.partitionBy("step").orderBy(rank, "ord"))
+    n = F.row_number().over(Window.partitionBy(*(c for c in ("run_id", "step") if c in rows.columns)).orderBy(rank, "ord"))
     return rows.withColumn("ref", F.concat(F.lit("E"), F.col("step").cast("string"), F.lit("."), n.cast("string")))
 
 
-def entity_facts(entities: DataFrame) -> DataFrame:
-    """predicate, subject, object, value: what a row about an entity states."""
-    none = F.lit(None).cast("string")
-    kind = entities.select(F.lit("has_type").alias("predicate"), F.col("id").alias("subject"), none.alias("object"), F.col("type").alias("value"))
-    tag = entities.where("tag is not null").select(F.lit("has_tag").alias("predicate"), F.col("id").alias("subject"), none.alias("object"), F.col("tag").alias("value"))
-    return kind.unionByName(tag)
-
-
-def connection_facts(edges: DataFrame) -> DataFrame:
-    none = F.lit(None).cast("string")
-    p = F.when(F.col("relationship") == "piping", "connected_to").otherwise("instrument_link")
-    whole = edges.where("source is not null and target is not null").select(p.alias("predicate"), F.col("source").alias("subject"), F.col("target").alias("object"), none.alias("value"))
-    opened = edges.where("(source is null) <> (target is null)").select(F.lit("open_end").alias("predicate"), F.coalesce("source", "target").alias("subject"), none.alias("object"), F.when(F.col("target").isNull(), "outgoing").otherwise("incoming").alias("value"))
-    return whole.unionByName(opened)
-
-
-def reach_facts(reached: DataFrame, semantics: str) -> DataFrame:
-    p = "flow_path" if semantics == "drawn_flow" else "topological_path"
-    return reached.select(F.lit(p).alias("predicate"), F.col("query_id").alias("subject"), F.col("node").alias("object"), F.col("distance").cast("string").alias("value"))
-
-
 def absence_facts(flags: DataFrame, reached: DataFrame, limited: bool) -> DataFrame:
     """Nothing reached is a fact only if the search was complete: no depth cut, no stop, no unknown type."""
     none = flags.join(reached.select("query_id").distinct(), "query_id", "left_anti")
@@ -75,21 +54,6 @@ def evidence_rows(rows: DataFrame, most: int = SHOWN_ROWS) -> DataFrame:
     return shown.withColumn("n", F.row_number().over(Window.orderBy("ord"))).withColumns({"total": F.lit(total), "left_out": F.lit(max(0, total - most))})
 
 
-def coverage(requested: DataFrame, answered: DataFrame, produces: DataFrame) -> DataFrame:
-    """requested: output_id, kind. answered: output_id, ref, operation. produces: kind, operation. output_id, status: covered, wrong_operation or missing."""
-    hits = requested.join(answered, "output_id", "left").join(produces.withColumn("right", F.lit(True)), ["kind", "operation"], "left")
-    out = hits.groupBy("output_id").agg(F.bool_or(F.coalesce("right", F.lit(False))).alias("yes"), F.bool_or(F.col("ref").isNotNull()).alias("some"))
-    return out.select("output_id", F.when(F.col("yes"), "covered").when(F.col("some"), "wrong_operation").otherwise("missing").alias("status"))
-
-
-#: Words by which an answer claims to know a plant's present state, which a drawing never holds.
-LIVE_STATE = r"(?i)\b(currently|right now|at the moment|is (open|closed|running|stopped) now)\b"
-
-
-def live_state(c: Column) -> Column:
-    return c.rlike(LIVE_STATE)
-
-
 def leaks(answers: DataFrame, prompt: str, width: int = 80) -> DataFrame:
     """answers: id, text. Ids whose text repeats `width` characters of the prompt: windows of both are joined, not compared one with all."""
     plain = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
@@ -97,20 +61,3 @@ def leaks(answers: DataFrame, prompt: str, width: int = 80) -> DataFrame:
     own = answers.select("id", plain(F.col("text")).alias("t")).where(F.length("t") >= width).select("id", F.explode(windows(F.col("t"))).alias("h"))
     secret = answers.sparkSession.createDataFrame([(" ".join(prompt.lower().split()),)], "t string").where(F.length("t") >= width).select(F.explode(windows(F.col("t"))).alias("h"))
     return own.join(F.broadcast(secret.distinct()), "h", "left_semi").select("id").distinct()
-
-
-def render(rows: DataFrame) -> DataFrame:
-    """Facts as sentences: predicate, subject, object, value -> statement."""
-    p, s, o, v = (F.col(c) for c in ("predicate", "subject", "object", "value"))
-    sentence = (
-        F.when(p == "has_type", F.format_string("%s is a %s", s, v))
-        .when(p == "has_tag", F.format_string("%s is tagged %s", s, v))
-        .when(p == "connected_to", F.format_string("drawn flow runs from %s to %s", s, o))
-        .when(p == "instrument_link", F.format_string("%s and %s are linked by instrumentation", s, o))
-        .when(p == "open_end", F.format_string("a pipe at %s has an open end (%s)", s, v))
-        .when(p == "flow_path", F.format_string("%s lies downstream of %s, %s pipes on", o, s, v))
-        .when(p == "topological_path", F.format_string("%s and %s are joined by %s pipes, whatever the flow", s, o, v))
-        .when(p == "reaches_nothing", F.format_string("nothing is drawn beyond %s", s))
-        .otherwise(F.concat_ws(" ", p, s, o, v))
-    )
-    return rows.withColumn("statement", sentence)

@@ -12,7 +12,7 @@ PARTIAL = 4
 
 
 def report(properties: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: entity_id, name. One row per property found, or one with status missing: entity_id, name, status, property, value, scope.
+    """wanted: entity_id, name. One row per property found, or one with status missing: entity_id, name, status, property, value, scope, and source_object_id (what the property is of, the entity itself where properties don't say).
 
     A normalized name that is equal beats names that contain the wanted one or all of its words.
     """
@@ -23,9 +23,10 @@ def report(properties: DataFrame, wanted: DataFrame) -> DataFrame:
     hits = want.join(own, "entity_id").withColumn("rank", rank).where("rank is not null")
     least = Window.partitionBy("entity_id", "name")
     hits = hits.withColumn("least", F.min("rank").over(least)).where("rank = least")
-    found = hits.select("entity_id", "name", F.lit("found").alias("status"), "property", "value", "scope")
+    source = F.coalesce("source_object_id", "entity_id") if "source_object_id" in properties.columns else F.col("entity_id")
+    found = hits.select("entity_id", "name", F.lit("found").alias("status"), "property", "value", "scope", source.alias("source_object_id"))
     null = F.lit(None).cast("string")
-    missing = want.join(hits.select("entity_id", "name").distinct(), ["entity_id", "name"], "left_anti").select("entity_id", "name", F.lit("missing").alias("status"), null.alias("property"), null.alias("value"), null.alias("scope"))
+    missing = want.join(hits.select("entity_id", "name").distinct(), ["entity_id", "name"], "left_anti").select("entity_id", "name", F.lit("missing").alias("status"), null.alias("property"), null.alias("value"), null.alias("scope"), F.col("entity_id").alias("source_object_id"))
     return found.unionByName(missing)
 
 

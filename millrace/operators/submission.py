@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.graph import route_semantics  # noqa: F401
+from millrace.functions import text
 
 #: Kind of output -> operation -> semantics of routes that its result must have (null: any). Kinds that aren't here, any operation answers.
 PRODUCERS: dict[str, dict[str, str | None]] = {
@@ -54,39 +54,45 @@ def establishes(operation: Column, semantics: Column) -> Column:
 
 
 def core_rows(rows: DataFrame) -> DataFrame:
-    """rows: ref, step, operation, section, predicate. The core rows of every composite analysis: step, ref."""
+    """rows: run_id, ref, step, operation, section, predicate. The core rows of every composite analysis: run_id, step, ref."""
     core = F.lit(False)
     for operation, (sections, predicates) in CORE_ROWS.items():
-        core = core | ((F.col("operation") == operation) & (F.col("section").isin(*sections) | ((F.col("section") == "derived") & F.col("predicate").isin(*predicates)))) if sections and predicates else core | ((F.col("operation") == operation) & (F.col("section").isin(*sections) if sections else (F.col("section") == "derived") & F.col("predicate").isin(*predicates)))
-    return rows.where(F.coalesce(core, F.lit(False))).select("step", "ref")
+        named = (F.col("section") == "derived") & F.col("predicate").isin(*predicates) if predicates else F.lit(False)
+        core = core | ((F.col("operation") == operation) & (F.col("section").isin(*sections) | named if sections else named))
+    return rows.where(F.coalesce(core, F.lit(False))).select("run_id", "step", "ref")
 
 
 def submit(cited: DataFrame, rows: DataFrame, requested: DataFrame, unknowns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """cited: ref, output_id (null: the only output). rows: ref, step, operation, semantics, section, predicate, text. requested: output_id, kind. unknowns: output_id, category.
+    """cited: run_id, ref, output_id (null: the run's only output). rows: run_id, ref, step, operation, semantics, section, predicate, text, as evidence.py gives them. requested: run_id, output_id,
+    kind. unknowns: run_id, output_id, category.
 
-    The answer's rows (output_id, ref, kind: direct or derived, text, added) and a verdict on each output and stray reference (output_id, ref, status):
+    The answers' rows (run_id, output_id, ref, kind: direct or derived, text, added) and a verdict on each output and stray reference (run_id, output_id, ref, status):
     covered, unknown, wrong_operation, missing, unknown_reference, unknown_output. R<n> cites all main rows of a step. Whether a row is direct or derived is
     its section's matter; citing one row of a composite analysis adds its core rows.
     """
-    outputs = requested.select("output_id", F.col("kind").alias("asked"))
-    only = outputs.agg(F.when(F.count(F.lit(1)) == 1, F.first("output_id")).alias("only")).first()["only"]
-    own = cited.select(F.trim("ref").alias("ref"), F.coalesce("output_id", F.lit(only)).alias("output_id")).distinct()
-    main = rows.withColumn("whole", F.concat(F.lit("R"), F.col("step").cast("string")))
-    hit = own.join(main, own["ref"] == main["ref"]).select(own["output_id"], main["ref"], "step")
-    hit = hit.unionByName(own.join(main, own["ref"] == main["whole"]).select(own["output_id"], main["ref"], "step")).distinct()
-    lost = own.join(rows.select("ref").unionByName(main.select(F.col("whole").alias("ref"))).distinct(), "ref", "left_anti").select("output_id", "ref", F.lit("unknown_reference").alias("status"))
-    more = hit.select("output_id", "step").distinct().join(core_rows(rows), "step").select("output_id", "ref").join(hit, ["output_id", "ref"], "left_anti")
-    taken = hit.select("output_id", "ref", F.lit(False).alias("added")).unionByName(more.select("output_id", "ref", F.lit(True).alias("added"))).join(rows, "ref")
+    outputs = requested.select("run_id", "output_id", F.col("kind").alias("asked"))
+    only = outputs.groupBy("run_id").agg(F.when(F.count(F.lit(1)) == 1, F.first("output_id")).alias("only"))
+    with_only = lambda df: df.join(only, "run_id", "left").withColumn("output_id", F.coalesce("output_id", "only")).drop("only")
+    own = with_only(cited.select("run_id", F.trim("ref").alias("ref"), "output_id")).distinct()
+    whole = F.concat(F.lit("R"), F.col("step").cast("string"))
+    main = rows.where("main") if "main" in rows.columns else rows
+    names = rows.select("run_id", "ref", F.col("ref").alias("row"), "step").unionByName(main.select("run_id", whole.alias("ref"), F.col("ref").alias("row"), "step")).distinct()
+    hit = own.join(names, ["run_id", "ref"]).select("run_id", "output_id", F.col("row").alias("ref"), "step").distinct()
+    every = names.select("run_id", "ref").unionByName(rows.select("run_id", whole.alias("ref"))).distinct()
+    lost = own.join(every, ["run_id", "ref"], "left_anti").select("run_id", "output_id", "ref", F.lit("unknown_reference").alias("status"))
+    more = hit.select("run_id", "output_id", "step").distinct().join(core_rows(rows), ["run_id", "step"]).select("run_id", "output_id", "ref").distinct().join(hit, ["run_id", "output_id", "ref"], "left_anti")
+    taken = hit.select("run_id", "output_id", "ref", F.lit(False).alias("added")).unionByName(more.withColumn("added", F.lit(True))).join(rows, ["run_id", "ref"])
     derived = F.col("section").isin("paths", "boundaries", "derived") | ((F.col("section") == "entities") & F.col("operation").isin("traverse"))
-    answer = taken.select("output_id", "ref", F.when(derived, "derived").otherwise("direct").alias("kind"), "text", "added")
+    answer = taken.select("run_id", "output_id", "ref", F.when(derived, "derived").otherwise("direct").alias("kind"), "text", "added")
 
-    said = taken.join(outputs, "output_id").withColumn("fits", answers(F.col("asked"), F.col("operation"), F.col("semantics")))
-    by = said.groupBy("output_id").agg(F.bool_or("fits").alias("fits"), F.count(F.lit(1)).alias("rows"))
-    named = unknowns.select(F.coalesce("output_id", F.lit(only)).alias("output_id")).distinct().withColumn("unknown", F.lit(True))
-    judged = outputs.join(by, "output_id", "left").join(named, "output_id", "left")
+    said = taken.join(outputs, ["run_id", "output_id"]).withColumn("fits", answers(F.col("asked"), F.col("operation"), F.col("semantics")))
+    by = said.groupBy("run_id", "output_id").agg(F.bool_or("fits").alias("fits"), F.count(F.lit(1)).alias("rows"))
+    given_up = with_only(unknowns.select("run_id", "output_id")).distinct()
+    judged = outputs.join(by, ["run_id", "output_id"], "left").join(given_up.withColumn("unknown", F.lit(True)), ["run_id", "output_id"], "left")
     status = F.when(F.coalesce("fits", F.lit(False)), "covered").when(F.coalesce("unknown", F.lit(False)), "unknown").when(F.coalesce("rows", F.lit(0)) > 0, "wrong_operation").otherwise("missing")
-    stray = own.select("output_id").unionByName(unknowns.select(F.coalesce("output_id", F.lit(only)).alias("output_id"))).where("output_id is not null").distinct().join(outputs, "output_id", "left_anti")
-    verdict = judged.select("output_id", F.lit(None).cast("string").alias("ref"), status.alias("status")).unionByName(lost).unionByName(stray.select("output_id", F.lit(None).cast("string").alias("ref"), F.lit("unknown_output").alias("status")))
+    null = F.lit(None).cast("string")
+    stray = own.select("run_id", "output_id").unionByName(given_up).where("output_id is not null").distinct().join(outputs, ["run_id", "output_id"], "left_anti")
+    verdict = judged.select("run_id", "output_id", null.alias("ref"), status.alias("status")).unionByName(lost).unionByName(stray.select("run_id", "output_id", null.alias("ref"), F.lit("unknown_output").alias("status")))
     return answer, verdict
 
 
@@ -188,16 +194,34 @@ def anchors_missing(anchors: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def facts_of_rows(facts: DataFrame) -> DataFrame:
-    """facts with ref. ref, said: the canonical facts of each row, sorted."""
-    from millrace.functions import text
-
+    """facts with run_id and ref. run_id, ref, said: the canonical facts of each row, sorted."""
     q = F.transform_values(F.coalesce("qualifiers", F.expr("cast(map() as map<string,array<string>>)")), lambda k, v: F.array_join(v, "|"))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     said = text.fact_key(F.col("predicate"), F.col("subject"), blank("object"), blank("value"), q)
-    return facts.where("ref is not null").groupBy("ref").agg(F.sort_array(F.collect_set(said)).alias("said"))
+    return facts.where("ref is not null").groupBy("run_id", "ref").agg(F.sort_array(F.collect_set(said)).alias("said"))
+
+
+#: Columns of a result's sections that a reader needs: operation -> section -> columns.
+COMPACT: dict[str, dict[str, tuple[str, ...]]] = {
+    "find_entities": {"entities": ("id", "name", "type", "tag", "tier", "confidence", "ambiguous")},
+    "list_entities": {"entities": ("id", "name", "type", "tag"), "attributes": ("entity_id", "property", "value", "scope"), "types": ("type", "n"), "categories": ("category", "n")},
+    "get_entity": {"entities": ("id", "name", "type", "tag", "category", "properties", "piping_context"), "sub_objects": ("id", "type")},
+    "get_connections": {"entities": ("id", "name", "type"), "connections": ("id", "side", "other", "other_name", "other_type", "other_category", "relationship", "connection_type")},
+    "traverse": {"entities": ("id", "name", "type", "distance", "via", "terminal", "through_equipment"), "boundaries": ("node", "entered", "blocked"), "endpoints": ("id", "name", "kind"), "frontier": ("node",), "open_ends": ("node", "id")},
+    "find_path": {"paths": ("nth", "length", "nodes", "shut_off_valves", "check_valves", "relief_devices", "equipment", "pipes_against_flow", "one_way_devices_against_flow", "more")},
+    "get_properties": {"properties": ("entity_id", "name", "status", "property", "value", "scope"), "errors": ("asked", "error")},
+    "isolation_boundary": {"derived": ("predicate", "object", "value", "side", "line", "size"), "summary": ("region_size", "valves", "checks", "unisolated", "relieving")},
+    "trace_instrumentation": {"derived": ("predicate", "subject", "object", "elements", "fail_action"), "members": ("node",)},
+    "trace_line": {"derived": ("predicate", "subject", "object", "value", "elements", "sizes", "ends_at")},
+}
 
 
-def compact(rows: DataFrame, tool: str) -> DataFrame:
-    """The columns of a result's rows that a reader needs; rows of a search with the node before instead of the whole path."""
-    keep = {"traverse": ["id", "name", "type", "distance", "via", "terminal", "through_equipment"], "find_entities": ["id", "name", "type", "tier", "confidence"], "list_entities": ["id", "name", "type"], "get_connections": ["id", "side", "other", "other_name", "relationship", "connection_type"], "find_path": ["nth", "length", "shut_off_valves", "check_valves", "relief_devices", "equipment"]}.get(tool)
-    return rows.select(*(c for c in keep if c in rows.columns)) if keep else rows
+def compact(sections: dict[str, DataFrame], tool: str) -> dict[str, DataFrame]:
+    """A result's sections with the columns that a reader needs; routes as their nodes instead of their steps, and no sections that only further calls need."""
+    out = {}
+    for section, columns in COMPACT[tool].items():
+        if (rows := sections.get(section)) is not None:
+            if "nodes" in columns and "path" in rows.columns:
+                rows = rows.withColumn("nodes", F.concat(F.array(F.get("path", F.lit(0))["from"]), F.transform("path", lambda s: s["to"])))
+            out[section] = rows.select(*(c for c in columns if c in rows.columns))
+    return out

@@ -333,7 +333,7 @@ def trace_line(spark, sf_dir):
 
 @query(f"""WITH {_PIPES}, o AS (SELECT DISTINCT node, line FROM ends) SELECT o.node, count(*) AS meetings, min(CAST(e.line AS VARCHAR)) AS first_line, max(CAST(e.line AS VARCHAR)) AS last_line FROM o JOIN ends e ON e.node = o.node AND e.line <> o.line GROUP BY 1""")
 def line_meets_line(spark, sf_dir):
-    _, meets = analysis.trace_line(*_pipes(spark, sf_dir))
+    meets = analysis.line_meetings(_pipes(spark, sf_dir)[0])
     return meets.groupBy("node").agg(F.count(F.lit(1)).alias("meetings"), F.min("other_line").alias("first_line"), F.max("other_line").alias("last_line"))
 
 
@@ -534,7 +534,7 @@ def validate_claims(spark, sf_dir):
     pairs = pair(t, "source", "target", "").unionByName(pair(t, "target", "source", "r")).unionByName(pair(other, "s", "o", "n")).distinct()
     named = pairs.join(n.select(F.col("id").alias("s"), F.lower("tag").alias("subject")), "s").join(n.select(F.col("id").alias("o"), F.concat(F.lit("equipment "), "tag").alias("object")), "o")
     null = F.lit(None).cast("string")
-    claims_ = named.select("claim_id", F.lit("connected_to").alias("predicate"), "subject", "object", null.alias("value"), null.alias("property"), F.create_map(F.lit("direction"), F.array(F.lit("downstream"))).alias("qualifiers"), F.lit(None).cast("array<string>").alias("route"))
+    claims_ = named.select(F.lit("").alias("run_id"), "claim_id", F.lit("connected_to").alias("predicate"), "subject", "object", null.alias("value"), null.alias("property"), F.create_map(F.lit("direction"), F.array(F.lit("downstream"))).alias("qualifiers"), F.lit(None).cast("array<string>").alias("route"))
     have = facts.of_entities(plant.entities, plant.identifiers.select("entity_id", "field", "value")).unionByName(facts.of_connections(t))
     return claims.judge(claims_, have).select("claim_id", "verdict")
 
@@ -652,7 +652,9 @@ def answer_coverage(spark, sf_dir):
     rows = c.select(F.concat(F.lit("E"), F.col("k").cast("string"), F.lit(".1")).alias("ref"), F.col("k").cast("int").alias("step"), tool.alias("operation"), F.when(tool == "traverse", "drawn_flow").alias("semantics"), F.lit("entities").alias("section"), F.lit(None).cast("string").alias("predicate"), F.lit("x").alias("text"))
     cited = c.where("k % 3 <> 0 and k % 5 <> 0").select(F.concat(F.lit("E"), F.col("k").cast("string"), F.lit(".1")).alias("ref"), out.alias("output_id"))
     unknown = c.where("k % 5 = 0").select(out.alias("output_id"), F.lit("other").alias("category"))
-    return submission.submit(cited, rows, asked, unknown)[1].where("ref is null").drop("ref")
+    run = F.lit("r")
+    cited, rows, asked, unknown = (df.withColumn("run_id", run) for df in (cited, rows, asked, unknown))
+    return submission.submit(cited, rows, asked, unknown)[1].where("ref is null").drop("ref", "run_id")
 
 
 @query(r"""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN lower(p_type) || 's' ELSE lower(p_type) END = lower(p_type) AS plain, regexp_replace(lower(p_name), '[^a-z0-9.]+', '-', 'g') AS slug,

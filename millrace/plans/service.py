@@ -141,6 +141,10 @@ class Service:
     def _roles(self) -> DataFrame:
         return self.entities.select(F.col("id").alias("node"), analysis.piping_role(F.col("type_hierarchy"), F.col("category")).alias("role"))
 
+    def _sized(self) -> DataFrame:
+        bag = F.col("properties")
+        return self.edges.withColumns({"line": bag["lineNumber"], "size": bag["nominalDiameterRepresentation"]})
+
     def _summary(self, rows: DataFrame, *more: str) -> DataFrame:
         counts = graph.link_counts(self.edges)
         own = self.entities.select("id", "type", "category", "tag", "name", "ord")
@@ -150,10 +154,10 @@ class Service:
         q = self._frame([query.strip()], "query")
         found = resolve.resolve_all(q, self.known)
         kinds = self._of_types(result, [entity_type] if entity_type else None)
-        matches = found.limit(1000).collect()
-        by_name = bool(matches) and matches[0].tier != "type"
-        if matches:
-            result.warnings += matches[0].warnings
+        match = found.first()
+        by_name = match is not None and match.tier != "type"
+        if match is not None:
+            result.warnings += match.warnings
         if kinds is not None:
             fits = found.join(kinds.withColumnRenamed("node", "entity_id"), "entity_id", "left_semi")
             if not query.strip():
@@ -303,7 +307,8 @@ class Service:
     def isolation_boundary(self, result: Result, entity_id: str) -> None:
         own = self._entity(result, entity_id, True)
         out = analysis.isolation_boundary(self.edges, self._roles(), self._start(own.id))
-        result.sections |= {"region": out.region, "derived": out.rows, "summary": out.summary}
+        result.sections |= {"region": out.region, "derived": analysis.isolation_rows(self._sized(), out), "summary": out.summary}
+        result.sections["entities"] = self.entities.where(F.col("id") == own.id).select("id", "type", "category", "tag", "name")
         if out.summary.isEmpty():
             result.status, result.message = "empty", f"{own.id} has no piping connections"
 
@@ -319,8 +324,7 @@ class Service:
             result.status, result.message = "empty", f"{own.id} has no instrumentation links"
 
     def trace_line(self, result: Result, line: str) -> None:
-        bag = F.col("properties")
-        edges = self.edges.withColumns({"line": bag["lineNumber"], "size": bag["nominalDiameterRepresentation"]})
+        edges = self._sized()
         words = self._frame([line, *line.split()], "word").select(text.normalize_identifier(F.col("word")).alias("norm"))
         known = edges.where("line is not null").select("line", text.normalize_identifier(F.col("line")).alias("norm")).distinct()
         hit = known.join(words, "norm", "left_semi").first()
@@ -331,5 +335,8 @@ class Service:
             hit = known.where(F.col("line") == on.line).first() if on is not None and on.line else None
         if hit is None:
             raise Stop("not_found", f"no line {line!r}", lines=known.select("line").orderBy("line"))
+        result.meta["line"] = hit.line
+        on = F.col("line") == hit.line
         runs, meets = analysis.trace_line(edges, self._roles())
-        result.sections |= {"runs": runs.where(F.col("line") == hit.line), "meetings": meets.where(F.col("line") == hit.line)}
+        runs, meets = keep(runs.where(on), "runs"), keep(meets.where(on), "meetings")
+        result.sections |= {"runs": runs, "meetings": meets, "derived": analysis.line_rows(edges, runs, meets), "connections": self.edges.where(F.col("properties")["lineNumber"] == hit.line).orderBy("ord")}

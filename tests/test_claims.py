@@ -2,9 +2,9 @@
 
 import pytest
 
+from millrace.operators import answers as an
 from millrace.operators import claims as cl
 from millrace.operators import facts as ft
-from millrace.operators import prose
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +44,7 @@ CLAIMS = [
 
 def test_claims_of_every_kind(spark, facts):
     names = ("subject", "object", "value", "property", "qualifiers", "route")
-    rows = [(str(k), p, *(c.get(n) for n in names)) for k, (p, c, _) in enumerate(CLAIMS)]
+    rows = [("", str(k), p, *(c.get(n) for n in names)) for k, (p, c, _) in enumerate(CLAIMS)]
     got = {int(r.claim_id): r for r in cl.judge(spark.createDataFrame(rows, cl.CLAIM), facts).collect()}
     assert {k: got[k].verdict for k in got} == {k: v for k, (_, _, v) in enumerate(CLAIMS)}
     assert all((got[k].fact_id is not None) == (v in ("supported", "contradicted")) for k, (_, _, v) in enumerate(CLAIMS))
@@ -55,26 +55,20 @@ def test_claim_blocks(spark):
         ("a", 'P1 feeds V1.\n\n## Claims:\n```claims\n[{"predicate": "is_a", "subject": "P1", "value": "Pump"}, {"predicate": "path", "subject": "P1", "object": "T1", "qualifiers": {"entities": ["P1", "T1"], "length": 2}}]\n```'),
         ("b", 'x\n```json\n{"predicate": "is_a"},\n[{"predicate": "terminal", "subject": "T1"}]\n```\n'), ("c", "no block"), ("d", "text\n```claims\n{broken\n```"), ("e", None), ("f", '```json\n{"claims": ["odd"]}\n```'),
     ]
-    prose_, found = cl.read_claims(spark.createDataFrame(texts, "id string, text string"))
+    prose_, found = cl.read_claims(spark.createDataFrame([("r", *t) for t in texts], "run_id string, id string, text string"))
     assert {r.id: (r.prose, r.has_block) for r in prose_.collect()} == {"a": ("P1 feeds V1.", True), "b": ("x", True), "c": ("no block", False), "d": ("text", False), "e": ("", False), "f": ("", True)}
     got = {r.claim_id: r for r in found.collect()}
     assert set(got) == {"a/0", "a/1", "b/0", "b/1", "f/0"}
     assert got["a/1"].route == ["P1", "T1"] and got["a/1"].qualifiers == {"length": ["2"]} and got["f/0"].predicate is None
 
 
-def test_sentences():
-    assert prose.sentences_of("P1 feeds V1. [E1.1] V1 is shut.\nThe valves are:\n- V1 [E2.1]\n- V2\n[E3.1]") == ["P1 feeds V1 [E1.1].", "V1 is shut.", "The valves are: [E2.1]", "- V1 [E2.1]", "- V2 [E3.1]"]
-    assert prose.terms_of("Pump P-100 on DN 80 has 6.0 bar, 2nd of GlobeValve 4712") == [("P-100", "identifier", 5), ("DN 80", "nominal_diameter", 14), ("6.0 bar", "value_with_unit", 24), ("GlobeValve", "type_name", 40), ("4712", "number", 51)]
-    assert prose.asserted("P1 feeds V1, not T1; you said T2 but V2").count("~") == len(" not T1".lstrip()) + len("; you said T2")
-
-
 def test_answers_in_prose(spark, facts):
     answers = [
         ("ok", "P-100 feeds V1 [E2.1]. P-100 has a design pressure of 6.0 bar [E1.1]."), ("back", "T1 feeds P-100 [E2.1]."), ("value", "P-100 has 20 m3 [E1.1]."), ("strange", "P-100 feeds X99 [E2.1]."),
         ("side", "T1 is downstream of P-100 [E3.1]."), ("side_back", "P-100 is downstream of T1 [E3.1]."), ("link", "A1 operates V1 [E2.1]."), ("link_by", "V1 is operated by A1 [E2.1]."), ("link_back", "V1 operates A1 [E2.1]."),
         ("denied", "P-100 feeds V1, not T1 [E2.1]."), ("uncited", "P-100 feeds V1 [E1.1]."), ("bare", "P-100 feeds V1."), ("none", "It is the main pump."), ("bad", "P-100 feeds V1 [E9.9]."), ("apart", "P-100 is connected to V2 [E2.1]."), ("empty", None),
     ]
-    got = prose.check(spark.createDataFrame(answers, "id string, text string"), facts)
+    got = an.check(spark.createDataFrame([("", *a) for a in answers], "run_id string, id string, text string"), facts)
     level = {r.id: r.level for r in got.answers.collect()}
     assert {k for k, v in level.items() if v == "grounded"} == {"ok", "side", "link", "link_by", "denied"}, level
     assert {k for k, v in level.items() if v == "limited"} == {"uncited", "bare"}, level

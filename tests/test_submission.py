@@ -6,16 +6,22 @@ from millrace.operators import submission as sb
 def test_submission(spark):
     rows = [("E1.1", 1, "isolation_boundary", None, "derived", "isolation_boundary_valve", "V1"), ("E1.2", 1, "isolation_boundary", None, "derived", "closed_end_in_region", "T"), ("E1.3", 1, "isolation_boundary", None, "derived", "fully_valve_bounded", "yes"),
             ("E2.1", 2, "find_path", "topological", "paths", None, "a to b"), ("E3.1", 3, "get_entity", None, "entities", None, "P1")]
+    run = lambda df, name="r": df.withColumn("run_id", sb.F.lit(name))
     rows = spark.createDataFrame(rows, "ref string, step int, operation string, semantics string, section string, predicate string, text string")
     cited = spark.createDataFrame([("E1.1", "q1"), ("E2.1", "q2"), ("E2.1", "q3"), ("E9.1", "q1"), ("R3", "q5"), ("E3.1", "q9")], "ref string, output_id string")
     asked = spark.createDataFrame([("q1", "boundary"), ("q2", "flow_reachability"), ("q3", "connectivity"), ("q4", "procedure_or_behaviour"), ("q5", "property"), ("q6", "count")], "output_id string, kind string")
     unknown = spark.createDataFrame([("q4", "operating_procedure")], "output_id string, category string")
-    answer, verdict = sb.submit(cited, rows, asked, unknown)
+    # A second run has the same references with other rows; neither knows of the other.
+    both = lambda df: run(df).unionByName(run(df, "s")) if df is not rows else run(df).unionByName(run(df.withColumn("operation", sb.F.lit("get_entity")), "s"))
+    answer, verdict = sb.submit(both(cited), both(rows), both(asked), both(unknown))
+    other = {(r.output_id, r.ref, r.status) for r in verdict.where("run_id = 's'").collect()}
+    assert ("q1", None, "wrong_operation") in other and ("q3", None, "wrong_operation") in other and {r.ref for r in answer.where("run_id = 's' and output_id = 'q1'").collect()} == {"E1.1"}
+    answer, verdict = answer.where("run_id = 'r'"), verdict.where("run_id = 'r'")
     got = {(r.output_id, r.ref, r.status) for r in verdict.collect()}
     assert got == {("q1", None, "covered"), ("q2", None, "wrong_operation"), ("q3", None, "covered"), ("q4", None, "unknown"), ("q5", None, "covered"), ("q6", None, "missing"), ("q1", "E9.1", "unknown_reference"), ("q9", None, "unknown_output")}
     assert {(r.ref, r.kind, r.added) for r in answer.where("output_id = 'q1'").collect()} == {("E1.1", "derived", False), ("E1.3", "derived", True)}
     assert {(r.ref, r.kind) for r in answer.where("output_id = 'q5'").collect()} == {("E3.1", "direct")}
-    single = sb.submit(spark.createDataFrame([("E3.1", None)], "ref string, output_id string"), rows, asked.where("output_id = 'q5'"), unknown.where("1 = 0"))[1]
+    single = sb.submit(run(spark.createDataFrame([("E3.1", None)], "ref string, output_id string")), run(rows), run(asked.where("output_id = 'q5'")), run(unknown.where("1 = 0")))[1]
     assert [(r.output_id, r.status) for r in single.collect()] == [("q5", "covered")]
     caps = {(r.kind, r.operation): r.semantics for r in sb.capabilities(spark).collect()}
     assert caps["flow_reachability", "traverse"] == "drawn_flow" and caps["connectivity", "find_path"] is None
