@@ -3,7 +3,7 @@
 Training counts the n-grams of every labelled document, language by language; each task counts what it scans before
 anything is shuffled, and only sums per (language, n-gram) are. A language contains an n-gram that makes up MIN_SHARE or more of
 that language's n-grams, which holds at every size of the corpus and keeps passages in other languages out; there are at most
-1 / MIN_SHARE of those to a language. Beyond GRAMS * MIN_SHARE languages the share rises in proportion, so the model is bounded.
+1 / MIN_SHARE of those to a language, whatever the number of languages; the filters of WORD languages at a time are filled on the driver, and MOST_LANGUAGES are the most.
 
 The filters of all languages lie over each other: a cell of the table is a bitmask with one bit per language, so the AND of
 an n-gram's few cells is the set of all languages that contain it. A document's hits are counted for each language,
@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,8 +35,8 @@ from millrace.llm.common import bounded_batches, forget, keep, scan, texts
 
 SIZES = (2, 3, 4)
 MIN_SHARE = 2e-5
-#: Most n-grams of all languages together.
-GRAMS = 4_000_000
+#: Languages to a word of a cell; the most that are learned (of cells of 64 KB to a language, 256 MB).
+WORD, MOST_LANGUAGES = 64, 4096
 HASHES = 3
 #: Least cover of a document that reject_unknown() keeps.
 MIN_COVER = 0.4
@@ -84,22 +85,26 @@ class Filters:
     @classmethod
     def of(cls, sets: dict[str, np.ndarray], mass: dict[str, float] | None = None) -> Filters:
         """sets: the n-gram hashes of each language, the most frequent language first."""
-        most = max((len(s) for s in sets.values()), default=0)
+        return cls.filled(list(sets), max((len(s) for s in sets.values()), default=0), iter(sets.values()), mass or {})
+
+    @classmethod
+    def filled(cls, languages: list[str], most: int, sets: Iterator[np.ndarray], mass: dict[str, float]) -> Filters:
+        """most: the size of the largest set. sets: one after the other, in the languages' order."""
         bits = max(MIN_BITS, int(most * HASHES * LOAD).bit_length())
-        cells = np.zeros((1 << bits, max(1, -(-len(sets) // 64))), np.uint64)
+        cells = np.zeros((1 << bits, max(1, -(-len(languages) // WORD))), np.uint64)
         fill = []
-        for k, s in enumerate(sets.values()):
+        for k, s in enumerate(sets):
             for place in _places(s, bits):
-                np.bitwise_or.at(cells[:, k // 64], place, np.uint64(1) << np.uint64(k % 64))
-            fill.append(((cells[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean())
-        return cls(list(sets), bits, cells, np.array(fill) ** HASHES, np.array([(mass or {}).get(x, 1.0) for x in sets]))
+                np.bitwise_or.at(cells[:, k // WORD], place, np.uint64(1) << np.uint64(k % WORD))
+            fill.append(((cells[:, k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)).mean())
+        return cls(languages, bits, cells, np.array(fill) ** HASHES, np.array([mass.get(x, 1.0) for x in languages]))
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, float]:
         """N-grams of each language, without the false positives to be expected, and how many n-grams told languages apart."""
         mask = np.full((len(hashes), self.cells.shape[1]), ~np.uint64(0), np.uint64)
         for place in _places(hashes, self.bits):
             mask &= self.cells[place]
-        found = np.array([int(((mask[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).sum()) for k in range(len(self.languages))], float)
+        found = np.array([int(((mask[:, k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)).sum()) for k in range(len(self.languages))], float)
         return np.maximum(0, (found - self.false_rate * len(hashes)) / (1 - self.false_rate)), float(mask.any(1).sum())
 
     def measure(self, text: bytes | None) -> tuple[str, float, float]:
@@ -109,8 +114,9 @@ class Filters:
             return UNKNOWN, 0.0, 0.0
         # Long texts in parts, so memory is bounded; a part overlaps the next by the longest n-gram.
         hits, told, n = np.zeros(len(self.languages)), 0.0, 0
-        for i in range(0, len(c), 1 << 18):
-            g = grams(c[i : i + (1 << 18) + SIZES[-1] - 1])
+        size = max(1 << 12, (1 << 18) // self.cells.shape[1])
+        for i in range(0, len(c), size):
+            g = grams(c[i : i + size + SIZES[-1] - 1])
             h, t = self.hits(g)
             hits, told, n = hits + h, told + t, n + len(g)
         k = int(np.argmax(hits))
@@ -167,12 +173,24 @@ def learn(docs: DataFrame, train: Column | None = None, min_share: float = MIN_S
     if not totals:
         return Filters.of({})
     order = sorted(totals, key=lambda x: (-totals[x], x))
-    number = spark.createDataFrame([(x, k, max(min_share, len(order) / GRAMS) * totals[x]) for k, x in enumerate(order)], "lang string, k int, least double")
-    # At most GRAMS rows of 20 bytes reach the driver.
-    often = counts.join(F.broadcast(number), "lang").where("n >= least").select("k", "gram", "n").toPandas()
+    if len(order) > MOST_LANGUAGES:
+        raise ValueError(f"lang has {len(order)} values; at most {MOST_LANGUAGES} are learned")
+    number = spark.createDataFrame([(x, k, min_share * totals[x]) for k, x in enumerate(order)], "lang string, k int, least double")
+    often = keep(counts.join(F.broadcast(number), "lang").where("n >= least").select("k", "gram", "n"), "often")
     forget(counts)
-    own = [often[often["k"] == k] for k in range(len(order))]
-    return Filters.of({x: np.sort(o["gram"].to_numpy(np.int64)).view(np.uint64) for x, o in zip(order, own, strict=True)}, {x: max(1e-9, float(o["n"].sum()) / totals[x]) for x, o in zip(order, own, strict=True)})
+    held = {r.k: (r.size, r.n) for r in often.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n")).collect()}
+
+    def sets():
+        # At most 1 / min_share n-grams of a language reach the driver, and WORD languages' at once.
+        for first in range(0, len(order), WORD):
+            part = often.where(F.col("k").between(first, first + WORD - 1)).toPandas()
+            for k in range(first, min(first + WORD, len(order))):
+                yield np.sort(part["gram"][part["k"] == k].to_numpy(np.int64)).view(np.uint64)
+
+    mass = {x: max(1e-9, float(held.get(k, (0, 0))[1]) / totals[x]) for k, x in enumerate(order)}
+    out = Filters.filled(order, max((size for size, _ in held.values()), default=0), sets(), mass)
+    forget(often)
+    return out
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:

@@ -39,6 +39,8 @@ FIRST, WIDTH = 43, 80
 SAMPLE_DOCUMENTS = 200
 SAMPLE_RANDOM = 2000
 BLOCK = 256
+#: Code points of a piece of text.
+PIECE = 512
 
 SPAN = "struct<start:bigint,rank:int,end:bigint>"
 NONE = f"cast(array() as array<{SPAN}>)"
@@ -249,20 +251,49 @@ def named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from start to end (code points), out of its pieces of PIECE code points; a place in a long text is found without reading what is before it."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    at = (start - first * PIECE + 1).cast("int")
+    inside = F.get(pieces, first).substr(at, (end - start).cast("int"))
+    middle = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    across = F.concat(F.get(pieces, first).substr(at, F.lit(PIECE)), middle, F.get(pieces, last).substr(F.lit(1), (end - last * PIECE).cast("int")))
+    return F.when(end <= start, "").when(first == last, inside).otherwise(across)
+
+
+def _upto(ends: Column) -> Column:
+    """For each place the greatest of the ends up to it, block by block as in _spans()."""
+    last = F.floor((F.size(ends) - 1) / BLOCK).cast("int")
+    most = F.transform(F.sequence(F.lit(0), last), lambda b: F.array_max(F.slice(ends, b * BLOCK + 1, F.lit(BLOCK))))
+    before = F.aggregate(most, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), x))))
+
+    def place(i: Column, before: Column) -> Column:
+        block = F.floor(i / BLOCK).cast("int")
+        return F.greatest(F.element_at(before, block + 1), F.array_max(F.slice(ends, block * BLOCK + 1, i % BLOCK + 1)))
+
+    return _let(before, lambda m: F.transform(ends, lambda _, i: place(i, m)))
+
+
+def _marked(text: Column, spans: Column, mark: str) -> Column:
+    """text with mark in place of its spans (in order of start); of those that overlap or touch, one mark."""
+    def filled(pieces: Column, upto: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(upto, i - 1), F.lit(0).cast("long"))
+        kept = F.transform(spans, lambda s, i: F.when((i == 0) | (s["start"] > before(i)), F.concat(_cut(pieces, before(i), s["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(kept, ""), _cut(pieces, F.element_at(upto, -1), F.length(text).cast("long")))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return _let(pieces, lambda p: _let(_let(F.transform(spans, lambda s: s["end"]), _upto), lambda e: filled(p, e)))
+
+
 def redact(docs: DataFrame, chains: Chains | None = None, mark: str = "[SECRET]") -> DataFrame:
     """docs, all rows and columns, with mark in place of every span (n_chars follows where there is such a column)."""
     chains = chains or Chains.train(samples(docs))
     free = lambda name: name if name not in docs.columns else free(f"{name}_")
-    base, method, joined = map(free, ("base_spans", "more_spans", "joined_spans"))
+    base, method, redacted = map(free, ("base_spans", "more_spans", "redacted_text"))
     out = with_spans(docs, chains, base, method)
     spans = F.array_sort(F.concat(base, method))
-    merged = F.aggregate(spans, F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
-    out = out.withColumn(joined, F.when(F.size(base) + F.size(method) > 0, merged))
-    j = F.col(joined)
-    piece = F.transform(j, lambda s, i: F.concat(F.col("text").substr(F.when(i > 0, F.get(j, i - 1)["end"]).otherwise(0).cast("int") + 1, (s["start"] - F.when(i > 0, F.get(j, i - 1)["end"]).otherwise(0)).cast("int")), F.lit(mark)))
-    tail = F.col("text").substr(F.element_at(j, -1)["end"].cast("int") + 1, F.length("text"))
-    text = F.when(j.isNull(), F.col("text")).otherwise(F.concat(F.array_join(piece, ""), tail))
-    out = out.withColumn("text", text)
+    text = F.when(F.size(base) + F.size(method) > 0, _let(spans, lambda j: _marked(F.col("text"), j, mark))).otherwise(F.col("text"))
+    out = out.withColumn(redacted, text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(joined).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.drop(base, method, joined)
+        out = out.withColumn("n_chars", F.when(F.size(base) + F.size(method) > 0, F.length(redacted)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.withColumn("text", F.col(redacted)).drop(base, method, redacted)

@@ -4,6 +4,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tests.llm.helpers import AWKWARD, documents
 
@@ -76,11 +77,22 @@ def test_letters_by_category():
     assert len(lg.codes("नमस्ते".encode())) == len("नमस्ते") + 2
 
 
-def test_many_languages_stay_bounded(spark, monkeypatch):
-    monkeypatch.setattr(lg, "GRAMS", 30_000)
-    docs = documents(spark, [(i, t, f"l{i % 30}") for i, t, _ in corpus(120, 7)])
-    filters = lg.learn(docs)
-    assert len(filters.languages) == 30 and filters.cells.sum() > 0
+def test_what_a_language_holds_does_not_hang_on_how_many_there_are(spark, monkeypatch):
+    """The same documents are predicted alike whether three or a hundred other languages are learned beside; filters are filled a few languages at a time."""
+    rows = [(i, t, lang) for i, t, lang in corpus(160, 7) if lang]
+    alone = lg.learn(documents(spark, rows))
+    rng = np.random.default_rng(3)
+    word = lambda k: "".join(chr(0x4E00 + 97 * k + int(x)) for x in rng.integers(0, 90, 5))
+    others = [(1000 + k, " ".join(word(k) for _ in range(40)), f"x{k}") for k in range(100)]
+    monkeypatch.setattr(lg, "WORD", 16)
+    many = lg.learn(documents(spark, rows + others))
+    assert len(many.languages) == 100 + len(alone.languages) and many.cells.shape[1] == -(-len(many.languages) // 16)
+    told = [(lang, alone.measure(t.encode())[0], many.measure(t.encode())[0]) for _, t, lang in rows]
+    assert sum(a == b for _, a, b in told) >= 0.99 * len(told)
+    assert np.mean([many.measure(t.encode())[0] == lang for _, t, lang in others]) == 1.0
+    monkeypatch.setattr(lg, "MOST_LANGUAGES", 50)
+    with pytest.raises(ValueError, match="at most 50"):
+        lg.learn(documents(spark, others))
 
 
 def test_filters_hold_every_learned_gram():

@@ -165,3 +165,23 @@ def test_redaction(spark):
 
 def test_empty(spark):
     assert secrets.scan(documents(spark, [])).count() == 0
+
+
+def test_redaction_of_many_spans_is_linear(spark):
+    """400,000 spans in one text, and texts whose spans overlap, touch, begin and end the text and stand far apart."""
+    import time
+
+    many = "token = abcdef " * 400_000
+    rows = [(1, many), (2, "password=" + "a" * 24 + ".bbbb"), (3, "x " + "é\U0001f600" * 2000 + "token=" + "0123456789abcdef" * 3 + " y"), (4, "secret: " + "AKIA" + "A" * 30), (5, "token=abcdef" + " z" * 3000 + " token=ghijkl")]
+    start = time.time()
+    got = {r.doc_id: r.text for r in secrets.redact(documents(spark, rows), secrets.Chains([0.0] * (secrets.WIDTH * secrets.WIDTH), 1e9)).collect()}
+    assert time.time() - start < 60
+    assert got[1] == "[SECRET] " * 400_000
+    found = {r.doc_id: r.base for r in secrets.scan(documents(spark, rows[1:]), secrets.Chains([0.0] * (secrets.WIDTH * secrets.WIDTH), 1e9)).collect()}
+    for i, text in rows[1:]:
+        want, at = "", 0
+        for s in found[i]:
+            if s.start > at or not want and not at:
+                want += text[at : s.start] + "[SECRET]"
+            at = max(at, s.end)
+        assert got[i] == want + text[at:], i
