@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontamination, language, neardup, packing, secrets
-from millrace.llm.common import keep, table
+from millrace.llm.common import forget, keep, table
 from millrace.llm.queries import tokenizer_json
 
 
@@ -68,6 +68,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    kept = []
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name)
+        kept.append(docs)
+        if len(kept) > 1:
+            forget(kept[-2])  # the next stage reads this one alone, so at most two copies of the texts are kept
     return STAGES[-1][1](spark, docs, sf_dir)
