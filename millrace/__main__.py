@@ -1,4 +1,11 @@
-"""python -m millrace PATH DRAWING OPERATION [JSON]: one operation on a drawing, or `inspect` for counts, `tools` for the operations."""
+"""python -m millrace: the ten operations on drawings.
+
+    tools                                the operations and their arguments, as JSON
+    PATH inspect                         counts of every drawing under PATH
+    PATH drawings                        the ids of the drawings under PATH
+    PATH DRAWING OPERATION [JSON]        one operation; its status, then the rows of each section. --compact: only the columns a reader needs.
+                                         --evidence: its rows as they are cited, in words
+"""
 
 from __future__ import annotations
 
@@ -7,27 +14,43 @@ import sys
 
 
 def main(argv: list[str]) -> int:
-    from millrace.plans.service import ARGUMENTS, Service
+    from millrace.plans.service import ARGUMENTS, Service, kind_name
 
-    if argv[:1] == ["tools"]:
-        print(json.dumps({k: {a: kind.__name__ for a, (kind, _) in v.items()} for k, v in ARGUMENTS.items()}, indent=1))
+    flags = {a for a in argv if a.startswith("--")}
+    argv = [a for a in argv if a not in flags]
+    if argv == ["tools"] and not flags:
+        print(json.dumps({tool: {name: {"type": kind_name(kind), "required": required} for name, (kind, required) in arguments.items()} for tool, arguments in ARGUMENTS.items()}, indent=1))
         return 0
-    if len(argv) < 3:
-        print(__doc__)
+    listing = len(argv) == 2 and argv[1] in ("inspect", "drawings") and not flags
+    if not listing and (len(argv) not in (3, 4) or flags - {"--compact", "--evidence"}):
+        print(__doc__, file=sys.stderr)
         return 2
     from pyspark.sql import SparkSession
 
+    from millrace.operators import evidence, submission
     from millrace.sources import drawings
 
     spark = SparkSession.builder.getOrCreate()
     objects = drawings.read_drawings(spark, argv[0])
     plant = drawings.normalize(objects)
-    if argv[2] == "inspect":
-        drawings.ingestion_matrix(objects, plant).show(100, truncate=False)
+    if listing:
+        found = drawings.ingestion_matrix(objects, plant) if argv[1] == "inspect" else plant.entities.select("drawing_id").distinct().orderBy("drawing_id")
+        for row in found.toJSON().toLocalIterator():
+            print(row)
         return 0
-    result = Service(plant, argv[1]).call(argv[2], argv[3] if len(argv) > 3 else "{}")
+    if plant.entities.where(plant.entities["drawing_id"] == argv[1]).isEmpty():
+        print(f"no drawing {argv[1]!r}; `drawings` lists them", file=sys.stderr)
+        return 1
+    service = Service(plant, argv[1])
+    result = service.call(argv[2], argv[3] if len(argv) == 4 else "{}")
     print(json.dumps({"tool": result.tool, "status": result.status, "message": result.message, "warnings": result.warnings, "meta": result.meta}))
-    for name, section in result.sections.items():
+    if result.status == "error":
+        return 1
+    if "--evidence" in flags:
+        sections = {"evidence": evidence.of(result, service, argv[1], 1).rows.select("ref", "text").orderBy("ref")}
+    else:
+        sections = submission.compact(result.sections, result.tool) if "--compact" in flags else result.sections
+    for name, section in sections.items():
         print(name)
         for row in section.toJSON().toLocalIterator():
             print(" ", row)

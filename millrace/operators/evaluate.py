@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import evidence, facts, submission
+
+if TYPE_CHECKING:
+    from millrace.plans.service import Service
+
 
 def answer_scores(judged: DataFrame) -> DataFrame:
     """judged: question_id, kind (required or forbidden), matched, answered, failed. question_id, found, required, wrong, score, outcome.
@@ -86,3 +93,21 @@ def causes(rows: DataFrame, cascade: list[tuple[str, str]], other: str = "other"
     for name, condition in reversed(cascade):
         out = F.when(F.expr(condition), name).otherwise(out)
     return rows.groupBy(out.alias("cause")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def gold_facts(service: Service, calls: list[tuple[str, str, str | dict]]) -> DataFrame:
+    """calls: (question_id, operation, arguments) as a suite gives them. question_id, fact: the canonical facts that each question's calls give, as a run's own evidence has them."""
+    made = [evidence.of(service.call(tool, arguments), service, question, step).facts for step, (question, tool, arguments) in enumerate(calls, 1)]
+    every = facts.union(*made) if made else service.spark.createDataFrame([], ", ".join(f"{k} {v}" for k, v in facts.COLUMNS.items()))
+    return submission.facts_of_rows(every).select(F.col("run_id").alias("question_id"), F.explode("said").alias("fact")).distinct()
+
+
+def grounding_counters(runs: DataFrame) -> DataFrame:
+    """runs: run_id, failed, steps (array of tool, status), outputs (array of output_id, status; null if nothing was submitted), repaired (null, or whether a repair worked). One row of counts over all runs."""
+    given = F.col("outputs").isNotNull()
+    of = lambda status: F.sum(F.when(given, F.size(F.filter("outputs", lambda o: o["status"] == status))).otherwise(0)).alias(status)
+    rejected = F.size(F.filter("steps", lambda s: (s["tool"] == "submit_answer") & (s["status"] == "rejected")))
+    return runs.agg(
+        F.count_if(given).alias("structured_answers"), F.count_if(~given & ~F.col("failed")).alias("withheld"), F.count_if("failed").alias("provider_failures"), F.sum(F.coalesce(F.greatest(rejected, F.lit(0)), F.lit(0))).alias("rejected_submissions"),
+        F.count_if(F.col("repaired").isNotNull()).alias("repairs_attempted"), F.count_if("repaired").alias("repairs_succeeded"), F.sum(F.when(given, F.size("outputs")).otherwise(0)).alias("requested_outputs"), of("covered"), of("unknown"), of("missing"),
+    )

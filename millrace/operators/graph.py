@@ -179,7 +179,9 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, direction: str = "downstre
 def simple_paths(edges: DataFrame, pairs: DataFrame, direction: str = "downstream", blocked: DataFrame | None = None, max_length: int | None = None, most: int = MOST_PATHS) -> DataFrame:
     """Routes that visit no node twice: the first `most` in drawing order, then by length: query_id, nth, length, path, more (whether there are others).
 
-    Partial routes are kept only at nodes from which the target can still be reached.
+    Partial routes are kept only at nodes from which the target can still be reached. Of these, at most `most` + 1 of a query, the first in drawing
+    order, are deepened at a time; the others wait. Where all that are deepened come to an end and there are too few routes, the next ones that wait
+    are taken, from the deepest level first. So no level holds more than a few rows of a query, however many routes there are.
     """
     longest, step = clamp_depth(max_length), moves(edges, direction)
     if blocked is not None:
@@ -187,25 +189,35 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, direction: str = "downstrea
     opposite = {"downstream": "upstream", "upstream": "downstream"}.get(direction, direction)
     back = traverse(edges.withColumns({"source_chamber": F.lit(None).cast("string"), "target_chamber": F.lit(None).cast("string")}), pairs.select("query_id", F.col("target").alias("node")), opposite, longest)
     near = back.reached.select("query_id", F.col("node").alias("to"), F.col("distance").alias("rest")).unionByName(pairs.select("query_id", F.col("target").alias("to"), F.lit(0).alias("rest")))
-    routes = pairs.select("query_id", "target", F.col("source").alias("node"), F.lit(None).cast("string").alias("chamber"), F.expr("cast(array() as array<bigint>)").alias("turns"), F.expr(f"cast(array() as array<{STEP}>)").alias("path"), F.array("source").alias("visited"))
-    found = None
-    # Routes are taken in drawing order, so of the partial ones of a query only those can matter that come before its most + 1 first
-    # finished ones: once that many are known, what lies behind the last of them is dropped.
-    for level in range(longest):
-        new = routes.join(step, routes["node"] == step["from"]).where(F.lit(level == 0) | F.col("chamber").isNull() | F.col("exit").isNull() | (F.col("chamber") == F.col("exit"))).where(~F.array_contains("visited", F.col("to")))
-        new = new.join(near, ["query_id", "to"]).where(F.col("rest") <= longest - level - 1)
+    near = keep(near, "near")
+    active = pairs.select("query_id", "target", F.col("source").alias("node"), F.lit(None).cast("string").alias("chamber"), F.expr("cast(array() as array<bigint>)").alias("turns"), F.expr(f"cast(array() as array<{STEP}>)").alias("path"), F.array("source").alias("visited"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("turns"))
+    found = waiting = None
+    while True:
+        new = active.join(step, active["node"] == step["from"]).where((F.size("turns") == 0) | F.col("chamber").isNull() | F.col("exit").isNull() | (F.col("chamber") == F.col("exit"))).where(~F.array_contains("visited", F.col("to")))
+        new = new.join(near, ["query_id", "to"]).where(F.col("rest") <= longest - F.size("turns") - 1)
         new = new.select("query_id", "target", F.col("to").alias("node"), F.col("entry").alias("chamber"), F.concat("turns", F.array("turn")).alias("turns"), F.concat("path", F.array(F.struct("id", F.col("from"), "to", "with_flow"))).alias("path"), F.concat("visited", F.array("to")).alias("visited"))
         new = keep(new, "routes")
         done = new.where("node = target").select("query_id", "turns", "path")
-        found = done if found is None else found.unionByName(done)
-        routes = new.where("node <> target")
-        if routes.isEmpty():
-            break
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy("turns"))
-        found = keep(found.withColumn("place", place).where(F.col("place") <= most + 1), "found")
+        every = done if found is None else found.unionByName(done)
+        found = keep(every.withColumn("place", place).where(F.col("place") <= most + 1), "found")
         last = found.where(F.col("place") == most + 1).select("query_id", F.col("turns").alias("last"))
         found = found.drop("place")
-        routes = routes.join(last, "query_id", "left").where("last is null or turns < last").drop("last")
+
+        def before(rows: DataFrame, last: DataFrame = last) -> DataFrame:
+            """What can still be among the first routes of its query."""
+            return rows.join(last, "query_id", "left").where("last is null or turns < last").drop("last")
+
+        ranked = keep(before(new.where("node <> target")).withColumn("place", place), "ranked")
+        active, late = ranked.where(F.col("place") <= most + 1).drop("place"), ranked.where(F.col("place") > most + 1).drop("place")
+        waiting = keep(late if waiting is None else late.unionByName(before(waiting)), "waiting")
+        idle = waiting.join(active.select("query_id").distinct(), "query_id", "left_anti")
+        deepest = F.max(F.size("turns")).over(Window.partitionBy("query_id"))
+        taken = keep(idle.withColumn("deepest", deepest).where(F.size("turns") == F.col("deepest")).withColumn("place", place).where(F.col("place") <= most + 1).drop("deepest", "place"), "taken")
+        waiting = waiting.join(taken.select("query_id", "turns"), ["query_id", "turns"], "left_anti")
+        active = active.unionByName(taken)
+        if active.isEmpty():
+            break
     drawn = Window.partitionBy("query_id").orderBy("turns")
     found = found.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= most + 1)
     more = (F.max("place").over(Window.partitionBy("query_id")) > most).alias("more")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import analysis, claims, evaluate, facts, graph, grounding, properties, resolve, submission
+from millrace.operators import analysis, answers, claims, evaluate, evidence, facts, graph, grounding, properties, resolve, submission
 from millrace.plans import views
 from millrace.plans.service import Service
 from millrace.plans.storage import keep
@@ -275,10 +275,10 @@ def descendants(spark, sf_dir):
     return _long(graph.descendants(views.hierarchy(spark, sf_dir), roots), "depth")
 
 
-@query("""SELECT user_id, count(*) AS n, string_agg(event_type, '>' ORDER BY ts) AS chain FROM events GROUP BY 1""")
+@query("""SELECT user_id, count(*) AS n, string_agg(event_type, '>' ORDER BY ts, event_id) AS chain FROM events GROUP BY 1""")
 def signal_chain(spark, sf_dir):
     """All events of each user as one chain of instrument links, followed to its end."""
-    e = table(spark, sf_dir, "events").withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("ts")))
+    e = table(spark, sf_dir, "events").withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     name = lambda p: F.concat_ws("/", F.col("user_id").cast("string"), p.cast("string"))
     last = F.max("pos").over(Window.partitionBy("user_id"))
     e = keep(e.withColumn("last", last), "events")
@@ -593,12 +593,12 @@ def terminal(spark, sf_dir):
     return graph.terminal(_opened(views.trade(spark, sf_dir)), views.nations(spark, sf_dir).select(F.col("id").alias("node")), "downstream")
 
 
-@query("""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS pos FROM events), a AS (SELECT user_id, min(pos) FILTER (event_type = 'signup') AS p FROM e GROUP BY 1),
+@query("""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events), a AS (SELECT user_id, min(pos) FILTER (event_type = 'signup') AS p FROM e GROUP BY 1),
 b AS (SELECT a.user_id, min(pos) AS p FROM a LEFT JOIN e ON e.user_id = a.user_id AND event_type = 'click' AND pos > p GROUP BY 1), c AS (SELECT b.user_id, min(pos) AS p FROM b LEFT JOIN e ON e.user_id = b.user_id AND event_type = 'purchase' AND pos > p GROUP BY 1)
 SELECT user_id, p IS NOT NULL AS in_order FROM c""")
 def subsequence(spark, sf_dir):
     """Whether a user's events hold a signup, then a click, then a purchase."""
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_type"))), lambda x: x["event_type"]).alias("route"))
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("route"))
     return e.select("user_id", graph.in_order(F.array(*map(F.lit, ("signup", "click", "purchase"))), F.col("route")).alias("in_order"))
 
 
@@ -657,15 +657,16 @@ def answer_coverage(spark, sf_dir):
     return submission.submit(cited, rows, asked, unknown)[1].where("ref is null").drop("ref", "run_id")
 
 
-@query(r"""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN lower(p_type) || 's' ELSE lower(p_type) END = lower(p_type) AS plain, regexp_replace(lower(p_name), '[^a-z0-9.]+', '-', 'g') AS slug,
-  regexp_replace(lower(regexp_replace(p_brand || ' ,', '\s+', '', 'g')), '^[.,;:]+|[.,;:]+$', '', 'g') AS term, p_size % 3 <> 2 AS named FROM part""")
+@query(r"""WITH w AS (SELECT *, lower(p_type) AS b, CASE WHEN p_size % 2 = 0 THEN lower(p_type) || 's' ELSE lower(p_type) END AS a FROM part)
+SELECT p_partkey, CASE WHEN length(a) > 3 AND a LIKE '%s' AND a NOT LIKE '%ss' THEN left(a, length(a) - 1) ELSE a END = CASE WHEN length(b) > 3 AND b LIKE '%s' AND b NOT LIKE '%ss' THEN left(b, length(b) - 1) ELSE b END AS plain, regexp_replace(lower(p_name), '[^a-z0-9.]+', '-', 'g') AS slug,
+  regexp_replace(lower(regexp_replace(p_brand || ' ,', '\s+', '', 'g')), '^[.,;:]+|[.,;:]+$', '', 'g') AS term, p_size % 3 <> 2 AS named FROM w""")
 def names(spark, sf_dir):
-    """Singular, slug, plain term, and whether a property's name means the same as another that may say more."""
+    """Whether a word and its plural have one singular, slug, plain term, and whether a property's name means the same as another that may say more."""
     part = table(spark, sf_dir, "part")
     word = F.when(F.col("p_size") % 2 == 0, F.concat(F.lower("p_type"), F.lit("s"))).otherwise(F.lower("p_type"))
     have = F.when(F.col("p_size") % 3 == 0, "nominalDiameterRepresentation").when(F.col("p_size") % 3 == 1, "NominalDiameter").otherwise("upperLimitNominalDiameter")
     same = text.singular(word) == text.singular(F.lower("p_type"))
-    return part.select("p_partkey", (same & (word == F.lower("p_type"))).alias("plain"), text.slug(F.col("p_name")).alias("slug"), text.plain_term(F.concat("p_brand", F.lit(" ,"))).alias("term"), text.names_match(F.lit("nominal diameter"), have).alias("named"))
+    return part.select("p_partkey", same.alias("plain"), text.slug(F.col("p_name")).alias("slug"), text.plain_term(F.concat("p_brand", F.lit(" ,"))).alias("term"), text.names_match(F.lit("nominal diameter"), have).alias("named"))
 
 
 def _service(spark, sf_dir) -> Service:
@@ -728,3 +729,93 @@ def service_trace_line(spark, sf_dir):
     """Pipes on the runs of one line; each pipe lies on one run."""
     runs = _service(spark, sf_dir).call("trace_line", {"line": "line 0"}).sections["runs"]
     return runs.select(F.explode("links").alias("id")).agg(F.count_distinct("id").alias("pipes"))
+
+
+_HISTORY = """h AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events)"""
+
+
+@query(f"""WITH {_HISTORY}, u AS (SELECT DISTINCT user_id, n FROM h), s AS (SELECT user_id, n, k, 1 + (user_id * k * 7) % n AS p, 1 + (user_id * k * 13 + k) % n AS q FROM u, generate_series(1, 3) AS t(k))
+SELECT CAST(user_id AS VARCHAR) AS run_id, k || 'all' AS id, CASE WHEN p <= q THEN 'grounded' ELSE 'insufficient_evidence' END AS level FROM s
+UNION ALL SELECT CAST(user_id AS VARCHAR), k || 'one', CASE WHEN p = n OR p > q THEN 'insufficient_evidence' WHEN q <= p + 1 THEN 'grounded' ELSE 'limited' END FROM s""")
+def check_answer(spark, sf_dir):
+    """Each user's events as a run of its own, in which each feeds the next one: sentences on pairs of them, that cite the whole result or the pipe behind the first. The same references stand for other pipes in other runs."""
+    e = keep(views.histories(spark, sf_dir), "histories")
+    run, k = F.col("user_id").cast("string"), F.explode(F.sequence(F.lit(1), F.lit(3)))
+    target = F.lead("name").over(Window.partitionBy("user_id").orderBy("pos"))
+    items = facts.fact(e.select(run.alias("run_id"), F.lit("E2.1").alias("ref"), "name"), "identified_as", subject="name", value="name")
+    pipes = e.select(run.alias("run_id"), F.concat(F.lit("E1."), F.col("pos").cast("string")).alias("ref"), "name", target.alias("target"), F.concat(F.lit("pipe"), F.col("pos").cast("string")).alias("id")).where("target is not null")
+    have = items.unionByName(facts.fact(pipes, "flows_to", subject="name", object="target", qualifiers=facts.qualifiers(connection=F.col("id"))))
+    asked = e.select("user_id", "n").distinct().withColumn("k", k).withColumns({"p": 1 + F.col("user_id") * F.col("k") * 7 % F.col("n"), "q": 1 + (F.col("user_id") * F.col("k") * 13 + F.col("k")) % F.col("n")})
+    named = asked.join(e.select("user_id", F.col("pos").alias("p"), F.col("name").alias("a")), ["user_id", "p"]).join(e.select("user_id", F.col("pos").alias("q"), F.col("name").alias("b")), ["user_id", "q"])
+    cited = F.explode(F.array(F.struct(F.lit("all").alias("how"), F.lit("R1").alias("ref")), F.struct(F.lit("one").alias("how"), F.concat(F.lit("E1."), F.col("p").cast("string")).alias("ref"))))
+    said = named.select(run.alias("run_id"), "k", "a", "b", cited.alias("c")).select("run_id", F.concat(F.col("k").cast("string"), "c.how").alias("id"), F.concat("a", F.lit(" feeds "), "b", F.lit(" ["), "c.ref", F.lit("].")).alias("text"))
+    return answers.check(said, have).answers.select("run_id", "id", "level")
+
+
+@query(f"""WITH {TRADE}, e AS (SELECT t.*, row_number() OVER (ORDER BY ord) AS i, a.tag AS x, b.tag AS y FROM trade t JOIN node a ON a.id = source JOIN node b ON b.id = target WHERE source = '10' OR target = '10')
+SELECT 'E1.1' AS ref, 'entities' AS section, tag || ' (10), PipeTee' AS text FROM node WHERE id = '10' UNION ALL SELECT 'E1.' || (i + 1), 'connections', 'Drawn flow from ' || x || ' (' || source || ') to ' || y || ' (' || target || '), line ' || (ord % 3) FROM e""")
+def evidence_rows(spark, sf_dir):
+    """The rows of a call, as they are cited and as they are put into words."""
+    service = _service(spark, sf_dir)
+    return evidence.of(service.call("get_connections", {"entity_id": "10", "relationship": "piping"}), service, "r", 1).rows.select("ref", "section", "text")
+
+
+@query(f"WITH {TRADE} SELECT 'q' || n.id AS question_id, source AS subject, target AS object FROM trade JOIN node n ON n.id IN (source, target) WHERE n.k IN (4, 10, 13)")
+def gold_facts(spark, sf_dir):
+    """Pipes among the canonical facts of the calls that three questions are judged by."""
+    calls = [(f"q{k}", "get_connections", {"entity_id": k, "relationship": "piping"}) for k in ("04", "10", "13")]
+    gold = evaluate.gold_facts(_service(spark, sf_dir), calls)
+    part = lambda name: F.get_json_object("fact", f"$.{name}")
+    return gold.where(part("p") == "flows_to").select("question_id", part("s").alias("subject"), part("o").alias("object"))
+
+
+@query(f"""WITH RECURSIVE {TRADE}, m AS (SELECT f, t FROM step UNION ALL SELECT f, t FROM back), r AS (SELECT id AS q, id AS node FROM node UNION SELECT q, t FROM r JOIN m ON f = node JOIN node n ON n.id = t WHERE n.role = 'fitting'),
+met AS (SELECT DISTINCT q, t, n.role FROM r JOIN m ON f = node JOIN node n ON n.id = t WHERE t <> q)
+SELECT q AS query_id, CASE role WHEN 'check_valve' THEN 'check_valve_on_boundary' ELSE 'isolation_boundary_valve' END AS predicate, t AS object, NULL AS value FROM met WHERE role IN ('isolation_valve', 'check_valve')
+UNION ALL SELECT id, 'fully_valve_bounded', NULL, CASE WHEN EXISTS (SELECT 1 FROM met WHERE q = id AND role IN ('check_valve', 'equipment')) THEN 'false' ELSE 'true' END FROM node WHERE id IN (SELECT f FROM m)""")
+def isolation_rows(spark, sf_dir):
+    roles = views.nations(spark, sf_dir).select(F.col("id").alias("node"), "role")
+    edges = views.trade(spark, sf_dir).withColumns({"line": F.lit(None).cast("string"), "size": F.lit(None).cast("string")})
+    rows = analysis.isolation_rows(edges, analysis.isolation_boundary(edges, roles, _starts(spark, sf_dir)))
+    return rows.where("predicate in ('isolation_boundary_valve', 'check_valve_on_boundary', 'fully_valve_bounded')").select("query_id", "predicate", "object", "value")
+
+
+@query(f"""WITH {_PIPES}, deg AS (SELECT node, count(*) AS k, count(DISTINCT line) AS lines FROM ends GROUP BY 1), b AS (SELECT node, k <> 2 OR lines > 1 OR node IN (SELECT node FROM n WHERE fixed) AS is_break FROM deg),
+r AS (SELECT line, count(*) AS runs FROM pipe JOIN b ON b.node = source WHERE is_break OR pos = 1 GROUP BY 1), o AS (SELECT DISTINCT node, line FROM ends), m AS (SELECT o.line, count(*) AS meetings FROM o JOIN ends e ON e.node = o.node AND e.line <> o.line GROUP BY 1)
+SELECT CAST(r.line AS VARCHAR) AS line, runs, coalesce(meetings, 0) AS meetings FROM r LEFT JOIN m ON m.line = r.line""")
+def line_rows(spark, sf_dir):
+    """Derived rows of all lines, counted by line."""
+    edges, roles = _pipes(spark, sf_dir)
+    rows = analysis.line_rows(edges, *analysis.trace_line(edges, roles))
+    return rows.groupBy(F.col("query_id").alias("line")).agg(F.count_if(F.col("predicate") == "line_run").alias("runs"), F.count_if(F.col("predicate") == "line_meets_line").alias("meetings"))
+
+
+@query(f"""WITH {_HISTORY}, one AS (SELECT 'EV-' || event_id AS name, pos, 'V-' || user_id AS valve FROM h WHERE user_id = (SELECT max(user_id) FROM events))
+SELECT 'signal_chain' AS predicate, name AS subject, valve AS object FROM one WHERE pos = 1 UNION ALL SELECT 'loop_acts_on', name, valve FROM one""")
+def service_instrument_loop(spark, sf_dir):
+    """The loop of the last user's last event, in a drawing of all users' events: one chain to the valve, which every function on it acts on."""
+    last = views.histories(spark, sf_dir).where("pos = n").agg(F.max_by("name", "user_id").alias("name")).first()["name"]
+    return Service(views.signals(spark, sf_dir), "signals").call("trace_instrumentation", {"entity_id": last}).sections["derived"].select("predicate", "subject", "object")
+
+
+_CHAINS = """o AS (SELECT o_custkey AS c, 'o' || o_orderkey AS node, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_orderpriority LIKE '1%' AS valve FROM orders)"""
+
+
+def _first_orders(items: DataFrame) -> DataFrame:
+    return items.where("pos = 1").select(F.col("customer").cast("string").alias("query_id"), "node")
+
+
+@query(f"WITH {_CHAINS} SELECT CAST(c AS VARCHAR) AS query_id, node, pos - 1 AS distance FROM o WHERE pos BETWEEN 2 AND 26")
+def traverse_orders(spark, sf_dir):
+    """Everything downstream of every customer's first order, as deep as a search goes: a search from each customer, in one go."""
+    edges, items = views.order_chains(spark, sf_dir)
+    return _long(graph.traverse(edges, _first_orders(items)).reached.select("query_id", "node", "distance"), "distance")
+
+
+@query(f"""WITH {_CHAINS}, v AS (SELECT c, min(pos) AS p FROM o WHERE valve AND pos > 1 GROUP BY 1), n AS (SELECT c, max(pos) AS last FROM o GROUP BY 1)
+SELECT CAST(n.c AS VARCHAR) AS query_id, coalesce(p - 1, last) AS region_size, CASE WHEN p IS NULL THEN 0 ELSE 1 END AS valves FROM n LEFT JOIN v USING (c) WHERE last > 1""")
+def isolation_orders(spark, sf_dir):
+    """What lies around every customer's first order, up to the first urgent one."""
+    edges, items = views.order_chains(spark, sf_dir)
+    found = analysis.isolation_boundary(edges, items.select("node", "role"), _first_orders(items))
+    return _long(found.summary.select("query_id", "region_size", "valves"), "region_size", "valves")

@@ -39,6 +39,10 @@ ARGUMENTS: dict[str, dict[str, tuple[type | tuple[type, ...], bool]]] = {
 }
 
 
+def kind_name(kind: type | tuple[type, ...]) -> str:
+    return " or ".join(x.__name__ for x in kind) if isinstance(kind, tuple) else kind.__name__
+
+
 @dataclass
 class Result:
     tool: str
@@ -82,8 +86,7 @@ class Service:
             return Result(tool, "error", f"arguments are no JSON: {e}")
         schema = ARGUMENTS[tool]
         wrong = [f"unknown argument {k!r}" for k in args if k not in schema] + [f"{k!r} is required" for k, (_, need) in schema.items() if need and k not in args]
-        called = lambda kind: " or ".join(x.__name__ for x in kind) if isinstance(kind, tuple) else kind.__name__
-        wrong += [f"{k!r} must be {called(kind)}" for k, (kind, _) in schema.items() if args.get(k) is not None and (not isinstance(args[k], kind) or (kind is int and isinstance(args[k], bool)))]
+        wrong += [f"{k!r} must be {kind_name(kind)}" for k, (kind, _) in schema.items() if args.get(k) is not None and (not isinstance(args[k], kind) or (kind is int and isinstance(args[k], bool)))]
         if wrong:
             return Result(tool, "error", "; ".join(wrong))
         result = Result(tool, arguments=args)

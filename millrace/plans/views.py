@@ -97,3 +97,40 @@ def plant(spark: SparkSession, sf_dir: str) -> Plant:
     bags = lambda df, scope: columns(df.select("id", F.explode("properties").alias("property", "value")), entity_id=F.col("id"), property=F.col("property"), value=F.col("value"), scope=F.lit(scope), source_object_id=F.col("id"))
     none = lambda ddl: spark.createDataFrame([], f"drawing_id string, {ddl}")
     return Plant(entities, none("owner_id string, id string, type string, tag string, properties map<string,string>, ord long"), identifiers, connections, bags(entities, "own").unionByName(bags(connections, "connection")), none("warning string"), none("id string, type string, owner_entity_id string"))
+
+
+def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events in order of time: user_id, event_id, pos (from 1), n (of the user's events), name."""
+    own = Window.partitionBy("user_id")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    return e.select("user_id", "event_id", F.row_number().over(own.orderBy("ts", "event_id")).alias("pos"), F.count(F.lit(1)).over(own).alias("n"), F.concat(F.lit("EV-"), F.col("event_id").cast("string")).alias("name"))
+
+
+def signals(spark: SparkSession, sf_dir: str) -> Plant:
+    """All users' events as a drawing named signals: each event is an instrument function that sends its signal to the user's next one; the last one operates the user's valve."""
+    e = keep(histories(spark, sf_dir), "histories")
+    valve = F.concat(F.lit("V-"), F.col("user_id").cast("string"))
+    null, bag = F.lit(None).cast("string"), F.expr("cast(map() as map<string,string>)")
+    item = lambda df, own, kind, above, category: df.select(F.lit("signals").alias("drawing_id"), own.alias("id"), F.lit(kind).alias("type"), F.array(*map(F.lit, (kind, *above))).alias("type_hierarchy"), F.lit(category).alias("category"), own.alias("tag"), own.alias("name"), bag.alias("properties"), F.lit(None).cast("map<string,string>").alias("piping_context"), null.alias("line_id"), null.alias("segment_id"), null.alias("line_number"), F.lit(True).alias("in_topology"), F.col("event_id").cast("long").alias("ord"))
+    last = e.where("pos = n")
+    entities = item(e, F.col("name"), "ProcessInstrumentationFunction", (), "instrumentation").unionByName(item(last, valve, "GlobeValve", ANCESTORS["GlobeValve"], "piping_component"))
+    following = F.lead("name").over(Window.partitionBy("user_id").orderBy("pos"))
+    links = e.select("event_id", F.col("name").alias("source"), F.coalesce(following, valve).alias("target"), F.when(following.isNull(), "operated_valve_reference").otherwise("signal_line").alias("connection_type"))
+    links = links.select(F.lit("signals").alias("drawing_id"), F.concat(F.lit("S-"), F.col("event_id").cast("string")).alias("id"), "source", "target", F.lit("instrumentation").alias("relationship"), "connection_type", bag.alias("properties"), null.alias("source_chamber"), null.alias("target_chamber"), F.col("event_id").cast("long").alias("ord"), null.alias("source_nozzle"), null.alias("target_nozzle"), null.alias("open_end"))
+    none = lambda ddl: spark.createDataFrame([], f"drawing_id string, {ddl}")
+    entities, links = keep(entities, "entities"), keep(links, "signals")
+    named = entities.select("drawing_id", F.col("id").alias("entity_id"), F.lit("tagName").alias("field"), F.col("tag").alias("value"), F.lit("identifier").alias("kind"), F.lit("source").alias("origin"))
+    bags = none("entity_id string, property string, value string, scope string, source_object_id string")
+    return Plant(entities, none("owner_id string, id string, type string, tag string, properties map<string,string>, ord long"), named, links, bags, none("warning string"), none("id string, type string, owner_entity_id string"))
+
+
+def order_chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A graph that grows with the tables: every order, with a pipe to its customer's next one. Its edges, and its items (node, customer, pos, role: urgent orders are valves)."""
+    o = table(spark, sf_dir, "orders")
+    pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    role = F.when(F.col("o_orderpriority").startswith("1"), "isolation_valve").otherwise("fitting")
+    items = keep(o.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"), F.col("o_custkey").alias("customer"), pos.alias("pos"), F.col("o_orderkey").cast("long").alias("ord"), role.alias("role")), "orders")
+    null = F.lit(None).cast("string")
+    following = F.lead("node").over(Window.partitionBy("customer").orderBy("pos"))
+    edges = items.select(F.concat(F.lit("L"), F.col("node")).alias("id"), F.col("node").alias("source"), following.alias("target"), null.alias("source_chamber"), null.alias("target_chamber"), F.lit("piping").alias("relationship"), "ord")
+    return keep(edges.where("target is not null"), "chains"), items

@@ -9,7 +9,7 @@ from millrace.functions import text
 
 FACT = "struct<fact:string,any_of:array<string>,evidence:array<string>>"
 #: Arguments of gold calls differ by operation, so they stay JSON text.
-SUITE = f"description string, pid string, questions array<struct<id:string,category:string,question:string,required:array<{FACT}>,forbidden:array<{FACT}>>>"
+SUITE = f"description string, pid string, questions array<struct<id:string,category:string,question:string,required:array<{FACT}>,forbidden:array<{FACT}>,gold_calls:array<struct<tool:string,args:string>>>>"
 
 
 def read_questions(spark: SparkSession, *paths: str) -> DataFrame:
@@ -18,6 +18,13 @@ def read_questions(spark: SparkSession, *paths: str) -> DataFrame:
     return suites.select("pid", F.explode("questions").alias("q")).select("pid", F.col("q.id").alias("question_id"), "q.category", "q.question", "q.required", "q.forbidden")
 
 
+def read_gold_calls(spark: SparkSession, *paths: str) -> DataFrame:
+    """question_id, step, tool, args (JSON): the calls whose facts a question is judged by, as evaluate.gold_facts() takes them."""
+    suites = spark.read.schema(SUITE).json(list(paths), multiLine=True)
+    each = suites.select(F.explode("questions").alias("q")).select(F.col("q.id").alias("question_id"), F.posexplode("q.gold_calls").alias("step", "call"))
+    return each.select("question_id", (F.col("step") + 1).alias("step"), "call.tool", "call.args")
+
+
 def patterns(questions: DataFrame) -> DataFrame:
     """question_id, kind, item, pattern: one row per alternative. Plain text is quoted; texts that begin with re: are regular expressions."""
     sides = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("facts")) for k in ("required", "forbidden")))

@@ -224,3 +224,58 @@ def test_chains_against_plain_walks(spark):
                 follow((x,), ())
             assert got_members.get(start, set()) == seen, (trial, start)
             assert got.get(start, set()) == want, (trial, start)
+
+
+def test_first_routes_of_a_grid(spark):
+    """A grid 6 wide and 25 deep has 118,755 routes from corner to corner; the first twelve are found without the others."""
+    wide, deep = 6, 20
+    rows, n = [], 0
+    for i in range(wide):
+        for j in range(deep):
+            for to in ((i + 1, j), (i, j + 1)):
+                if to[0] < wide and to[1] < deep:
+                    rows.append((f"e{n}", f"{i}.{j}", f"{to[0]}.{to[1]}", None, None, "piping", n))
+                    n += 1
+    e = spark.createDataFrame(rows, "id string, source string, target string, source_chamber string, target_chamber string, relationship string, ord long")
+    out = {r.id: (r.source, r.target) for r in e.collect()}
+    on = {}
+    for own, (a, b) in out.items():
+        on.setdefault(a, []).append((int(own[1:]), b))
+    first = []
+
+    def walk(node, path):
+        if len(first) < 13:
+            if node == f"{wide - 1}.{deep - 1}":
+                first.append(path)
+            else:
+                for turn, b in sorted(on.get(node, [])):
+                    walk(b, [*path, turn])
+
+    walk("0.0", [])
+    pairs = spark.createDataFrame([("q", "0.0", f"{wide - 1}.{deep - 1}")], "query_id string, source string, target string")
+    got = graph.simple_paths(e, pairs).orderBy("nth").collect()
+    assert [[int(s.id[1:]) for s in r.path] for r in got] == first[:12] and all(r.more for r in got)
+
+
+def test_routes_behind_dead_ends(spark):
+    """Many partial routes that come first lead nowhere, as a simple route can't go on from them; the ones that wait are taken then."""
+    rows = [("a0", "s", "m", 0), ("z", "s", "t", 900)]
+    for i in range(30):
+        # From m into x_i, and on only back to m: x_i can reach t, but no route through m and x_i is simple.
+        rows += [(f"b{i}", "m", f"x{i}", 10 + i), (f"c{i}", f"x{i}", "m", 100 + i)]
+    rows += [("d", "m", "y", 800), ("f", "y", "t", 801)]
+    e = spark.createDataFrame([(a, b, c, None, None, "piping", o) for a, b, c, o in rows], "id string, source string, target string, source_chamber string, target_chamber string, relationship string, ord long")
+    pairs = spark.createDataFrame([("q", "s", "t")], "query_id string, source string, target string")
+    assert [[s.id for s in r.path] for r in graph.simple_paths(e, pairs).orderBy("nth").collect()] == [["z"], ["a0", "d", "f"]]
+
+
+def test_a_line_of_many_pipes(spark, monkeypatch):
+    """10,000 pipes in a row, with two sizes: few tables are written, a logarithm of the line's length."""
+    n = 10_000
+    kept = []
+    monkeypatch.setattr(analysis, "keep", lambda df, label, keep=analysis.keep: (kept.append(label), keep(df, label))[1])
+    pipes = spark.range(n).selectExpr("concat('p', id) as id", "concat('n', id) as source", "concat('n', id + 1) as target", "'piping' as relationship", "'L' as line", f"if(id < {n // 2}, 'DN 50', 'DN 80') as size", "id as ord")
+    runs, meets = analysis.trace_line(pipes, spark.createDataFrame([("n0", "equipment")], "node string, role string"))
+    row = runs.collect()
+    assert len(row) == 1 and row[0].source == "n0" and row[0].target == f"n{n}" and len(row[0].components) == n - 1 and row[0].components[:2] == ["n1", "n2"] and row[0].sizes == ["DN 50", "DN 80"] and row[0].ends_at == "end of the drawn piping"
+    assert len(kept) <= 20 and meets.count() == 0
