@@ -213,7 +213,9 @@ def _misattributed(s: DataFrame, facts: DataFrame, terms: DataFrame) -> DataFram
     """AT, claim: values of one property in a sentence with the words of another, and not of its own."""
     bags = facts.where("predicate = 'has_property' and property is not null").select("run_id", "property", quantity(F.col("value")).alias("q"))
     words = F.filter(text.name_tokens(F.col("property")), lambda w: ~w.isin(*COMMON_WORDS))
-    names = bags.select("run_id", "property", F.array_distinct(words).alias("telling")).distinct().where("size(telling) > 0")
+    # A property that a result says is missing can be meant as well.
+    every = bags.select("run_id", "property").unionByName(facts.where("predicate = 'lacks_property' and property is not null").select("run_id", "property"))
+    names = every.select("run_id", "property", F.array_distinct(words).alias("telling")).distinct().where("size(telling) > 0")
     at = s.select(*AT, F.explode(F.array_distinct("words")).alias("w"))
     spelled = names.select("run_id", "property", F.lower("property").alias("w")).join(at, ["run_id", "w"]).select(*AT, "property")
     told = names.select("run_id", "property", F.size("telling").alias("of"), F.explode("telling").alias("w")).join(at, ["run_id", "w"])

@@ -22,7 +22,6 @@ LINK = "struct<n:int,kind:string,source:string,target:string>"
 OBJECTS = f"drawing_id string, ord bigint, tag string, id string, owner_id string, type string, properties map<string,string>, associations array<struct<kind:string,item:string>>, links array<{LINK}>, error string"
 
 #: Most repeated file names that are broadcast.
-MOST_NAMES = 100_000
 #: Elements that are topology nodes, by category.
 PIPING_TAGS = ("PipingComponent", "PipeOffPageConnector")
 INSTRUMENT_TYPES = ("ProcessInstrumentationFunction", "ProcessSignalGeneratingFunction", "ActuatingFunction")
@@ -69,18 +68,28 @@ def _chains() -> dict[str, list[str]]:
 
 
 ANCESTORS = _chains()
+IDS = ("name", "path")
 
 
-def read_drawings(spark: SparkSession, *paths: str) -> DataFrame:
-    """One row per object of each drawing; a drawing without any, or that isn't XML, has one row with error."""
+def read_drawings(spark: SparkSession, *paths: str, ids: str = "name") -> DataFrame:
+    """One row per object of each drawing; a drawing without any, or that isn't XML, has one row with error.
+
+    ids: what a drawing is called, always in the same way: name, its file's name without the ending, or path. Files of one name can't be told apart by it: they have one row with error, and none of objects.
+    """
+    if ids not in IDS:
+        raise ValueError(f"ids must be one of {', '.join(IDS)}")
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    # Files of one name in several folders are told apart by their whole paths.
-    several = files.select(_name(F.col("path")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("name", F.lit(True).alias("several"))
-    named = files.withColumn("name", _name(F.col("path"))).join(F.broadcast(several) if several.count() <= MOST_NAMES else several, "name", "left")
-    return named.select(F.when(F.col("several"), F.col("path")).otherwise(F.col("name")).alias("drawing_id"), "content").mapInPandas(parsed, OBJECTS)
+    if ids == "path":
+        return files.select(F.col("path").alias("drawing_id"), "content").mapInPandas(parsed, OBJECTS)
+    named = files.select(drawing_name(F.col("path")).alias("drawing_id"), "content")
+    several = named.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    once = named.join(several, "drawing_id", "left_anti").mapInPandas(parsed, OBJECTS)
+    schema = {f.name: f.dataType for f in once.schema}
+    given = {"drawing_id": F.col("drawing_id"), "ord": F.lit(0), "error": F.concat("k", F.lit(" files have this name; read them with ids='path'"))}
+    return once.unionByName(several.select(*(given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in schema.items())))
 
 
-def _name(path: F.Column) -> F.Column:
+def drawing_name(path: F.Column) -> F.Column:
     """The file's name without its ending."""
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"[.][^.]*$", "")
 

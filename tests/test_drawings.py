@@ -64,7 +64,9 @@ def test_deep_objects_and_equal_names(spark, tmp_path):
     for folder in ("a", "b"):
         (tmp_path / folder).mkdir()
         (tmp_path / folder / "same.xml").write_text(text)
-    plant = drawings.normalize(drawings.read_drawings(spark, str(tmp_path / "*" / "*.xml")))
+    plant = drawings.normalize(drawings.read_drawings(spark, str(tmp_path / "*" / "*.xml"), ids="path"))
+    by_name = drawings.read_drawings(spark, str(tmp_path / "*" / "*.xml")).collect()
+    assert [(r.drawing_id, r.error) for r in by_name] == [("same", "2 files have this name; read them with ids='path'")]
     owners = {(r.drawing_id[-10:], r.id, r.owner_id) for r in plant.sub_objects.collect()}
     assert owners == {(f"{folder}/same.xml", f"P{i}", "E1") for folder in "ab" for i in range(12)}
     assert all("Gizmo" in r.warning for r in plant.warnings.collect()) and plant.warnings.count() == 2
