@@ -227,7 +227,7 @@ def test_chains_against_plain_walks(spark):
 
 
 def test_first_routes_of_a_grid(spark):
-    """A grid 6 wide and 25 deep has 118,755 routes from corner to corner; the first twelve are found without the others."""
+    """A grid 6 wide and 20 deep has 42,504 routes from corner to corner; the first twelve are found without the others."""
     wide, deep = 6, 20
     rows, n = [], 0
     for i in range(wide):
