@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import graph
-from millrace.plans.storage import keep
+from millrace.plans.storage import forget, keep
 
 #: Class in a component's ancestry -> its role, the first that fits.
 ROLES = [("OperatedValve", "isolation_valve"), ("CheckValve", "check_valve"), ("SafetyValveOrFitting", "relief_device"), ("PipeOffPageConnector", "off_page_connector")]
@@ -19,6 +19,8 @@ ENDS = {"off_page_connector": "the piping leaves the drawing here", "equipment":
 NO_SIZE = "size not given"
 #: Links drawn against the way the signal goes.
 REVERSED = ("sensing_location",)
+#: Hops after which what a flood has reached becomes one table again.
+FOLD = 16
 
 
 def piping_role(type_hierarchy: Column, category: Column) -> Column:
@@ -40,7 +42,7 @@ class Isolation:
 def isolation_boundary(edges: DataFrame, roles: DataFrame, starts: DataFrame) -> Isolation:
     """From each of starts (query_id, node) along pipes in both ways, past fittings, up to the first valve, relief device, equipment, connector or open end of each branch.
 
-    roles: node, role. A pipe is used once per start: by the node that reaches it first.
+    roles: node, role. A pipe is used once per start: by the node that reaches it first. Every FOLD hops the tables so far are written as one, so a hop reads FOLD tables at most.
     """
     piping = edges.where("relationship = 'piping'")
     out = piping.select(F.col("source").alias("from"), F.col("target").alias("to"), F.lit("downstream").alias("way"), "id", "ord")
@@ -49,6 +51,7 @@ def isolation_boundary(edges: DataFrame, roles: DataFrame, starts: DataFrame) ->
     frontier = starts.select("query_id", "node", F.lit(None).cast("string").alias("side"), F.expr("cast(array() as array<bigint>)").alias("turns"))
     region = seen = frontier
     used = met = None
+    loose, folded = [], []
     while True:
         near = frontier.join(step, frontier["node"] == step["from"])
         if used is not None:
@@ -71,6 +74,14 @@ def isolation_boundary(edges: DataFrame, roles: DataFrame, starts: DataFrame) ->
         if frontier.isEmpty():
             break
         region = region.unionByName(frontier)
+        loose.append(near)
+        if len(loose) == FOLD:
+            frontier = keep(frontier, "frontier")
+            now = [keep(df, "isolation") for df in (met, used, seen, region)]
+            for old in (*loose, *folded):
+                forget(old)
+            met, used, seen, region = now
+            loose, folded = [], [*now, frontier]
     counted = met.where("not known and not late")
     degree = graph.degree(edges)
     kind = F.when(F.col("role") == "isolation_valve", "isolation_boundary_valve").when(F.col("role") == "check_valve", "check_valve_on_boundary").when(F.col("role") == "relief_device", "relief_device_on_boundary").when(F.col("role") != "fitting", "unisolated_connection")

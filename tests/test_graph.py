@@ -162,6 +162,38 @@ def test_isolation(spark):
     assert (s.valves, s.checks, s.unisolated, s.relieving, s.fully_valve_bounded, s.relief_path_inside_boundary) == (2, 1, 1, 1, False, True)
 
 
+@pytest.mark.parametrize("fold", [1, 3])
+def test_isolation_in_folds(spark, monkeypatch, fold):
+    """The region against a plain walk, on a long chain with loops, branches and valves, whatever the number of hops until tables become one."""
+    import random
+
+    rng = random.Random(3)
+    names = [f"n{i}" for i in range(14)]
+    rows = [f"{a}>{b}" for a, b in zip(names, names[1:], strict=False)] + [f"{rng.choice(names)}>{rng.choice(names)}" for _ in range(3)] + [f"{n}>w{n}" for n in rng.sample(names, 4)] + ["n13>"]
+    role = {n: "fitting" for n in names} | {f"w{n}": rng.choice(["isolation_valve", "check_valve", "equipment", "fitting"]) for n in names}
+    monkeypatch.setattr(analysis, "FOLD", fold)
+    out = analysis.isolation_boundary(edges(spark, *rows), spark.createDataFrame(list(role.items()), "node string, role string"), starts(spark, "n0", "n5"))
+    near = {}
+    for r in rows:
+        a, b = r.split(">")
+        if b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want, borders = set(), set()
+    for start in ("n0", "n5"):
+        seen, todo = {start}, [start]
+        while todo:
+            for b in near[todo.pop()] - seen:
+                seen.add(b)
+                if role[b] == "fitting":
+                    todo.append(b)
+        want |= {(start, n) for n in seen if n == start or role[n] == "fitting"}
+        borders |= {(start, n) for n in seen if n != start and role[n] != "fitting"}
+    assert [tuple(r) for r in out.region.select("query_id", "node").orderBy("query_id", "node").collect()] == sorted(want)
+    rows = out.rows.where("predicate <> 'closed_end_in_region' and object is not null")
+    assert {tuple(r) for r in rows.select("query_id", "object").collect()} == borders
+
+
 def test_instrument_loop(spark):
     kind = EDGE + ", connection_type string"
     rows = [("s", "PT", "tank", "sensing_location"), ("m", "PT", "PIC", "measuring_line"), ("g", "PIC", "PV", "signal_line"), ("o", "PV", "valve", "operated_valve_reference"), ("s2", "TT", "tank", "sensing_location")]
