@@ -53,9 +53,11 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("block", [lc.BLOCK, 700])
-def test_against_plain_search(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "wide"), [(lc.BLOCK, lc.WIDE), (0, lc.WIDE), (0, 700)])
+def test_against_plain_search(spark, block, wide, monkeypatch):
+    """Bits in the expression, one lookup of all minima, and one for each 700 template words."""
     monkeypatch.setattr(lc, "BLOCK", block)
+    monkeypatch.setattr(lc, "WIDE", wide)
     rows = corpus()
     got = lc.scan(documents(spark, rows, clash=True)).collect()
     assert {(r.doc_id, r.license, r.template, round(r.containment, 6)) for r in got} == plain(rows, lc.NOTICES)
