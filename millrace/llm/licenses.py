@@ -6,14 +6,13 @@ of the templates' windows. A shingle is its window's minimum of one function wit
 a template's shingle meets the template's minimum with a probability of (1 - 1/WINDOW)^(BANDS * WINDOW), 5 in 10 million; longer matches
 are surer.
 
-Windows that meet a template (and the few that share the last bits of such a minimum) are all that leaves the scan. Their shingles are then
+Windows that meet a template are all that leaves the scan. Their shingles are then
 compared exactly: a match is a place no longer than twice the template that holds CONTAINED of the template's distinct shingles,
 wherever it begins. A shingle counts in the places that begin behind its last occurrence and reach it; so the count of all places is a
 running sum over the ends of those stretches, and no place is counted one by one.
 
-Templates are given as a list. One of BLOCK words or fewer goes into the scan's expression, as bits for each band. Of a larger one, WIDE words at a
-time, the minima are a broadcast table of some 12 rows a word, and every window looks its own up in it: one scan for hundreds of whole licenses. Either
-way nothing grows with the documents but the scan itself, and the same windows meet.
+Templates are given as a list. Their minima, of BLOCK template words at a time, are a broadcast table of some 12 rows a word at most, and every window
+looks its own up in it: one scan for hundreds of whole licenses. Nothing grows with the documents but the scan itself.
 
 Defined cases: null texts and texts of fewer than five words match nothing; templates of fewer than five words are one shorter shingle
 and are refused; rows that repeat doc_id and text count once; an empty table gives no rows; other columns are ignored.
@@ -31,10 +30,8 @@ SHINGLE = 5
 WINDOW = 3
 BANDS = 12
 CONTAINED = 80
-#: Template words that go into the expression at most: some 2 MB of bits for all bands.
-BLOCK = 20_000
-#: Template words in one scan of a larger list: at most 2.4 million minima, some 100 MB, in the broadcast table.
-WIDE = 200_000
+#: Template words in one scan: at most 2.4 million minima, some 100 MB, in the broadcast table.
+BLOCK = 200_000
 
 
 def read_templates(spark: SparkSession, path: str) -> list[tuple[str, str]]:
@@ -65,17 +62,6 @@ def _minimum(band: int) -> Column:
     return F.least(*(F.xxhash64(f"s{k}", F.lit(band)) for k in range(WINDOW)))
 
 
-def _marked(value: Column, values: list[int]) -> Column:
-    """Not 0 if value is among values, or shares one's last bits: a table of bits, about 50 to a value, which compiles to a few instructions where a set of the values wouldn't."""
-    words = 1 << max(1, len(values) - 1).bit_length()
-    bits = [0] * words
-    for v in values:
-        bits[(v >> 6) & (words - 1)] |= 1 << (v & 63)
-    table = F.split(F.lit(",".join(str(b - (1 << 64) if b >> 63 else b) for b in bits)), ",").cast("array<bigint>")
-    word = F.get(table, F.shiftright(value, 6).bitwiseAND(words - 1).cast("int"))
-    return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), value.bitwiseAND(63).cast("int")))
-
-
 def _template_tables(spark: SparkSession, templates: list[tuple[int, str, str]]) -> tuple[DataFrame, DataFrame]:
     """The minima m0, m1 and so on of each of the templates' windows, and (shingle, template, license, size): distinct shingles of each template."""
     df = spark.createDataFrame(templates, "template int, license string, text string").withColumn("s", F.array_distinct(_shingles(F.col("text"))))
@@ -84,15 +70,7 @@ def _template_tables(spark: SparkSession, templates: list[tuple[int, str, str]])
     return minima, df.select("template", "license", F.size("s").alias("size"), F.explode("s").alias("shingle"))
 
 
-def _met_by_bits(windows: DataFrame, minima: DataFrame) -> DataFrame:
-    """The windows that share a minimum, or the last bits of one, with a template: a filter in the scan."""
-    rows, meets = minima.collect(), F.lit(0).cast("long")
-    for band in range(BANDS):
-        meets = meets.bitwiseOR(_marked(_minimum(band), sorted({r[band] for r in rows})))
-    return windows.where(meets != 0)
-
-
-def _met_by_lookup(windows: DataFrame, minima: DataFrame) -> DataFrame:
+def _met(windows: DataFrame, minima: DataFrame) -> DataFrame:
     """The windows that share a minimum with a template, once for each that they share. A band is part of what is hashed, so minima of all bands are one set."""
     known = keep(minima.select(F.explode(F.array(*minima.columns)).alias("minimum")).distinct(), "minima")
     each = windows.select("*", F.explode(F.array(*(_minimum(b) for b in range(BANDS)))).alias("minimum"))
@@ -106,24 +84,23 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = NOTICES, contained:
     if short:
         raise ValueError(f"a template needs {SHINGLE} words: {short[0]!r}")
     numbered = [(k, name, text) for k, (name, text) in enumerate(templates)]
-    met = _met_by_bits if sum(n_words) <= BLOCK else _met_by_lookup
     blocks, size = [[]], 0
     for t, n in zip(numbered, n_words, strict=True):
-        if blocks[-1] and size + n > max(BLOCK, WIDE):
+        if blocks[-1] and size + n > BLOCK:
             blocks, size = [*blocks, []], 0
         blocks[-1].append(t)
         size += n
-    found = [_scan(docs, block, contained, met) for block in blocks]
+    found = [_scan(docs, block, contained) for block in blocks]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out
 
 
-def _scan(docs: DataFrame, templates: list[tuple[int, str, str]], contained: int, met) -> DataFrame:
+def _scan(docs: DataFrame, templates: list[tuple[int, str, str]], contained: int) -> DataFrame:
     minima, shingles = _template_tables(docs.sparkSession, templates)
     own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), _shingles(F.col("text")).alias("s")).where("s is not null")
-    near = met(_windows(own, "s", "doc_id", "row", filler=0), minima)
+    near = _met(_windows(own, "s", "doc_id", "row", filler=0), minima)
     each = near.select("doc_id", "row", F.explode(F.array(*(F.struct((F.col("pos") + k).alias("pos"), F.col(f"s{k}").alias("shingle")) for k in range(WINDOW)))).alias("e")).select("doc_id", "row", "e.*")
     # A shingle leaves the scan in up to WINDOW windows. Kept, because what follows reads the few hits again and again, and the texts once.
     hits = keep(each.join(F.broadcast(shingles), "shingle").select("doc_id", "row", "license", "template", "size", "shingle", F.col("pos").cast("long").alias("pos")).distinct(), "hits")
