@@ -27,7 +27,7 @@ CATEGORY_WORDS = {"equipment": ["equipment"], "piping_component": ["piping compo
 #: Words in a run, letters of an abbreviation, least similarity and number of suggestions.
 LONGEST, ABBREVIATION = 3, 4
 LEAST_RATIO, MOST_SUGGESTIONS = 0.75, 5
-#: Queries that are sent to all tasks at most.
+#: Queries that are compared with all identifiers at a time.
 QUERY_BLOCK = 2000
 
 
@@ -228,27 +228,34 @@ def resolve_all(queries: DataFrame, known: Catalogue) -> DataFrame:
     return out
 
 
-def suggestions(queries: DataFrame, identifiers: DataFrame, most: int = MOST_SUGGESTIONS) -> DataFrame:
+def suggestions(queries: DataFrame, identifiers: DataFrame, most: int = MOST_SUGGESTIONS, join: bool = False) -> DataFrame:
     """query, entity_id, score, nth: the identifiers nearest to the query, or to a word of it with a digit, by matching-block ratio, LEAST_RATIO or more. They never bind.
 
-    QUERY_BLOCK queries at most are sent to all tasks; a task compares them with the identifiers that it reads and passes on the
+    The queries, in blocks of QUERY_BLOCK, are sent to all tasks; a task compares them with the identifiers that it reads and passes on the
     best few of each query, so neither pairs nor identifiers are shuffled. Characters in common bound the ratio from above, and only what
-    can still be among the best is compared in full. More queries than that are joined with the identifiers by rare parts (similar.nearest), with the same result.
+    can still be among the best is compared in full. With join, queries and identifiers meet by rare parts instead (similar.nearest), with the same result: for many
+    queries and names that differ. Where most names are alike, as numbers behind one word, most pairs meet, and the scan is faster.
     """
     spark = queries.sparkSession
     norm = text.normalize_identifier
     digits = F.regexp_extract_all("query", F.lit(r"(\S*\d\S*)"), F.lit(1))
     wanted = queries.select("query").distinct().select("query", F.array_distinct(F.filter(F.transform(F.concat(F.array("query"), digits), norm), lambda x: x != "")).alias("forms")).where("size(forms) > 0")
     own = identifiers.select("entity_id", norm(F.col("value")).alias("key")).where("key <> ''")
-    few = wanted.limit(QUERY_BLOCK + 1).collect()
-    if len(few) > QUERY_BLOCK:
+    if join:
         return similar.nearest(wanted.select("query", F.explode("forms").alias("form")), own, most, LEAST_RATIO)
-    block = spark.sparkContext.broadcast([(r["query"], list(r["forms"])) for r in few])
-
-    def run(batches):
-        yield from _nearest(batches, block.value, most)
-
-    out = own.mapInArrow(run, "query string, entity_id string, score double")
+    n_blocks = -(-wanted.count() // QUERY_BLOCK)
+    out = None
+    for k in range(n_blocks):
+        part = wanted.where(F.pmod(F.xxhash64("query"), F.lit(n_blocks)) == k) if n_blocks > 1 else wanted
+        block = spark.sparkContext.broadcast([(r["query"], list(r["forms"])) for r in part.collect()])
+
+        def run(batches, block=block):
+            yield from _nearest(batches, block.value, most)
+
+        found = own.mapInArrow(run, "query string, entity_id string, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = own.select(F.lit("").alias("query"), "entity_id", F.lit(0.0).alias("score")).where("1 = 0")
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entity_id"))
     return out.groupBy("query", "entity_id").agg(F.max("score").alias("score")).withColumn("nth", nth).where(F.col("nth") <= most).withColumn("score", F.round("score", 3))
 

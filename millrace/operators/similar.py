@@ -90,7 +90,10 @@ def compare(pairs: DataFrame, least: float) -> DataFrame:
                     scores.append(score)
             yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array(keys, pa.string()), pa.array(scores, pa.float64())], ["form", "key", "score"])
 
-    return pairs.mapInArrow(run, "form string, key string, score double")
+    # Pairs are few bytes and much work, so they are dealt to all cores instead of being put together by their bytes.
+    spark = pairs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return pairs.repartition(tasks, "form", "key").mapInArrow(run, "form string, key string, score double")
 
 
 def _class(size: Column) -> Column:

@@ -71,14 +71,12 @@ def test_nearest_against_all_pairs(spark):
         assert got.get(q, []) == [(e, round(s, 3)) for e, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]], q
 
 
-def test_suggestions_of_many_queries_are_those_of_few(spark, monkeypatch):
+def test_suggestions_by_join_are_those_of_the_scan(spark):
     forms, keys = tables(spark, 9, "ab12", (2, 8), 60)
     known = spark.createDataFrame([(f"e{i % 50}", "tag", k.upper()) for i, k in enumerate(keys)], "entity_id string, field string, value string")
     q = spark.createDataFrame([(f"pump {f}",) for f in forms], "query string")
-    rows = lambda: sorted(map(tuple, resolve.suggestions(q, known).collect()))
-    few = rows()
-    monkeypatch.setattr(resolve, "QUERY_BLOCK", 10)
-    assert few and rows() == few
+    scan, join = (sorted(map(tuple, resolve.suggestions(q, known, join=by).collect())) for by in (False, True))
+    assert scan and join == scan
 
 
 def test_empty(spark):
