@@ -2,6 +2,7 @@
 
 import duckdb
 
+from millrace.plans import views
 from millrace.plans.queries import QUERIES, SQL
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -22,3 +23,11 @@ def same(spark, name, sf_dir=SF):
 
 def test_property_report_has_the_columns_of_its_sql(spark):
     same(spark, "property_report")
+
+
+def test_trade_is_summed_by_nations_only(spark):
+    """No task holds a row for each order: every aggregate is by two nations."""
+    plan = views.sold(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [" in plan and all(line.split("Aggregate ")[1].startswith("[s#") for line in plan.splitlines() if "Aggregate " in line)
+    same(spark, "trade_view")
+    same(spark, "terminal")
