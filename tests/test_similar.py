@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 
 from millrace.operators import resolve, similar
@@ -84,3 +85,20 @@ def test_empty(spark):
     names = spark.createDataFrame([("e", "abc")], "entity_id string, key string")
     assert similar.nearest(none, names, 5, 0.75).count() == 0
     assert similar.nearest(some, names.where("1 = 0"), 5, 0.75).count() == 0
+
+
+def test_a_name_is_compared_once_however_many_have_it_and_few_in_full(spark, monkeypatch):
+    """All names alike: the common subsequence leaves few pairs, and ties go to the smallest entities."""
+    from difflib import SequenceMatcher
+
+    names = [f"customer{k:06d}" for k in range(0, 40000, 13)] + ["customer" + "9" * 90]
+    queries = [(f"Custmer#{k:06d}", [f"custmer{k:06d}"]) for k in (7, 1300, 39999)] + [("long", ["custmer" + "9" * 89])]
+    calls, ratio = [], SequenceMatcher.ratio
+    monkeypatch.setattr(SequenceMatcher, "ratio", lambda self: calls.append(1) or ratio(self))
+    batch = pa.RecordBatch.from_pydict({"key": names, "entities": [[f"c{k}", f"d{k}"] for k in range(len(names))]})
+    got = [r for out in resolve._nearest([batch], queries, 5) for r in out.to_pylist()]
+    assert len(calls) < 100 * len(queries)
+    monkeypatch.undo()
+    for query, (form,) in queries:
+        every = sorted((-s, e) for k, n in enumerate(names) if (s := SequenceMatcher(None, form, n).ratio()) >= 0.75 for e in (f"c{k}", f"d{k}"))[:5]
+        assert [(-r["score"], r["entity_id"]) for r in got if r["query"] == query] == every
