@@ -1,3 +1,4 @@
+import importlib
 import random
 
 from millrace.operators.components import component_of, components
@@ -36,3 +37,17 @@ def test_strings_binary_and_lonely_nodes(spark):
     digests = components(edges.selectExpr("unhex(md5(source)) as u", "unhex(md5(target)) as v"))
     assert digests.count() == 3 and digests.select("component").distinct().count() == 1
     assert components(edges.where("false").toDF("u", "v")).count() == 0
+
+
+def test_chains_in_one_file_are_stars_before_the_first_step(spark, monkeypatch):
+    """A chain of 600 nodes takes the steps of a star: one that changes nothing. Blocks that cut it change no result."""
+    own = importlib.import_module("millrace.operators.components")
+    states, state = [], own._state
+    monkeypatch.setattr(own, "_state", lambda df: states.append(1) or state(df))
+    edges = spark.range(1, 600, 1, 1).selectExpr("id as u", "id - 1 as v")
+    for block in (own.BLOCK, 7):
+        monkeypatch.setattr(own, "BLOCK", block)
+        states.clear()
+        got = components(edges if block > 7 else edges.selectExpr("concat('n', u) as u", "concat('n', v) as v")).collect()
+        assert len(got) == 600 and {r.component for r in got} == ({0} if block > 7 else {"n0"})
+        assert block == 7 or len(states) == 2
