@@ -2,6 +2,7 @@
 
 import duckdb
 
+from millrace.operators import analysis, graph
 from millrace.plans import views
 from millrace.plans.queries import QUERIES, SQL
 
@@ -31,3 +32,30 @@ def test_trade_is_summed_by_nations_only(spark):
     assert "Aggregate [" in plan and all(line.split("Aggregate ")[1].startswith("[s#") for line in plan.splitlines() if "Aggregate " in line)
     same(spark, "trade_view")
     same(spark, "terminal")
+
+
+def test_a_chain_is_followed_without_looking_back(spark, monkeypatch):
+    """Where no node can be met twice, a level is one join, and no table is read but the last level and the moves."""
+    tables, keep = [], graph.keep
+    monkeypatch.setattr(graph, "keep", lambda df, label: tables.append((label, df)) or keep(df, label))
+    same(spark, "traverse_orders")
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for label, df in tables if label == "level"]
+    assert len(plans) > 4 and all(p.count("Join ") == 1 and "Window" not in p for p in plans)
+
+
+def test_hops_read_the_last_two_only(spark, monkeypatch):
+    tables, keep = [], analysis.keep
+    monkeypatch.setattr(analysis, "keep", lambda df, label: tables.append((label, df)) or keep(df, label))
+    same(spark, "isolation_orders")
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for label, df in tables if label == "isolation" and "late" in df.columns]
+    # Roles are a column of the steps, and used pipes are those of one hop.
+    assert len(plans) > 4 and all(p.count("Join ") == 3 for p in plans[1:16])
+
+
+def test_lines_tell_each_node_once(spark, monkeypatch):
+    tables, keep = [], analysis.keep
+    monkeypatch.setattr(analysis, "keep", lambda df, label: tables.append((label, df)) or keep(df, label))
+    same(spark, "trace_line")
+    nodes = next(df for label, df in tables if label == "nodes")
+    assert nodes.count() == nodes.select("node").distinct().count()
+    same(spark, "line_rows")
