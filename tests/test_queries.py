@@ -59,3 +59,8 @@ def test_lines_tell_each_node_once(spark, monkeypatch):
     nodes = next(df for label, df in tables if label == "nodes")
     assert nodes.count() == nodes.select("node").distinct().count()
     same(spark, "line_rows")
+
+
+def test_chains_of_signals(spark):
+    same(spark, "signal_chain")
+    same(spark, "service_instrument_loop")
