@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from tests.llm.helpers import AWKWARD, documents
 
 from millrace.llm import quality as q
@@ -115,3 +116,45 @@ def test_calibration_keeps_the_good():
     s, good = np.array([0.1, 0.2, 0.3, 0.9, 0.95]), np.array([True, True, True, False, False])
     assert q.calibrated(s, good) == 0.3
     assert q.calibrated(s, ~good, 0.99) == np.inf
+
+
+def test_every_labelled_document_is_learned_from(spark):
+    """Each labelled row grows a tree, whatever the share of bad ones, and a tree never gets a row twice."""
+    rng = np.random.default_rng(8)
+    rows = [(int(k), *map(int, rng.integers(60, 900, len(q.COUNTS)))) for k in rng.integers(0, 2**60, 3000)]
+    docs = [(h, *c, int(i % 3 > 0)) for i, (h, *c) in enumerate(rows)]
+    table = spark.createDataFrame(docs, "h long, " + ", ".join(f"{c} long" for c in q.COUNTS) + ", quality int")
+    x = q.features({c: np.array([r[1 + k] for r in docs]) for k, c in enumerate(q.COUNTS)})
+    scale = q.Scale([np.unique(x[:, k], return_counts=True) for k in range(x.shape[1])])
+    bad, good = q.copies_of(2000, 1000, 20, 64)
+    assert (bad, good) == (1, 17)
+    forest = q._forest(table, scale, (bad, good), 20, 64)
+    assert len(forest.column) == 20
+    assert forest.sizes.sum() == 1000 * bad + 2000 * good and forest.sizes.max() <= 3000
+
+
+def test_no_label_is_left_out_beyond_the_former_limit(spark):
+    """22,000 labelled documents: the threshold and the counts are those of all of them."""
+    n = 22_000
+    good = " ".join(f"w{i}" for i in range(60))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(good), F.repeat(F.lit(" %%%"), F.when(F.col("id") % 11 == 0, 30).otherwise((F.col("id") % 5).cast("int")))).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 11 != 0).cast("int").alias("quality"))
+    counted = []
+    whole = q._counted
+    try:
+        q._counted = lambda rows, one: counted.append(whole(rows, one)) or counted[-1]
+        out = q.judge(docs, labels, trees=20).groupBy((F.col("doc_id") % 11 == 0).alias("bad"), "kept").count().collect()
+    finally:
+        q._counted = whole
+    assert [int(c[c["at"].isin((-1,) if k == 0 else (0, 1))]["n"].sum()) for k, c in enumerate(counted)] == [n, n]
+    assert {(r.bad, r.kept, r["count"]) for r in out} == {(True, False, 2000), (False, True, 20000)}
+
+
+def test_quartiles_and_cuts_from_counts():
+    rng = np.random.default_rng(9)
+    x = np.exp(rng.normal(size=5000))
+    values, n = np.unique(q.stepped(x), return_counts=True)
+    scale = q.Scale([(values, n)])
+    low, middle, high = np.quantile(x, (0.25, 0.5, 0.75))
+    assert abs(scale.middle[0] / middle - 1) < 2e-3 and abs(scale.spread[0] / (high - low) - 1) < 5e-3
+    assert len(values) < 2048 * 12
