@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,16 +66,27 @@ class Service:
     def __init__(self, plant: Plant, drawing_id: str):
         one = lambda df: df.where(F.col("drawing_id") == drawing_id).drop("drawing_id")
         self.entities, self.sub_objects, self.edges, self.properties, self.objects = map(one, (plant.entities, plant.sub_objects, plant.connections, plant.properties, plant.objects))
-        names = one(plant.identifiers).select("entity_id", F.when(F.col("field") == "tagName", "tag").otherwise(F.col("field")).alias("field"), "value")
+        self.names = one(plant.identifiers).select("entity_id", F.when(F.col("field") == "tagName", "tag").otherwise(F.col("field")).alias("field"), "value")
+        self.spark: SparkSession = plant.entities.sparkSession
+
+    # What names are resolved by is written once, when the first name needs it: every resolution reads it several times, and a call by ids does not.
+    @cached_property
+    def identifiers(self) -> DataFrame:
         ids = self.entities.select(F.col("id").alias("entity_id"), F.lit("id").alias("field"), F.col("id").alias("value"))
-        # Written once: every resolution reads them several times.
-        self.identifiers = keep(names.unionByName(ids), "identifiers")
+        return keep(self.names.unionByName(ids), "identifiers")
+
+    @cached_property
+    def phrases(self) -> DataFrame:
         types = self.entities.select(F.col("id").alias("entity_id"), F.explode("type_hierarchy").alias("type"))
-        self.phrases = keep(resolve.type_phrases(types).unionByName(resolve.category_phrases(self.entities.select(F.col("id").alias("entity_id"), "category"))).distinct(), "phrases")
-        self.places = self.entities.select(F.col("id").alias("entity_id"), (F.col("category") == "piping_line").alias("is_line"), F.col("line_number").alias("line"))
-        self.places = keep(self.places, "places")
-        self.known = resolve.Catalogue(self.identifiers, self.phrases, self.places)
-        self.spark: SparkSession = plant.entities.sparkSession
+        return keep(resolve.type_phrases(types).unionByName(resolve.category_phrases(self.entities.select(F.col("id").alias("entity_id"), "category"))).distinct(), "phrases")
+
+    @cached_property
+    def places(self) -> DataFrame:
+        return keep(self.entities.select(F.col("id").alias("entity_id"), (F.col("category") == "piping_line").alias("is_line"), F.col("line_number").alias("line")), "places")
+
+    @cached_property
+    def known(self) -> resolve.Catalogue:
+        return resolve.Catalogue(self.identifiers, self.phrases, self.places)
 
     def call(self, tool: str, arguments: str | dict) -> Result:
         """Never raises for what the caller got wrong: an unknown operation or a bad argument is a result of status error."""

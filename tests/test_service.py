@@ -172,3 +172,18 @@ def test_scores(spark):
     rows = [("a", "required", True, True, False), ("a", "required", False, True, False), ("a", "forbidden", False, True, False), ("b", "required", True, True, False), ("b", "forbidden", True, True, False), ("c", "required", False, False, False), ("d", "required", False, True, True)]
     out = evaluate.answer_scores(spark.createDataFrame(rows, "question_id string, kind string, matched boolean, answered boolean, failed boolean"))
     assert {r.question_id: (r.score, r.outcome) for r in out.collect()} == {"a": (0.5, "partial"), "b": (0.0, "incorrect"), "c": (0.0, "abstained"), "d": (None, "infrastructure")}
+
+
+def test_a_call_by_id_needs_no_catalogue_of_names(spark, monkeypatch):
+    from millrace.plans import service as module
+
+    written = []
+    whole = module.keep
+    monkeypatch.setattr(module, "keep", lambda df, label: written.append(label) or whole(df, label))
+    entities = spark.createDataFrame([("d", n, "ProcessInstrumentationFunction", ["ProcessInstrumentationFunction"], "instrumentation", n, True, None, k) for k, n in enumerate(("A", "B"))], "drawing_id string, id string, type string, type_hierarchy array<string>, category string, tag string, in_topology boolean, line_number string, ord long")
+    links = spark.createDataFrame([("d", "s", "A", "B", "instrumentation", "signal_line", 0)], "drawing_id string, id string, source string, target string, relationship string, connection_type string, ord long")
+    none = lambda ddl: spark.createDataFrame([], f"drawing_id string, {ddl}")
+    plant = module.Plant(entities, none("id string"), none("entity_id string, field string, value string"), links, none("entity_id string, property string, value string, scope string"), none("warning string"), none("id string"))
+    out = module.Service(plant, "d").call("trace_instrumentation", {"entity_id": "B"})
+    assert [tuple(r.elements) for r in out.sections["chains"].collect()] == [("A", "B")]
+    assert not {"identifiers", "phrases", "places"} & set(written)
