@@ -142,14 +142,16 @@ def _terms(s: DataFrame, facts: DataFrame, questions: DataFrame | None, posted:
     held = facts.select("run_id", "fact_id", "ref", about.alias("about"), F.when(F.col("predicate") != "not_found", F.col("value")).alias("value"), "qualifiers", "property", "predicate")
     said = F.concat(F.array("value", "property"), F.flatten(F.map_values(F.map_filter(F.coalesce("qualifiers", F.expr("cast(map() as map<string,array<string>>)")), lambda k, v: ~k.isin("direction", "scope", "field")))))
     forms = F.flatten(F.transform(F.array_compact(said), lambda x: F.concat(F.transform(text.identifier_pieces(x), text.key), F.array(quantity(x)))))
+    value = F.col("kind").isin("value_with_unit", "number")
+    keys = F.array_distinct(F.array_compact(F.array(text.key(F.col("term")), F.when(value, quantity(F.col("term"))), F.when(value & F.col("minus"), quantity(F.col("term"), -1)))))
+    # Only pieces that a term of the same run may be are looked at further.
+    sought = each.select("run_id", F.explode(F.array_append(keys, text.key(F.col("term")))).alias("k")).distinct()
     pieces = held.where("predicate <> 'not_found'").select("run_id", "fact_id", "ref", "about", "predicate", F.explode(F.array_distinct(F.array_compact(forms))).alias("k")).where("k <> ''")
-    pieces = keep(pieces.distinct(), "pieces")
+    pieces = keep(pieces.join(sought, ["run_id", "k"], "left_semi").distinct(), "pieces")
     # A term that is a part of one item's name only names that item.
     part = pieces.where("predicate = 'identified_as'").join(facts.select("run_id", "fact_id", "subject"), ["run_id", "fact_id"])
     other = pieces.where("predicate <> 'identified_as'").select("run_id", "k").distinct()
     part = part.groupBy("run_id", "k").agg(F.count_distinct("subject").alias("items"), F.min("subject").alias("part_of")).where("items = 1").join(other, ["run_id", "k"], "left_anti")
-    value = F.col("kind").isin("value_with_unit", "number")
-    keys = F.array_distinct(F.array_compact(F.array(text.key(F.col("term")), F.when(value, quantity(F.col("term"))), F.when(value & F.col("minus"), quantity(F.col("term"), -1)))))
     named = each.withColumns({"k": text.key(F.col("term")), "keys": keys}).join(names, ["run_id", "term"], "left").join(part.select("run_id", "k", "part_of"), ["run_id", "k"], "left")
     item = F.when(F.col("how").isin("entity", "object"), F.get("ids", F.lit(0))).when(F.col("how") != "ambiguous", F.col("part_of"))
     named = keep(named.withColumn("item", item).drop("ids", "part_of"), "named")
@@ -168,7 +170,7 @@ def _terms(s: DataFrame, facts: DataFrame, questions: DataFrame | None, posted:
     else:
         values = values.withColumn("asked", F.lit(False))
     # What a result holds without a fact of it, such as a column that facts don't tell, backs a term that stands by no item.
-    loose = posted.select("run_id", "k", "ref").distinct().withColumnRenamed("ref", "posted_ref")
+    loose = posted.select("run_id", "k", "ref").join(values.select("run_id", "k").distinct(), ["run_id", "k"], "left_semi").distinct().withColumnRenamed("ref", "posted_ref")
     posted_at = values.join(loose, ["run_id", "k"]).groupBy(*place).agg(F.bool_or(uncited | cites(F.col("posted_ref"))).alias("posted_here"), F.lit(True).alias("posted"))
     carried = values.join(pieces, ["run_id", "k"], "left")
     paired = F.col("fact_id").isNotNull() & (F.col("items").isNull() | F.arrays_overlap("about", "items"))
@@ -230,6 +232,10 @@ def _misattributed(s: DataFrame, facts: DataFrame, terms: DataFrame) -> DataFram
 def _scopes(wanted: DataFrame, facts: DataFrame) -> DataFrame:
     """wanted: run_id, refs (array). The facts of each different set of citations, with scope; an empty set stands for all facts of the run."""
     sets = keep(wanted.select("run_id", F.array_sort("refs").alias("refs")).distinct().withColumn("scope", scope_of("refs")), "scopes")
+    # Facts that relate nothing are not copied.
+    first = lambda q: F.get(F.element_at("qualifiers", q), F.lit(0))
+    facts = facts.where(F.col("predicate").isin("flows_to", "reaches", "path", *ft.LINKS.values()) | F.col("route").isNotNull() | first("owner").isNotNull() | first("part_of").isNotNull())
+    facts = facts.select("run_id", "fact_id", "ref", "predicate", "subject", "object", "route", "qualifiers")
     cited = sets.where("size(refs) > 0").select("run_id", "scope", F.explode("refs").alias("r"))
     whole = F.concat(F.lit("R"), F.substring_index(F.substring("ref", 2, 99), ".", 1))
     spread = facts.where("ref is not null").withColumn("r", F.explode(F.array("ref", whole)))
@@ -245,7 +251,7 @@ def scope_of(refs: str | Column) -> Column:
 def shown_pairs(scoped: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """scoped: facts with scope. asked: scope, a, b. Those of asked of which b lies downstream of a; and those that one fact, or one route, joins either way round."""
     first = lambda q: F.get(F.element_at("qualifiers", q), F.lit(0))
-    pipes = scoped.where("predicate = 'flows_to'").select("scope", F.col("subject").alias("from"), F.col("object").alias("to"), first("from_chamber").alias("exit"), first("to_chamber").alias("entry"))
+    pipes = scoped.where("predicate = 'flows_to'").select("scope", F.col("subject").alias("from"), F.col("object").alias("to"), first("from_chamber").alias("exit"), first("to_chamber").alias("entry"), F.col("fact_id").alias("at"))
     pairs = keep(asked.select("scope", "a", "b").distinct(), "pairs")
     flows = graph.reaching(pipes, pairs)
     way = first("direction")
